@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from . import quality_rules
 
 TOKENIZERS = os.environ.get("LONGWEFT_TOKENIZERS", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -27,5 +29,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_token_files": op6_token_files}
-ORACLE_SQL: dict[str, str] = {}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}
