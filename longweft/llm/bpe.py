@@ -34,8 +34,8 @@ SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0               
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Added to the last character of a word's end, where the vocabulary marks ends of words.
 END = 0x1000
-#: Entries of a generation of each cache: two workers of an executor then hold some 400 MB at most.
-CACHED = 300_000
+#: Entries of a generation of each cache: two workers of an executor then hold less than 1 GB at most.
+CACHED = 600_000
 
 
 def byte_characters() -> list[str]:
@@ -226,6 +226,47 @@ class Encoder:
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
+class RankEncoder(Encoder):
+    """The same ids by a compiled merge loop, for operators that need ids fast and not by this module's method.
+
+    That loop merges any two neighbours whose joined bytes are a token, lowest id first. This gives the ids of merging by
+    pairs if ids rise as merges go and no two tokens that stay neighbours join to a token, which `unsafe()` looks for and the
+    tests prove for both vocabularies. An end of word is byte 0xFF here, which UTF-8 never has.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        super().__init__(path)
+        back = {c: bytes([b]) for b, c in enumerate(byte_characters())} | {chr(ord(c) + END): bytes([b, 0xFF]) for b, c in enumerate(byte_characters())}
+        ranks = {b"".join(back[c] for c in t): i for t, i in self.ids.items() if len(t) == 1 or t in self.parts}
+        self.pieces = Made(self._word) if self.words else None
+        self.core = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={} if self.words else self.special)
+
+    def unsafe(self) -> list[tuple[str, str]]:
+        """Pairs of tokens that are compatible although their joined string is a token."""
+        known = [t for t in self.ids if len(t) == 1 or t in self.parts]
+        splits = ((t[:i], t[i:]) for t in known for i in range(1, len(t)))
+        return [(a, b) for a, b in splits if a in self.automaton and b in self.automaton and self._compatible(a, b)]
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.core._encode_single_piece(word.encode("utf-8", "surrogatepass") + b"\xff")).tobytes()
+
+    def _ordinary(self, text: str) -> bytes:
+        return super()._ordinary(text) if self.words else array("I", self.core.encode_ordinary(text)).tobytes()
+
+
+class Made(dict):
+    """Makes a value at each look, for what is made as fast as it is found."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        return self.make(key)
+
+
 SPACES = re.compile(f"[{re.escape(SPACE)}]+")
 CONTROLS = re.compile(r"[\x1c-\x1f]")
 CUT = re.compile(r"[A-Za-z][ \n][A-Za-z]")
@@ -251,11 +292,11 @@ class Offsets:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, fast: bool = False) -> Encoder:
     """One for each file and Python process. Its caches hold many small tuples that are never garbage, so that the collector
     runs more seldom from here on."""
     gc.set_threshold(500_000, 50, 100)
-    return Encoder(path)
+    return RankEncoder(path) if fast else Encoder(path)
 
 
 def crc(blocks, end: int | None = None) -> tuple[int, int]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality_rules
 
@@ -33,5 +33,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .common import fold
+
+    documents, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(documents.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(documents.withColumn("held_out", held_out), model, ("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    from .common import fold
+
+    documents, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    model = langid.train(documents.filter(~held_out))
+    return langid.identify(documents.withColumn("held_out", held_out), model, ("doc_id", "held_out"))
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}
