@@ -33,6 +33,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0, capacity=2048)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
     from .common import fold
@@ -52,5 +58,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.withColumn("held_out", held_out), model, ("doc_id", "held_out"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}
