@@ -21,6 +21,7 @@ from .common import slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
+LAST = BUCKETS - 1
 DIM = 16
 #: The bound on training examples, dealt evenly to the languages, and the words of each.
 EXAMPLES = 12_000
@@ -29,9 +30,10 @@ SEED = 7
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the word itself and of its 2- to 4-grams, with signs for its ends."""
-    w = f"<{word}>"
-    return [zlib.crc32(g.encode()) % BUCKETS for g in (w, *(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)))]
+    """Buckets of the word itself and of the 3- and 4-grams of its UTF-8 bytes, with signs for its ends."""
+    w = f"<{word}>".encode("utf-8", "surrogatepass")
+    crc = zlib.crc32
+    return [crc(w) & LAST, *[crc(w[i : i + 3]) & LAST for i in range(len(w) - 2)], *[crc(w[i : i + 4]) & LAST for i in range(len(w) - 3)]]
 
 
 @dataclass
@@ -47,7 +49,7 @@ class Model:
 class Scorer:
     """Sums of word scores, with a bounded memory of words."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 1_000_000):
         self.model, self.limit = model, limit
         self.table = np.zeros((1 << 12, len(model.langs) + 1), dtype=np.float32)
         self.rows: dict[str, int] = {}

@@ -36,6 +36,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .common import fold
@@ -71,5 +83,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.withColumn("held_out", held_out), model, ("doc_id", "held_out"))
 
 
-QUERIES = {"op2_minhash_dedup": op2_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op7_html_text": op7_html_text, "op9_ann": op9_ann, "op2_minhash_dedup": op2_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}

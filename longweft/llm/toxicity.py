@@ -22,9 +22,9 @@ from .common import Cache, slices, spool, unspool
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bounds of the sample of confirmed toxic texts and of unlabelled ones.
-POSITIVES, UNLABELLED = 4_000, 12_000
+POSITIVES, UNLABELLED = 3_000, 9_000
 #: Bounds of the features whose counts are compared, and of those that the model has.
-CANDIDATES, FEATURES = 40_000, 2_048
+CANDIDATES, FEATURES = 20_000, 2_048
 #: Least estimated share of toxic texts among those with a feature, and least z value of its log ratio, to be kept.
 PRECISION, SIGNIFICANT = 0.3, 2.0
 SEED = 11
@@ -82,6 +82,27 @@ def _ids(df: DataFrame, known: np.ndarray) -> list[np.ndarray]:
     return [np.frombuffer(r["ids"], dtype=np.int32) for r in df.select("text").mapInArrow(run, "ids binary").collect()]
 
 
+def _counts(df: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many texts of a bounded sample have each of the known features, and how many texts there are."""
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        import pyarrow as pa
+
+        present, n = Present(shared.value), np.zeros(len(shared.value) + 1, dtype=np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                n[present(v.as_py())] += 1
+                n[-1] += 1
+        i = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(n[i])], names=["i", "n"])
+
+    out = np.zeros(len(known) + 1)
+    for r in df.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # CANDIDATES rows
+        out[r["i"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
 def _candidates(df: DataFrame) -> np.ndarray:
     """Hashes of the CANDIDATES features that most positive texts of the sample have, three at least."""
 
@@ -118,19 +139,14 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     unlabelled = spool(rows.filter(share(UNLABELLED, total)).select("text").limit(2 * UNLABELLED), "unlabelled")
     prior = min(0.5, max(1e-4, toxic / counted["n"]))
     hashes = _candidates(positive)
-    pos, unl = _ids(positive, hashes), _ids(unlabelled, hashes)
-    if not pos or not unl or not len(hashes):
+    (p, n_pos), (u, n_unl) = _counts(positive, hashes), _counts(unlabelled, hashes)
+    if not n_pos or not n_unl or not len(hashes):
         return Model(np.zeros(0, np.int64), np.zeros(0), -30.0, prior)
-    count = lambda docs: np.bincount(np.concatenate(docs), minlength=len(hashes)) + 0.5
-    p, u = count(pos) / (len(pos) + 1), count(unl) / (len(unl) + 1)
-    z = (np.log(p) - np.log(u)) / np.sqrt(1 / (p * len(pos)) + 1 / (u * len(unl)))
+    p, u = (p + 0.5) / (n_pos + 1), (u + 0.5) / (n_unl + 1)
+    z = (np.log(p) - np.log(u)) / np.sqrt(1 / (p * n_pos) + 1 / (u * n_unl))
     z[prior * p < PRECISION * u] = 0  # by Bayes' rule, so many texts with the feature are toxic
-    kept = np.sort([i for i in np.argsort(-z, kind="stable")[:FEATURES] if z[i] >= SIGNIFICANT])
-    kept = kept.astype(np.int64)
-    new = np.full(len(hashes), -1, dtype=np.int32)
-    new[kept] = np.arange(len(kept))
-    cut = lambda docs: [i[i >= 0] for i in (new[d] for d in docs)]
-    weights, bias = fit(cut(pos), cut(unl), len(kept), prior)
+    kept = np.sort(np.array([i for i in np.argsort(-z, kind="stable")[:FEATURES] if z[i] >= SIGNIFICANT], dtype=np.int64))
+    weights, bias = fit(_ids(positive, hashes[kept]), _ids(unlabelled, hashes[kept]), len(kept), prior)
     for table in (positive, unlabelled):
         unspool(table)
     return Model(hashes[kept], weights, bias, prior)
