@@ -213,9 +213,9 @@ def places(df: DataFrame, size: int = 13) -> DataFrame:
     return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(sort, "doc_id long, mark long, starts binary")
 
 
-def remove_repeats(df: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", as_was: bool = False) -> DataFrame:
     """The columns `keep` with n_words, n_removed and kept_text: the words, joined by one space, that no window covers which also
-    begins in a document with a smaller id.
+    begins in a document with a smaller id. as_was: a text of which nothing is removed is kept with its white space.
 
     Windows are judged on the input, not on what is left. Null and empty texts have no words and an empty kept_text. Documents with
     fewer than `size` words have no window. Rows with one id don't repeat each other; of rows with a null id nothing is removed, and
@@ -245,7 +245,7 @@ def remove_repeats(df: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_
                     removed = len(words) - len(free)
                     kept = " ".join([words[j] for j in free])
                 else:
-                    kept = " ".join(words)
+                    kept = (text.as_py() or "") if as_was else " ".join(words)
                 out.append((len(words), removed, kept))
                 n += len(kept)
                 if n > 8 << 20 or i == b.num_rows - 1:
