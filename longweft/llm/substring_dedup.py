@@ -7,7 +7,8 @@ has a smaller document id is reported by its place.
 
 Before anything is sent, equal windows of one batch of documents are resolved: only those of the batch's smallest id travel. So a
 passage or text that a third of all documents share is sent once a batch, however many have it. Buckets are worked through in
-passes of bounded memory, over packed strings that lie on disk beyond 64 MB.
+passes of bounded memory, over packed strings that lie on disk beyond 64 MB. Places of repeats go to shards of documents in packs,
+where they meet the texts.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from .common import WORD_RE
 
 GRAM = 3
 #: Characters of text worked on together before sending, and windows sorted together in a bucket.
-BATCH_CHARS, PASS_WINDOWS = 8 << 20, 4 << 20
+BATCH_CHARS, PASS_WINDOWS = 12 << 20, 4 << 20
 MULTIPLIERS = np.random.default_rng(13).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-SENT = "bucket int, packed binary, doc_id long, mark long, starts binary"
+#: A packed string for a bucket, or (places) packed places for the shard of documents that has the number `bucket`.
+SENT = "bucket int, places boolean, packed binary"
+PRIME = 1_000_003
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -95,16 +98,19 @@ class Batch:
         """Rows of SENT: packed super-k-mers by bucket, and places of windows known to be repeats."""
         if not self.docs:
             return
-        ids, size, k = np.concatenate(self.ids), np.array([len(i) for i in self.ids]), self.size
-        words = list(self.vocabulary)
+        words = sorted(self.vocabulary)  # in order, words of a packed string are much alike
+        number = np.empty(len(words), dtype=np.int32)
+        number[[self.vocabulary[w] for w in words]] = np.arange(len(words), dtype=np.int32)
+        ids, size, k = number[np.concatenate(self.ids)], np.array([len(i) for i in self.ids]), self.size
         h = word_hashes(words)
         first, second = h[0][ids], h[1][ids]
         begin = np.cumsum(size) - size
         at = spans(begin, size - k + 1)  # where windows begin
         row = np.repeat(np.arange(len(size)), size - k + 1)
-        doc = np.array([d for d, _ in self.docs], dtype=np.int64)
-        repeat = later(sums(first, k)[at], sums(second, k)[at], doc[row])
-        yield from self._places(at[repeat] - begin[row[repeat]], row[repeat])
+        docs = np.array(self.docs, dtype=np.int64)
+        repeat = later(sums(first, k)[at], sums(second, k)[at], docs[row, 0])
+        for shard, packed in pack_places(docs[row[repeat]], at[repeat] - begin[row[repeat]], self.buckets):
+            yield shard, True, packed
         grams = mix(sums(second, GRAM))
         least = np.lib.stride_tricks.sliding_window_view(grams, k - GRAM + 1).min(axis=1)[at[~repeat]]
         at, row = at[~repeat], row[~repeat]
@@ -120,49 +126,66 @@ class Batch:
             start, n, r = at[head[part]], windows[part], row[head[part]]
             used, number = np.unique(ids[spans(start, n + k - 1)], return_inverse=True)
             kind = "<u2" if len(used) < 1 << 16 else "<u4"
-            docs, of = np.unique(r, return_inverse=True)
+            own, of = np.unique(r, return_inverse=True)
             text = " ".join([words[i] for i in used.tolist()]).encode("utf-8", "surrogatepass")
-            parts = [
-                np.array([self.docs[i] for i in docs.tolist()], dtype="<i8").tobytes(), of.astype("<u4").tobytes(), (start - begin[r]).astype("<u4").tobytes(),
-                n.astype("<u4").tobytes(), number.astype(kind).tobytes(), text,
-            ]
-            yield int(b), zstandard.compress(struct.pack("<7I", *map(len, parts), int(kind[2])) + b"".join(parts), 3), None, None, None
+            parts = [docs[own].astype("<i8"), steps(of), steps(start - begin[r]), n.astype("<u1" if n.max() < 256 else "<u4"), number.astype(kind)]
+            parts = [x.tobytes() for x in parts] + [text]
+            yield int(b), False, zstandard.compress(struct.pack("<8I", *map(len, parts), int(kind[2]), len(n)) + b"".join(parts), 3)
 
-    def _places(self, start: np.ndarray, row: np.ndarray):
-        """Rows of SENT for places; row: ascending."""
-        for r in np.unique(row).tolist():
-            doc, mark = self.docs[r]
-            yield int(mark % self.buckets), None, doc, mark, start[np.searchsorted(row, r) : np.searchsorted(row, r, "right")].astype("<u4").tobytes()
+
+def steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=0).astype("<i4")
+
+
+def pack_places(docs: np.ndarray, at: np.ndarray, shards: int):
+    """(shard, packed places) for windows at places `at` of documents `docs`, rows of (id, mark)."""
+    if not len(at):
+        return
+    shard = (docs[:, 0] % PRIME * 7919 + docs[:, 1] % PRIME) % shards
+    order = np.lexsort((at, docs[:, 1], docs[:, 0], shard))
+    docs, at, shard = docs[order], at[order], shard[order]
+    for i, j in zip(c := np.flatnonzero(np.append(True, np.diff(shard) != 0)), [*c[1:], len(at)]):
+        own = np.flatnonzero(np.append(True, (docs[i + 1 : j] != docs[i : j - 1]).any(axis=1)))
+        parts = [docs[i:j][own].astype("<i8").tobytes(), np.diff(np.append(own, j - i)).astype("<u4").tobytes(), steps(at[i:j]).tobytes()]
+        yield int(shard[i]), zstandard.compress(struct.pack("<2I", len(own), j - i) + b"".join(parts), 3)
+
+
+def unpack_places(packed: bytes):
+    """((id, mark), places) of each document of a pack."""
+    raw = zstandard.decompress(packed)
+    n, total = struct.unpack_from("<2I", raw)
+    docs = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(-1, 2).tolist()
+    sizes = np.frombuffer(raw, "<u4", n, 8 + 16 * n)
+    at = np.cumsum(np.frombuffer(raw, "<i4", total, 8 + 20 * n), dtype=np.int64)
+    return zip(map(tuple, docs), np.split(at, np.cumsum(sizes)[:-1]))
 
 
 def unpack(packed: bytes, size: int):
     """Of a packed string: the fingerprints of its windows, and for each window its (document id, mark) and place."""
     raw = zstandard.decompress(packed)
-    *sizes, width = struct.unpack_from("<7I", raw)
-    ends = np.cumsum([28, *sizes])
+    *sizes, width, runs = struct.unpack_from("<8I", raw)
+    ends = np.cumsum([32, *sizes])
     docs, of, start, n, number, text = (raw[a:b] for a, b in zip(ends, ends[1:]))
-    docs, of, start, n = np.frombuffer(docs, "<i8").reshape(-1, 2), np.frombuffer(of, "<u4"), np.frombuffer(start, "<u4").astype(np.int64), np.frombuffer(n, "<u4").astype(np.int64)
+    docs, n = np.frombuffer(docs, "<i8").reshape(-1, 2), np.frombuffer(n, "<u1" if len(n) == runs else "<u4").astype(np.int64)
+    of, start = np.cumsum(np.frombuffer(of, "<i4")), np.cumsum(np.frombuffer(start, "<i4"), dtype=np.int64)
     h = word_hashes(text.decode("utf-8", "surrogatepass").split(" "))[:, np.frombuffer(number, f"<u{width}")]
     at = spans(np.cumsum(n + size - 1) - (n + size - 1), n)
     return sums(h[0], size)[at], sums(h[1], size)[at], docs[np.repeat(of, n)], spans(start, n)
 
 
-def places(df: DataFrame, size: int = 13) -> DataFrame:
-    """Of texts df (doc_id, mark, text): rows doc_id, mark, starts (packed places of windows that a smaller doc_id also has)."""
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def places(df: DataFrame, shards: int, size: int = 13) -> DataFrame:
+    """Of texts df (doc_id, mark, text): rows shard, packed (places of windows that a smaller doc_id also has)."""
 
     def send(batches):
         import pyarrow as pa
 
-        types = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        names = ["bucket", "packed", "doc_id", "mark", "starts"]
-        batch = Batch(size, buckets)
+        batch = Batch(size, shards)
 
         def flush():
             rows = list(batch.send())
             batch.clear()
             for i in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[i : i + 4096]), types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows[i : i + 4096]), (pa.int32(), pa.bool_(), pa.binary()))], names=["bucket", "places", "packed"])
 
         for b in batches:
             for doc, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
@@ -174,17 +197,21 @@ def places(df: DataFrame, size: int = 13) -> DataFrame:
     def sort(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "mark", "starts"]
+        def rows(shard, packed):
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(packed, pa.binary())], names=["shard", "packed"])
+
         with tempfile.SpooledTemporaryFile(64 << 20) as held:
             total = 0
             for b in batches:
-                for packed, doc, mark, starts in zip(*(b.column(i) for i in range(1, 5))):
-                    if packed.is_valid:
+                done = b.column(1).to_pylist()
+                for packed, known in zip(b.column(2), done):
+                    if not known:
                         raw = packed.as_py()
                         held.write(struct.pack("<I", len(raw)) + raw)
                         total += len(raw)
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([mark.as_py()], pa.int64()), pa.array([starts.as_py()], pa.binary())], names=names)
+                if any(done):
+                    b = b.filter(b.column(1))
+                    yield rows(b.column(0), b.column(2))
             passes = max(1, -(-total // (8 * PASS_WINDOWS)))  # a window takes 8 bytes or so
             for one in range(passes):
                 held.seek(0)
@@ -195,22 +222,15 @@ def places(df: DataFrame, size: int = 13) -> DataFrame:
                         mine = mix(a) % np.uint64(passes) == one
                         a, b, docs, at = a[mine], b[mine], docs[mine], at[mine]
                     found.append((a, b, docs, at.astype(np.uint32)))
-                if not found:
-                    continue
-                a, b, docs, at = (np.concatenate(x) for x in zip(*found))
-                found = None
-                repeat = later(a, b, docs[:, 0])
-                docs, at = docs[repeat], at[repeat]
-                order = np.lexsort((docs[:, 1], docs[:, 0]))
-                docs, at = docs[order], at[order]
-                cut = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]).any(axis=1))) if len(docs) else np.zeros(0, np.int64)
-                for i in range(0, len(cut), 8192):
-                    c = cut[i : i + 8192]
-                    ends = np.append(cut, len(docs))[i + 1 : i + 1 + len(c)]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[c, 0]), pa.array(docs[c, 1]), pa.array([at[x:y].astype("<u4").tobytes() for x, y in zip(c, ends)], pa.binary())], names=names)
+                if found:
+                    a, b, docs, at = (np.concatenate(x) for x in zip(*found))
+                    found = None
+                    repeat = later(a, b, docs[:, 0])
+                    if packs := list(pack_places(docs[repeat], at[repeat].astype(np.int64), shards)):
+                        yield rows(*zip(*packs))
 
     sent = df.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "mark", "text").mapInArrow(send, SENT)
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(sort, "doc_id long, mark long, starts binary")
+    return sent.repartitionById(shards, F.col("bucket")).mapInArrow(sort, "shard int, packed binary")
 
 
 def remove_repeats(df: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", as_was: bool = False) -> DataFrame:
@@ -224,21 +244,29 @@ def remove_repeats(df: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_
     made = {"n_words": "long", "n_removed": "long", "kept_text": "string"}
     keep = tuple(c for c in keep if c not in made)
     rows = df.select(*(F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    found = places(rows, size).groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
+    shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(PRIME)) * 7919 + F.pmod("mark", F.lit(PRIME))) % shards
+    texts = rows.withColumn("shard", at.cast("int")).withColumn("packed", F.lit(None).cast("binary"))
+    found = places(rows, shards, size)
     schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *(T.StructField(c, T._parse_datatype_string(t)) for c, t in made.items())])
 
     def cut(batches):
         import pyarrow as pa
 
+        known: dict[tuple[int, int], list[np.ndarray]] = {}  # of this shard's documents; they come first
         for b in batches:
-            out, n = [], 0
-            first = 0
-            for i, (text, starts) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1))):
+            for packed in b.column(b.num_columns - 1).drop_null():
+                for doc, starts in unpack_places(packed.as_py()):
+                    known.setdefault(doc, []).append(starts)
+            b = b.filter(b.column(b.num_columns - 1).is_null())
+            out, n, first = [], 0, 0
+            for i, (doc, mark, text) in enumerate(zip(*(b.column(len(keep) + j) for j in range(3)))):
+                starts = known.get((doc.as_py(), mark.as_py()))
                 words = WORD_RE.findall(text.as_py() or "")
                 removed = 0
-                if starts.is_valid and len(starts):
+                if starts:
                     edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    at = np.unique(np.frombuffer(b"".join(starts.as_py()), dtype="<u4"))
+                    at = np.unique(np.concatenate(starts))
                     edge[at] += 1
                     edge[at + size] -= 1
                     free = np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()
@@ -253,4 +281,6 @@ def remove_repeats(df: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_
                     yield pa.RecordBatch.from_arrays([*(c.slice(first, len(out)) for c in b.columns[: len(keep)]), *new], names=[*keep, *made])
                     out, n, first = [], 0, i + 1
 
-    return rows.join(found, ["doc_id", "mark"], "left").select(*(f"k_{i}" for i in range(len(keep))), "text", "starts").mapInArrow(cut, schema)
+    both = texts.unionByName(found, allowMissingColumns=True).select(*(f"k_{i}" for i in range(len(keep))), "doc_id", "mark", "text", "packed", "shard")
+    dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.isnull("packed"))
+    return dealt.drop("shard").mapInArrow(cut, schema)
