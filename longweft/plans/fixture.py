@@ -7,9 +7,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dna import revcomp, text_as_dna
-from ..operators import mapping, pairs, sketch
+from ..functions.shared import stage
+from ..operators import gapfill, layout, liftover, mapping, overlap, pairs, sketch
 
 K, W, Z, MOST, LEAST = 21, 10, 1000, 10, 3000
+FINE_K, FINE_W = 15, 5
 CONTIG, STEP, OVERLAP_STEP, READ, READ_STEP = 1200, 1400, 1100, 3000, 1500
 
 
@@ -27,7 +29,8 @@ def pieces(seqs: DataFrame, size: int, step: int, letter: str, odd: Column) -> D
 
 
 class Assembly:
-    """The stages from documents to the scaffold graph, each a lazy DataFrame."""
+    """The stages from documents to scaffolds. What several later stages read (mappings, the graph, paths, regions, cuts) is written to the
+    shared folder once; all else is lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, overlapping: bool = False, scheme: str = "md5"):
         self.spark, self.step, self.scheme = spark, OVERLAP_STEP if overlapping else STEP, scheme
@@ -73,7 +76,7 @@ class Assembly:
 
     @cached_property
     def mappings(self) -> DataFrame:
-        return mapping.mappings(self.accepted)
+        return stage(mapping.mappings(self.accepted))
 
     @cached_property
     def estimates(self) -> DataFrame:
@@ -89,4 +92,66 @@ class Assembly:
 
     @cached_property
     def graph(self) -> DataFrame:
-        return pairs.both_strands(self.edges)
+        return stage(pairs.both_strands(self.edges))
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        return stage(layout.named_paths(layout.layout(self.graph)))
+
+    @cached_property
+    def fine(self) -> DataFrame:
+        return sketch.sketch(overlap.region_sequences(self.contigs, self.regions), FINE_K, FINE_W, "contig", scheme=self.scheme)
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        return stage(overlap.valid_regions(self.paths, self.lengths, FINE_K))
+
+    @cached_property
+    def shared(self) -> DataFrame:
+        return stage(overlap.shared_minimizers(overlap.region_minimizers(self.fine, self.regions), self.regions))
+
+    @cached_property
+    def cuts(self) -> DataFrame:
+        return stage(overlap.cut_points(self.shared))
+
+    @cached_property
+    def trims(self) -> DataFrame:
+        return stage(overlap.trims(self.paths, self.cuts, self.lengths, FINE_K))
+
+    @cached_property
+    def trimmed_paths(self) -> DataFrame:
+        return overlap.trimmed_paths(self.paths, self.cuts, self.trims)
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return gapfill.gap_pairs(self.paths)
+
+    @cached_property
+    def gap_reads(self) -> DataFrame:
+        return gapfill.supporting_reads(self.mappings, self.gaps)
+
+    @cached_property
+    def gap_cuts(self) -> DataFrame:
+        return stage(gapfill.cut_points(gapfill.best_reads(self.gap_reads, K), K))
+
+    @cached_property
+    def untrimmed(self) -> DataFrame:
+        """Trims of an assembly whose contigs don't overlap: each is whole."""
+        none = F.lit(None).cast("int")
+        return self.lengths.select("contig", F.lit(None).cast("string").alias("ori"), none.alias("source_cut"), none.alias("target_cut"), F.lit(0).alias("start"), F.col("length").alias("stop"), F.lit(False).alias("omitted"))
+
+    @cached_property
+    def plain_agp(self) -> DataFrame:
+        return stage(overlap.agp(self.paths, self.untrimmed))
+
+    def placed(self, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        spans = gapfill.final_trims(self.untrimmed, cuts)
+        return gapfill.layout(self.paths, self.gaps, cuts, spans), spans
+
+    @cached_property
+    def lifted(self) -> DataFrame:
+        return liftover.lift_mappings(self.mappings, self.plain_agp, self.scaffold_lengths, K)
+
+    @cached_property
+    def scaffold_lengths(self) -> DataFrame:
+        return self.plain_agp.groupBy(F.col("object").alias("contig")).agg(F.max("stop").cast("int").alias("length"))

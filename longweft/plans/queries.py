@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dna import flip, revcomp
-from ..operators import mapping, pairs, sketch
+from ..operators import assembly, gapfill, layout, liftover, mapping, overlap, paf, pairs, sketch
 from . import sql
 from .fixture import K, MOST, W, Z, Assembly
 
@@ -72,3 +72,67 @@ q("graph_vertices", "SELECT contig || o AS v, length FROM contigs, (VALUES ('+')
 sql.STEPS["checkpoint"] = "SELECT * REPLACE (max(greatest(hr, tr)) OVER (PARTITION BY read_id) AS read_len) FROM mapped"
 sql.STEPS["checkpoint_estimates"] = sql.estimates("checkpoint")
 q("pairs_from_checkpoint", sql.TALLY.format("checkpoint_estimates"), lambda a: pairs.tally(pairs.gap_estimates(pairs.read_pairs(pairs.from_checkpoint(a.mappings), MOST), K)))
+
+# mapped blocks
+q("paf_blocks", "SELECT read_id, contig, block, cpos, rpos FROM paf_blocks", lambda a: paf.blocks(a.mappings).select("read_id", "contig", "block", "cpos", "rpos"))
+q("paf_rows", sql.PAF, lambda a: paf.paf_rows(a.mappings, K))
+# layout
+q("n_sweep_edges", "SELECT w, count(*) AS edges FROM graph_w GROUP BY w", lambda a: layout.weight_sweep(a.graph).groupBy("w").agg(F.count(F.lit(1)).alias("edges")))
+q("transitive_reduction", "SELECT src, dst, d, n FROM reduced", lambda a: layout.transitive_reduction(a.graph).select("src", "dst", "d", "n"))
+q("unambiguous_edges", "SELECT src, dst, d, n FROM best", lambda a: layout.unambiguous(layout.transitive_reduction(a.graph)).select("src", "dst", "d", "n"))
+q("path_layout", "SELECT start, step, contig, ori, gap, d FROM paths", lambda a: layout.layout(a.graph))
+q("optimal_n", "SELECT w, n50, row_number() OVER (ORDER BY n50 DESC, w) = 1 AS best FROM n50_w", lambda a: layout.optimal_weight(a.graph, a.lengths))
+q("normalized_paths", "SELECT path_id, string_agg(contig || ori || CASE WHEN gap IS NULL THEN '' ELSE ' ' || gap || 'N' END, ' ' ORDER BY step) AS path FROM named GROUP BY path_id", lambda a: layout.path_lines(a.paths))
+q("path_nodes", "SELECT path_id, step, contig, ori, gap FROM named", lambda a: layout.parse_path_lines(layout.path_lines(a.paths)))
+q("gap_cap", "SELECT path_id, step, contig, least(gap, 151) AS gap FROM named", lambda a: layout.cap_gap(a.paths, 150).select("path_id", "step", "contig", "gap"))
+PATH_EDGES = """SELECT source || source_ori AS src, target || target_ori AS dst, gap - 1 AS d FROM nexts UNION ALL SELECT target || translate(target_ori, '+-', '-+'), source || translate(source_ori, '+-', '-+'), gap - 1 FROM nexts"""
+sql.STEPS["nexts"] = "SELECT * FROM (SELECT path_id, step, contig AS source, ori AS source_ori, gap, d, lead(contig) OVER w AS target, lead(ori) OVER w AS target_ori FROM named WINDOW w AS (PARTITION BY path_id ORDER BY step)) WHERE target IS NOT NULL"
+sql.STEPS["path_edges"] = PATH_EDGES
+q("path_graph", "SELECT src, dst, d FROM path_edges", lambda a: layout.path_edges(a.paths))
+# stitching: the layouts of all thresholds but 4 mend that of 4
+sql.STEPS["best_4"] = "SELECT src, dst FROM best_w WHERE w = 4"
+STITCH = """SELECT src, dst, trunc(median(d))::INT AS d, count(DISTINCT w) AS n FROM best_w WHERE w <> 4 AND (src, dst) NOT IN (SELECT (src, dst) FROM best_4) AND src NOT IN (SELECT src FROM best_4) AND dst NOT IN (SELECT dst FROM best_4) GROUP BY src, dst"""
+
+
+def stitch(a: Assembly) -> DataFrame:
+    best = layout.unambiguous(layout.transitive_reduction(layout.weight_sweep(a.graph), ["w"]), ["w"])
+    return layout.stitch_candidates(best.filter("w = 4"), best.filter("w <> 4").withColumn("file", F.col("w")))
+
+
+q("stitch_candidates", STITCH, stitch)
+sql.STEPS["lin0"] = "SELECT src, dst, n, n < 3 AS new FROM reduced"
+for _i, _end in ((1, "dst"), (2, "src")):
+    sql.STEPS[f"lin{_i}"] = f"""SELECT src, dst, n, new FROM (SELECT *, count(*) OVER w AS c, count(*) FILTER (WHERE NOT new) OVER w AS old, count(*) FILTER (WHERE n = top) OVER w AS ties FROM (SELECT *, max(n) OVER (PARTITION BY {_end}) AS top FROM lin{_i - 1}) WINDOW w AS (PARTITION BY {_end}))
+WHERE c = 1 OR CASE WHEN old > 0 THEN NOT new ELSE n = top AND ties = 1 END"""
+q("linearized_edges", "SELECT src, dst, n, new FROM lin2", lambda a: layout.linearize(layout.transitive_reduction(a.graph).select("src", "dst", "n", (F.col("n") < 3).alias("new"))))
+sql.STEPS["near"] = "SELECT a.path_id, a.contig || a.ori AS src, b.contig || b.ori AS dst, (b.step - a.step)::INT AS apart, a.step FROM named a JOIN named b ON a.path_id = b.path_id AND b.step > a.step AND b.step <= a.step + 4"
+q("neighbourhood_edges", "SELECT path_id, src, dst, apart FROM near", lambda a: layout.neighbourhood_edges(a.paths))
+sql.STEPS["spanning"] = "SELECT path_id, unnest(range(step, step + apart)) AS step FROM near JOIN (SELECT src, dst FROM graph) USING (src, dst) WHERE apart > 1"
+q("transitive_support", "SELECT path_id, step, source || source_ori AS src, target || target_ori AS dst, coalesce(c, 0) AS support FROM nexts LEFT JOIN (SELECT path_id, step, count(*) AS c FROM spanning GROUP BY ALL) USING (path_id, step)", lambda a: layout.transitive_support(a.paths, a.graph))
+# overlaps: contigs whose neighbours overlap
+q("valid_regions", "SELECT path_id, step, side, contig, ori, length, start, stop FROM regions_ov", lambda a: a.regions, True)
+q("shared_minimizers", "SELECT path_id, step, hash, spos, tpos FROM shared_ov", lambda a: a.shared.select("path_id", "step", "hash", "spos", "tpos"), True)
+q("overlap_islands", "SELECT path_id, step, hash, island FROM islands_ov", lambda a: overlap.islands(a.shared).select("path_id", "step", "hash", F.col("island").cast("int").alias("island")), True)
+q("overlap_cuts", "SELECT path_id, step, spos, tpos, hash FROM cuts_ov", lambda a: a.cuts, True)
+q("trim_coordinates", "SELECT contig, ori, source_cut, target_cut, start, stop, omitted FROM trims_ov", lambda a: a.trims, True)
+q("trimmed_paths", "SELECT path_id, step, contig, ori, gap FROM trimmed_ov", lambda a: a.trimmed_paths.drop("d"), True)
+q("agp_scaffold", 'SELECT object, start, stop, part, kind, component, "from", "to", ori FROM agp_ov', lambda a: overlap.agp(a.trimmed_paths, a.trims), True)
+# assembly
+q("trimmed_sequences", "SELECT contig, header, seq FROM cut_seqs", lambda a: assembly.trimmed_sequences(a.contigs, a.trims), True)
+q("merged_scaffolds", "SELECT id, members, seq FROM merged", lambda a: assembly.merge(a.trimmed_paths, assembly.trimmed_sequences(a.contigs, a.trims)), True)
+q("assembly_stats", sql.stats("merged"), lambda a: assembly.stats(assembly.merge(a.trimmed_paths, assembly.trimmed_sequences(a.contigs, a.trims))), True)
+
+# gap filling
+q("gap_pairs", "SELECT path_id, step, source, source_ori, target, target_ori, gap_size FROM gap_pairs", lambda a: a.gaps)
+q("supporting_reads", "SELECT path_id, step, read_id, ao, bo, est, mean_hits FROM gap_est", lambda a: a.gap_reads.select("path_id", "step", "read_id", F.col("a.ori").alias("ao"), F.col("b.ori").alias("bo"), gapfill.estimate(K).cast("int").alias("est"), ((F.col("a.hit_count") + F.col("b.hit_count")) / 2).alias("mean_hits")))
+q("best_gap_read", "SELECT path_id, step, read_id, est, mean_hits FROM best_reads", lambda a: gapfill.best_reads(a.gap_reads, K).select("path_id", "step", "read_id", F.col("est").cast("int").alias("est"), "mean_hits"))
+CUTS = "path_id, step, source, source_ori, target, target_ori, gap_size, read_id, read_ori, source_ctg_cut, source_read_cut, target_ctg_cut, target_read_cut"
+q("cut_points", f"SELECT {CUTS} FROM gap_cuts", lambda a: a.gap_cuts)
+q("masked_sequences", "SELECT path_id, step, role, name, seq FROM masked", lambda a: gapfill.masked(a.gap_cuts, a.contigs, a.reads))
+q("gap_fill_sequences", "SELECT id, seq FROM filled", lambda a: gapfill.filled(a.placed(a.gap_cuts)[0], a.contigs, a.reads))
+q("fill_stats", "SELECT num_gaps, num_gaps - p AS small_gaps, p AS potential_fills, f AS filled_gaps, 0 AS new_anchors, f AS old_anchors, p - f AS unfilled FROM (SELECT count(gap) AS num_gaps FROM named), (SELECT count(*) AS p FROM gap_pairs), (SELECT count(*) AS f FROM gap_cuts)", lambda a: gapfill.fill_stats(a.paths, a.gaps, a.gap_cuts))
+q("agp_gapfill", 'SELECT object, start, stop, part, kind, component, "from", "to", ori FROM fill_agp', lambda a: gapfill.agp(*a.placed(a.gap_cuts)))
+q("gap_fill_remapped", None, lambda a: gapfill.remapped(a.gap_cuts, a.contigs, a.reads, scheme="md5"))
+# liftover and rounds
+q("liftover_hits", "SELECT read_id, map_idx, contig, j, cpos, cstrand, rpos, rstrand FROM lifted", lambda a: liftover.lift_hits(a.mappings, a.plain_agp, K).drop("read_len"))
+q("liftover_mappings", "SELECT read_id, map_idx, contig, hit_count, hits FROM lift_mapped SEMI JOIN lift_mono USING (read_id, contig)", lambda a: a.lifted.select("read_id", "map_idx", "contig", "hit_count", mapping.hit_text().alias("hits")))
