@@ -27,7 +27,7 @@ def lift_hits(mapped: DataFrame, agp: DataFrame, k: int) -> DataFrame:
 
     inside = F.filter("hits", lambda h: (h["cpos"] >= F.col("c0") - 1) & (h["cpos"] <= F.col("c1") - k))
     hits = F.when(F.col("object").isNotNull(), F.transform(inside, move)).otherwise(F.expr("slice(hits, 1, 0)"))
-    return on.select("read_id", "read_len", "map_idx", F.coalesce("object", "contig").alias("contig"), F.posexplode_outer(hits).alias("j", "h")).select("read_id", "read_len", "map_idx", "contig", "j", "h.*")
+    return on.select("read_id", "read_len", "map_idx", F.coalesce("object", "contig").alias("onto"), F.posexplode_outer(hits).alias("j", "h")).select("read_id", "read_len", "map_idx", F.col("onto").alias("contig"), "j", "h.*")
 
 
 def lift_mappings(mapped: DataFrame, agp: DataFrame, lengths: DataFrame, k: int) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dna import flip, revcomp
+from ..functions.shared import shared_folder, stage
 from ..operators import assembly, gapfill, layout, liftover, mapping, overlap, paf, pairs, sketch
-from . import sql
+from ..streaming import pair_tally
+from . import engine, sql
 from .fixture import K, MOST, W, Z, Assembly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +139,24 @@ q("gap_fill_remapped", None, lambda a: gapfill.remapped(a.gap_cuts, a.contigs, a
 # liftover and rounds
 q("liftover_hits", "SELECT read_id, map_idx, contig, j, cpos, cstrand, rpos, rstrand FROM lifted", lambda a: liftover.lift_hits(a.mappings, a.plain_agp, K).drop("read_len"))
 q("liftover_mappings", "SELECT read_id, map_idx, contig, hit_count, hits FROM lift_mapped SEMI JOIN lift_mono USING (read_id, contig)", lambda a: a.lifted.select("read_id", "map_idx", "contig", "hit_count", mapping.hit_text().alias("hits")))
+
+
+def rounds_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = Assembly(spark, sf_dir)
+    p = engine.Params(k=K, w=W, z=Z, max_n=3)
+    out = engine.run_rounds(stage(a.contigs.select("contig", "seq")), stage(a.reads.select("read_id", "seq")), p, rounds=2)
+    return out.select("id", F.length("seq").alias("length"), F.md5("seq").alias("digest"))
+
+
+QUERIES["rounds_two"] = rounds_two
+
+
+def streaming_pair_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = pair_tally.per_read(Assembly(spark, sf_dir).mappings).repartition(6)
+    path = f"{shared_folder(spark)}/longweft/reads-{uuid.uuid4().hex}"
+    reads.write.parquet(path)
+    return pair_tally.run(path, reads, K, MOST)
+
+
+QUERIES["streaming_pair_tally"] = streaming_pair_tally
+ORACLE_SQL["streaming_pair_tally"] = sql.query(f"SELECT {PAIR} FROM tally")
