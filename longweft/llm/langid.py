@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 LAST = BUCKETS - 1
 DIM = 16
 #: The bound on training examples, dealt evenly to the languages, and the words of each.
-EXAMPLES = 12_000
+EXAMPLES = 8_000
 WORDS = 64
 SEED = 7
 
@@ -122,7 +122,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", example
     per_lang = {k: min(1.0, examples / len(langs) / n) for k, n in counts.items()}
     rows = runs(df, per_lang, F.col("lang")).limit(2 * examples).collect()
     rng = np.random.default_rng(SEED)
-    data = [(np.array(ids), langs.index(r["lang"])) for r in sorted(rows, key=lambda r: (r["lang"], r["text"])) if (ids := [i for w in LETTERS.findall(r["text"].lower()) for i in subwords(w)])]
+    data = [(np.array(ids, dtype=np.int32), langs.index(r["lang"])) for r in sorted(rows, key=lambda r: (r["lang"], r["text"])) if (ids := [i for w in LETTERS.findall(r["text"].lower()) for i in subwords(w)])]
     order = rng.permutation(len(data))
     held, used = order[: len(data) // 5], order[len(data) // 5 :]
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)

@@ -13,6 +13,7 @@ counts by (part of the table, length), so no task holds a length as a whole.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,25 +71,21 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float =
     return [(np.frombuffer(k, dtype=np.int64), n * scale) for k, n in uses.items()], bound
 
 
-def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best fit, longest first. Sequences are kept by free room, and `some` has a bit for each room of which there are any."""
-    room: list[list[np.ndarray]] = [[] for _ in range(capacity + 1)]
+def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first: configurations (length: count) and how often each is used. Sequences are kept by free room, and
+    `some` has a bit for each room of which there are any."""
+    room: list[list[tuple[int, ...]]] = [[] for _ in range(capacity + 1)]
     some = 0
     for length in range(capacity, 0, -1):
         for _ in range(int(demand[length])):
             fits = some >> length
             free = length + (fits & -fits).bit_length() - 1 if fits else capacity
-            one = room[free].pop() if fits else np.zeros(capacity + 1, dtype=np.int16)
+            one = room[free].pop() if fits else ()
             if fits and not room[free]:
                 some ^= 1 << free
-            one[length] += 1
-            room[free - length].append(one)
+            room[free - length].append((*one, length))
             some |= 1 << (free - length)
-    count: dict[bytes, int] = {}
-    for bins in room:
-        for one in bins:
-            count[one.tobytes()] = count.get(one.tobytes(), 0) + 1
-    return [(np.frombuffer(k, dtype=np.int16).astype(np.int64), n) for k, n in count.items()]
+    return [(Counter(one), n) for one, n in Counter(one for bins in room for one in bins).items()]
 
 
 @dataclass
@@ -123,7 +120,7 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
             used = config > 0
             n = int(min(times, (left[used] // config[used]).min()))
             if n and ((config * lengths).sum() >= capacity * full * 0.98 or last):  # less full ones waste room that later pieces may use
-                chosen.append((config, n))
+                chosen.append(({int(one): int(config[one]) for one in np.flatnonzero(config)}, n))
                 left -= config * n
         if left.sum() <= REST:
             break
@@ -132,11 +129,10 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
     rank, sequence = np.zeros(capacity + 1, dtype=np.int64), 0
     for config, n in chosen:
         offset = 0
-        for one in np.flatnonzero(config)[::-1]:
-            k = int(config[one])
-            slots.setdefault(int(one), []).append((rank[one], sequence, k, offset))
+        for one, k in sorted(config.items(), reverse=True):
+            slots.setdefault(one, []).append((int(rank[one]), sequence, k, offset))
             rank[one] += k * n
-            offset += k * int(one)
+            offset += k * one
         sequence += n
     return Plan({k: np.array(v, dtype=np.int64) for k, v in slots.items()}, sequence, lower)
 
@@ -147,7 +143,6 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: s
 
     def run(batches):
         import pyarrow as pa
-        from collections import Counter
         from pyspark import TaskContext
 
         e, part, seen = encoder(vocabulary, fast=True), TaskContext.get().partitionId(), Counter()
