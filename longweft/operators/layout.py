@@ -7,7 +7,7 @@ logarithm of the longest chain; their state is written to the shared folder, so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dna import flip
 from ..functions.shared import stage
@@ -72,11 +72,16 @@ def one_strand(paths: DataFrame, by: list[str] = []) -> DataFrame:
     return ends.filter("a < b").drop("a", "b")
 
 
+def written_gap(d: str, least: int) -> Column:
+    """A gap as path files have it, one more than the real one; null after the last contig (greatest() would pass over the null)."""
+    return F.when(F.col(d).isNotNull(), F.greatest(d, F.lit(least)) + 1)
+
+
 def layout(edges: DataFrame, by: list[str] = [], min_gap: int = 20, hops: int = HOPS) -> DataFrame:
     """Paths: by..., start, step, contig, ori, gap (max(d, min_gap) + 1 before the next contig, null at the end), d."""
     best = unambiguous(transitive_reduction(edges, by, hops), by)
     paths = one_strand(chains(best, by), by)
-    return paths.select(*by, "start", "step", F.expr("left(node, length(node) - 1)").alias("contig"), F.expr("right(node, 1)").alias("ori"), (F.greatest("gap_after", F.lit(min_gap)) + 1).alias("gap"), F.col("gap_after").alias("d"))
+    return paths.select(*by, "start", "step", F.expr("left(node, length(node) - 1)").alias("contig"), F.expr("right(node, 1)").alias("ori"), written_gap("gap_after", min_gap).alias("gap"), F.col("gap_after").alias("d"))
 
 
 def scaffold_lengths(paths: DataFrame, lengths: DataFrame, by: list[str] = []) -> DataFrame:
@@ -105,20 +110,24 @@ def optimal_weight(edges: DataFrame, lengths: DataFrame, least: int = 1, most: i
     return found.select("w", "n50", (-top["m"] == F.col("w")).alias("best"))
 
 
-def named_paths(paths: DataFrame, first: int = 1) -> DataFrame:
-    """Paths with ids ntLink_<i> from `first` on, in descending order of (number of nodes, first node). Ranks are made inside each
+#: Path ids are this and a number; a parameter, so that ids of other tools can be matched.
+PREFIX = "scaffold_"
+
+
+def named_paths(paths: DataFrame, first: int = 0, prefix: str = PREFIX) -> DataFrame:
+    """Paths with ids <prefix><i> from `first` on, in descending order of (number of nodes, first node). Ranks are made inside each
     number of nodes, which is a few small counts, so no task holds all paths."""
     one = paths.groupBy("start").agg((2 * F.count(F.lit(1)) - 1).alias("nodes"), F.min_by(F.concat("contig", "ori"), "step").alias("head"))
     sizes = one.groupBy("nodes").agg(F.count(F.lit(1)).alias("c"))
     base = sizes.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("nodes")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("nodes").orderBy(F.desc("head")))
-    ids = one.join(base.select("nodes", "base"), "nodes").select("start", F.concat(F.lit("ntLink_"), (rank + F.col("base") + first - 1).cast("string")).alias("path_id"))
+    ids = one.join(base.select("nodes", "base"), "nodes").select("start", F.concat(F.lit(prefix), (rank + F.col("base") + first - 1).cast("string")).alias("path_id"))
     return paths.join(ids, "start").drop("start")
 
 
 def cap_gap(paths: DataFrame, most: int) -> DataFrame:
     """Gaps of at most `most` (+ 1 as written in paths); -1 sets no limit."""
-    return paths if most == -1 else paths.withColumn("gap", F.least("gap", F.lit(most + 1)))
+    return paths if most == -1 else paths.withColumn("gap", F.when(F.col("gap").isNotNull(), F.least("gap", F.lit(most + 1))))
 
 
 def path_lines(paths: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ class Params:
     gap_w: int = 10
     min_gap: int = 1
     scheme: str = "mix64"
+    prefix: str = layout.PREFIX
 
 
 @dataclass
@@ -94,8 +95,9 @@ def scaffold(contigs: DataFrame, reads: DataFrame | None, p: Params = Params(),
     weights = layout.optimal_weight(graph, lengths, p.n, p.max_n, p.g).filter("best").collect()  # one row
     chosen = stitched(graph, weights[0]["w"] if weights else p.n, p)
     chained = layout.one_strand(layout.chains(chosen))
-    laid = chained.select("start", "step", F.expr("left(node, length(node) - 1)").alias("contig"), F.expr("right(node, 1)").alias("ori"), (F.greatest("gap_after", F.lit(p.g)) + 1).alias("gap"), F.col("gap_after").alias("d"))
-    plain = stage(layout.cap_gap(layout.named_paths(laid, largest_number(contigs) + 1), p.max_gap))
+    laid = chained.select("start", "step", F.expr("left(node, length(node) - 1)").alias("contig"), F.expr("right(node, 1)").alias("ori"), layout.written_gap("gap_after", p.g).alias("gap"), F.col("gap_after").alias("d"))
+    used = largest_number(contigs, p.prefix)  # ids of earlier rounds stay unique
+    plain = stage(layout.cap_gap(layout.named_paths(laid, 0 if used is None else used + 1, p.prefix), p.max_gap))
     if p.overlap:
         regions = stage(overlap.valid_regions(plain, lengths, p.small_k, p.g))
         fine = sketch.sketch(overlap.region_sequences(contigs, regions), p.small_k, p.small_w, "contig", scheme=p.scheme)

@@ -87,7 +87,7 @@ q("path_layout", "SELECT start, step, contig, ori, gap, d FROM paths", lambda a:
 q("optimal_n", "SELECT w, n50, row_number() OVER (ORDER BY n50 DESC, w) = 1 AS best FROM n50_w", lambda a: layout.optimal_weight(a.graph, a.lengths))
 q("normalized_paths", "SELECT path_id, string_agg(contig || ori || CASE WHEN gap IS NULL THEN '' ELSE ' ' || gap || 'N' END, ' ' ORDER BY step) AS path FROM named GROUP BY path_id", lambda a: layout.path_lines(a.paths))
 q("path_nodes", "SELECT path_id, step, contig, ori, gap FROM named", lambda a: layout.parse_path_lines(layout.path_lines(a.paths)))
-q("gap_cap", "SELECT path_id, step, contig, least(gap, 151) AS gap FROM named", lambda a: layout.cap_gap(a.paths, 150).select("path_id", "step", "contig", "gap"))
+q("gap_cap", "SELECT path_id, step, contig, CASE WHEN gap IS NOT NULL THEN least(gap, 151) END AS gap FROM named", lambda a: layout.cap_gap(a.paths, 150).select("path_id", "step", "contig", "gap"))
 PATH_EDGES = """SELECT source || source_ori AS src, target || target_ori AS dst, gap - 1 AS d FROM nexts UNION ALL SELECT target || translate(target_ori, '+-', '-+'), source || translate(source_ori, '+-', '-+'), gap - 1 FROM nexts"""
 sql.STEPS["nexts"] = "SELECT * FROM (SELECT path_id, step, contig AS source, ori AS source_ori, gap, d, lead(contig) OVER w AS target, lead(ori) OVER w AS target_ori FROM named WINDOW w AS (PARTITION BY path_id ORDER BY step)) WHERE target IS NOT NULL"
 sql.STEPS["path_edges"] = PATH_EDGES

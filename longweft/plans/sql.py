@@ -117,10 +117,10 @@ def layout_steps(o: str, graph: str, by: str = "") -> None:
 UNION ALL SELECT {ab}a.start, a.step + 1, b.dst FROM chain{o} a JOIN best{o} b ON {same}b.src = a.node"""
     RECURSIVE.add(f"chain{o}")
     w = f"(PARTITION BY {b}start)"
-    STEPS[f"paths{o}"] = f"""SELECT {b}start, step::BIGINT AS step, left(node, length(node) - 1) AS contig, right(node, 1) AS ori, (greatest(d, 20) + 1)::INT AS gap, d FROM (
+    STEPS[f"paths{o}"] = f"""SELECT {b}start, step::BIGINT AS step, left(node, length(node) - 1) AS contig, right(node, 1) AS ori, CASE WHEN d IS NOT NULL THEN (greatest(d, 20) + 1)::INT END AS gap, d FROM (
 SELECT a.*, b.d, arg_min(left(node, length(node) - 1), step) OVER {w.replace('(PARTITION BY ', '(PARTITION BY a.')} AS first, arg_max(left(node, length(node) - 1), step) OVER {w.replace('(PARTITION BY ', '(PARTITION BY a.')} AS last FROM chain{o} a LEFT JOIN best{o} b ON {same}b.src = a.node) WHERE first < last"""
     if not by:
-        STEPS[f"named{o}"] = f"""SELECT path_id, step, contig, ori, gap, d FROM paths{o} JOIN (SELECT start, 'ntLink_' || row_number() OVER (ORDER BY nodes DESC, head DESC) AS path_id
+        STEPS[f"named{o}"] = f"""SELECT path_id, step, contig, ori, gap, d FROM paths{o} JOIN (SELECT start, 'scaffold_' || (row_number() OVER (ORDER BY nodes DESC, head DESC) - 1) AS path_id
 FROM (SELECT start, 2 * count(*) - 1 AS nodes, arg_min(contig || ori, step) AS head FROM paths{o} GROUP BY start)) USING (start)"""
 
 

@@ -112,7 +112,6 @@ def read_trims(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "contig", "start", "stop").select("contig", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
 
 
-def largest_number(contigs: DataFrame, prefix: str = "ntLink_") -> int:
-    """The largest N of contig ids `<prefix>N`, 0 if there is none."""
-    n = contigs.agg(F.max(F.regexp_extract("contig", rf"^{prefix}(\d+)$", 1).try_cast("long"))).first()[0]
-    return int(n or 0)
+def largest_number(contigs: DataFrame, prefix: str = layout.PREFIX) -> int | None:
+    """The largest N of contig ids `<prefix>N`, None if there is none."""
+    return contigs.agg(F.max(F.regexp_extract("contig", rf"^{prefix}(\d+)$", 1).try_cast("long"))).first()[0]
