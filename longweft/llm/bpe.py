@@ -80,6 +80,7 @@ class Encoder:
         self.pairs = Cache(lambda pair: self._compatible(*pair), CACHED)
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        self.size = len(self.names)
         if self.words:
             self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
             self.chunks = Cache(self._chunk, CACHED)
@@ -121,6 +122,12 @@ class Encoder:
                 return token[:size]
         return None
 
+    def unsafe(self) -> list[tuple[str, str]]:
+        """Pairs of tokens that are compatible although their joined string is a token."""
+        known = [t for t in self.ids if len(t) == 1 or t in self.parts]
+        splits = ((t[:i], t[i:]) for t in known for i in range(1, len(t)))
+        return [(a, b) for a, b in splits if a in self.automaton and b in self.automaton and self._compatible(a, b)]
+
     def merge(self, word: str) -> list[int]:
         """Ids of one word in byte characters (its last one shifted by END where the vocabulary marks ends)."""
         found = [t for _, t in self.automaton.iter_long(word)]
@@ -230,8 +237,8 @@ class RankEncoder(Encoder):
     """The same ids by a compiled merge loop, for operators that need ids fast and not by this module's method.
 
     That loop merges any two neighbours whose joined bytes are a token, lowest id first. This gives the ids of merging by
-    pairs if ids rise as merges go and no two tokens that stay neighbours join to a token, which `unsafe()` looks for and the
-    tests prove for both vocabularies. An end of word is byte 0xFF here, which UTF-8 never has.
+    pairs if ids rise as merges go and no two tokens that stay neighbours join to a token, which Encoder.unsafe() looks for
+    and the tests prove for both vocabularies. An end of word is byte 0xFF here, which UTF-8 never has.
     """
 
     def __init__(self, path: str):
@@ -241,14 +248,12 @@ class RankEncoder(Encoder):
         back = {c: bytes([b]) for b, c in enumerate(byte_characters())} | {chr(ord(c) + END): bytes([b, 0xFF]) for b, c in enumerate(byte_characters())}
         ranks = {b"".join(back[c] for c in t): i for t, i in self.ids.items() if len(t) == 1 or t in self.parts}
         self.pieces = Made(self._word) if self.words else None
+        size = len(self.names)
+        for name in ("automaton", "rank", "parts", "born", "ids", "vocab", "pairs", "shorter", "decoded", "decimal", "names"):
+            delattr(self, name)  # workers keep this object, so it keeps only what it needs
+        self.size = size
         self.core = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={} if self.words else self.special)
 
-    def unsafe(self) -> list[tuple[str, str]]:
-        """Pairs of tokens that are compatible although their joined string is a token."""
-        known = [t for t in self.ids if len(t) == 1 or t in self.parts]
-        splits = ((t[:i], t[i:]) for t in known for i in range(1, len(t)))
-        return [(a, b) for a, b in splits if a in self.automaton and b in self.automaton and self._compatible(a, b)]
-
     def _word(self, word: str) -> bytes:
         return array("I", self.core._encode_single_piece(word.encode("utf-8", "surrogatepass") + b"\xff")).tobytes()
 

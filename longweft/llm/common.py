@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -84,6 +86,15 @@ class Cache(dict):
         return value
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task, as workers live on and share their machine with the JVM."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
     """Cuts a text after white space into pieces of about `size` characters, so that a very long text is never held as one list of words."""
     if len(text) <= size:
@@ -95,15 +106,3 @@ def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
         end = m.end() if m else len(text)
         yield text[at:end]
         at = end
-
-
-def rows_of(batches, *names: str):
-    """Python values of the named columns, row by row, one Arrow batch at a time."""
-    for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-        yield batch, zip(*(([v.as_py() for v in c] if not str(c.type).startswith(("string", "large_string")) else _lazily(c)) for c in columns))
-
-
-def _lazily(column):
-    for v in column:
-        yield v.as_py()

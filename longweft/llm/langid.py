@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import slices
+from .common import give_back, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -49,7 +49,7 @@ class Model:
 class Scorer:
     """Sums of word scores, with a bounded memory of words."""
 
-    def __init__(self, model: Model, limit: int = 1_000_000):
+    def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.limit = model, limit
         self.table = np.zeros((1 << 12, len(model.langs) + 1), dtype=np.float32)
         self.rows: dict[str, int] = {}
@@ -173,5 +173,7 @@ def identify(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
             found = [score(v.as_py()) for v in batch.column(batch.num_columns - 1)]
             new = [pa.array([f[i] for f in found], type=t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*keep, *made])
+        score = None
+        give_back()
 
     return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER_AZ, Cache, slices, spool, unspool
+from .common import LOWER_AZ, Cache, give_back, slices, spool
 from .components import components
 
 BANDS, ROWS, BITS = 32, 6, 4
@@ -49,7 +49,7 @@ class Shingler:
     """Sets of shingle hashes, with a bounded memory of word hashes."""
 
     def __init__(self, n: int):
-        self.n, self.hash = n, Cache(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
+        self.n, self.hash = n, Cache(lambda w: xxhash.xxh3_64_intdigest(w), 150_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted hashes of the distinct n-word shingles; of the whole sequence, with fewer words; none without words."""
@@ -194,8 +194,8 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     """A row for each row of df: doc_id, n_shingles, component_id (the least id that linked texts lead to), kept.
 
     Lower-cases A-Z only. Null and empty texts, and those without words, have an empty set and are linked with nothing, not even with
-    one another. Rows with equal ids, or null ones, are judged by their own texts; a null id is never a component_id unless no other is
-    in the component, and `kept` is then true.
+    one another. Rows with equal ids are judged by their own texts. A row with a null id is linked by an equal set only; it is no component_id where
+    the component has another, and else `kept` is true.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -215,6 +215,8 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
                     out.append((0, None, None, None))
             types = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(zip(*out), types))] if out else [pa.array([], t) for t in (pa.int64(), *types)], names=["doc_id", "n_shingles", "node", "signature", "bands"])
+        shingles = None
+        give_back()
 
     signed = spool(rows.mapInArrow(sign, "doc_id long, n_shingles long, node binary, signature binary, bands array<long>"), "signed")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
@@ -239,6 +241,8 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
             out = [(n, r, h.tobytes()) for n, r, h, ok in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found, same) if ok]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["node", "root", "hashes"])
+        shingles = None
+        give_back()
 
     with_id = rows.filter("doc_id IS NOT NULL").join(wanted.filter("doc_id IS NOT NULL"), "doc_id").select("node", "root", "text")
     full = with_id.mapInArrow(sets, "node binary, root binary, hashes binary")

@@ -21,7 +21,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import WORD_RE
+from .common import WORD_RE, give_back
 
 GRAM = 3
 #: Characters of text worked on together before sending, and windows sorted together in a bucket.
@@ -193,6 +193,8 @@ def places(df: DataFrame, shards: int, size: int = 13) -> DataFrame:
                 if batch.chars >= BATCH_CHARS:
                     yield from flush()
         yield from flush()
+        batch = None
+        give_back()
 
     def sort(batches):
         import pyarrow as pa

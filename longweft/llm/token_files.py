@@ -53,7 +53,7 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, folder: str |
         from pyspark import TaskContext
 
         e, shard = encoder(vocabulary, fast=True), f"{TaskContext.get().partitionId():06d}"
-        kind, tail = ("<u2", 16) if max(len(e.names) - 1, end_id) < 1 << 16 else ("<u4", 32)
+        kind, tail = ("<u2", 16) if max(e.size - 1, end_id) < 1 << 16 else ("<u4", 32)
         end, own, offsets, docs, nulls, at = np.array([end_id], dtype=kind).tobytes(), f"{folder}/.{shard}.{uuid.uuid4().hex}", [0], [], [], 0
         with open(f"{own}.ids", "wb", buffering=1 << 20) as out:
             for batch in batches:
