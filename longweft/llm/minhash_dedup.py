@@ -49,7 +49,7 @@ class Shingler:
     """Sets of shingle hashes, with a bounded memory of word hashes."""
 
     def __init__(self, n: int):
-        self.n, self.hash = n, Cache(lambda w: xxhash.xxh3_64_intdigest(w), 150_000)
+        self.n, self.hash = n, Cache(lambda w: xxhash.xxh3_64_intdigest(w), 60_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted hashes of the distinct n-word shingles; of the whole sequence, with fewer words; none without words."""
@@ -186,6 +186,8 @@ def compare(pairs: DataFrame, group: str, payload: str, links) -> DataFrame:
                 out = []
         if len(rows) > 1 and (out := one(rows)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+        rows = batch = None
+        give_back()
 
     return dealt.mapInArrow(run, "a binary, b binary")
 

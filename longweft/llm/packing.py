@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import encoder
-from .common import spool
+from .common import give_back, spool
 
 ROUNDS = 400
 STEP = 0.1
@@ -159,6 +159,7 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: s
                     out.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * stop]), part, seen[length]))
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]) if out else pa.RecordBatch.from_pylist([], schema=EMPTY())
+        give_back()
 
     def EMPTY():
         import pyarrow as pa

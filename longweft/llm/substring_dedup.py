@@ -103,15 +103,14 @@ class Batch:
         number[[self.vocabulary[w] for w in words]] = np.arange(len(words), dtype=np.int32)
         ids, size, k = number[np.concatenate(self.ids)], np.array([len(i) for i in self.ids]), self.size
         h = word_hashes(words)
-        first, second = h[0][ids], h[1][ids]
         begin = np.cumsum(size) - size
         at = spans(begin, size - k + 1)  # where windows begin
         row = np.repeat(np.arange(len(size)), size - k + 1)
         docs = np.array(self.docs, dtype=np.int64)
-        repeat = later(sums(first, k)[at], sums(second, k)[at], docs[row, 0])
+        repeat = later(sums(h[0][ids], k)[at], sums(h[1][ids], k)[at], docs[row, 0])
         for shard, packed in pack_places(docs[row[repeat]], at[repeat] - begin[row[repeat]], self.buckets):
             yield shard, True, packed
-        grams = mix(sums(second, GRAM))
+        grams = mix(sums(h[1][ids], GRAM))
         least = np.lib.stride_tricks.sliding_window_view(grams, k - GRAM + 1).min(axis=1)[at[~repeat]]
         at, row = at[~repeat], row[~repeat]
         if not len(at):
@@ -230,6 +229,8 @@ def places(df: DataFrame, shards: int, size: int = 13) -> DataFrame:
                     repeat = later(a, b, docs[:, 0])
                     if packs := list(pack_places(docs[repeat], at[repeat].astype(np.int64), shards)):
                         yield rows(*zip(*packs))
+                    a = b = docs = at = repeat = None
+        give_back()
 
     sent = df.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "mark", "text").mapInArrow(send, SENT)
     return sent.repartitionById(shards, F.col("bucket")).mapInArrow(sort, "shard int, packed binary")
@@ -282,6 +283,9 @@ def remove_repeats(df: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_
                     new = [pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))]
                     yield pa.RecordBatch.from_arrays([*(c.slice(first, len(out)) for c in b.columns[: len(keep)]), *new], names=[*keep, *made])
                     out, n, first = [], 0, i + 1
+        known.clear()
+        b = None
+        give_back()
 
     both = texts.unionByName(found, allowMissingColumns=True).select(*(f"k_{i}" for i in range(len(keep))), "doc_id", "mark", "text", "packed", "shard")
     dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.isnull("packed"))
