@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules
+from . import minhash_dedup, quality_rules, substring_dedup
 
 TOKENIZERS = os.environ.get("LONGWEFT_TOKENIZERS", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -24,9 +24,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import remove_repeats
-
-    done = remove_repeats(table(spark, sf_dir, "documents"), size=13)
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), size=13)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -47,9 +45,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .minhash_dedup import Rule, near_duplicates
-
-    return near_duplicates(table(spark, sf_dir, "documents"), Rule(shingle=3, of=85))
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), minhash_dedup.Rule(shingle=3, of=85))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +80,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_html_text": op7_html_text, "op9_ann": op9_ann, "op2_minhash_dedup": op2_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": minhash_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}

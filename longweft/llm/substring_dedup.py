@@ -290,3 +290,14 @@ def remove_repeats(df: DataFrame, size: int = 13, keep: tuple[str, ...] = ("doc_
     both = texts.unionByName(found, allowMissingColumns=True).select(*(f"k_{i}" for i in range(len(keep))), "doc_id", "mark", "text", "packed", "shard")
     dealt = both.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.isnull("packed"))
     return dealt.drop("shard").mapInArrow(cut, schema)
+
+
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i) WHERE len(w) >= 13),
+rep AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win) WHERE m < doc_id),
+cov AS (SELECT DISTINCT r, i + k AS p FROM rep, (SELECT unnest(range(0, 13)) AS k)),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN (SELECT r, count(*) AS c FROM cov GROUP BY r) USING (r) LEFT JOIN kept USING (r)
+"""
