@@ -22,7 +22,7 @@ for _i, _c in enumerate("ACGT"):
 
 
 def kmers(df: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
-    """A row for each k-mer: id, pos (from 0), hash, strand. JVM only; the reference form of what sketch() hashes."""
+    """A row for each k-mer: id, pos (from 0), hash, strand. JVM only; what sketch() hashes, one row each."""
     seq = F.upper(F.col(seq_col))
     at = df.filter(F.length(seq_col) >= k).select(F.col(id_col).alias("id"), seq.alias("seq"), F.explode(F.sequence(F.lit(0), F.length(seq_col) - k)).alias("pos"))
     at = at.select("id", "pos", F.expr(f"substring(seq, pos + 1, {k})").alias("kmer")).filter(~F.col("kmer").rlike("[^ACGT]"))
