@@ -186,12 +186,30 @@ def neighbourhood_edges(paths: DataFrame, reach: int = 4) -> DataFrame:
     return on.select("path_id", "src", F.explode("later").alias("e")).select("path_id", "src", "e.dst", "e.apart").filter("dst IS NOT NULL")
 
 
-def transitive_support(path: DataFrame, graph: DataFrame, reach: int = 4) -> DataFrame:
-    """Steps of paths with the number of graph edges that span them: from a node at most `reach` steps before to one as far after,
-    the step's own edge left out."""
-    near = neighbourhood_edges(path, reach).join(graph.select("src", "dst"), ["src", "dst"])
+def window_edges(paths: DataFrame, supported: DataFrame, graph: DataFrame, neighbourhood: int = 4) -> DataFrame:
+    """Edges (src, dst, both strands) that paths add to a graph around each step that `supported` (src, dst) lacks: from each of the
+    step's first node and `neighbourhood` nodes before it to each of its second node and as many after it, without the step itself and
+    what the graph has."""
+    at = paths.select("path_id", "step", F.concat("contig", "ori").alias("node"))
     w = Window.partitionBy("path_id").orderBy("step")
-    steps = path.withColumn("dst", F.lead(F.concat("contig", "ori")).over(w)).filter("dst IS NOT NULL").select("path_id", "step", F.concat("contig", "ori").alias("src"), "dst")
-    at = path.select("path_id", F.concat("contig", "ori").alias("src"), F.col("step").alias("s0"))
-    spans = near.filter("apart > 1").join(at, ["path_id", "src"]).select("path_id", F.explode(F.sequence(F.col("s0"), F.col("s0") + F.col("apart") - 1)).alias("step"))
-    return steps.join(spans.groupBy("path_id", "step").agg(F.count(F.lit(1)).alias("support")), ["path_id", "step"], "left").select("path_id", "step", "src", "dst", F.coalesce("support", F.lit(0)).alias("support"))
+    steps = at.withColumn("dst", F.lead("node").over(w)).filter("dst IS NOT NULL").withColumnRenamed("node", "src")
+    bare = steps.join(supported.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select("path_id", "step")
+    before = bare.withColumn("at", F.explode(F.sequence(F.col("step") - neighbourhood, F.col("step"))))
+    both = before.withColumn("to", F.explode(F.sequence(F.col("step") + 1, F.col("step") + 1 + neighbourhood))).filter("to - at > 1").select("path_id", "at", "to").distinct()
+    pairs = both.join(at.select("path_id", F.col("step").alias("at"), F.col("node").alias("src")), ["path_id", "at"]).join(at.select("path_id", F.col("step").alias("to"), F.col("node").alias("dst")), ["path_id", "to"])
+    new = pairs.select("src", "dst").join(graph.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    turned = lambda v: F.concat(F.expr(f"left({v}, length({v}) - 1)"), flip(F.expr(f"right({v}, 1)")))
+    return new.union(new.select(turned("dst"), turned("src"))).distinct()
+
+
+def transitive_support(path: DataFrame, graph: DataFrame) -> DataFrame:
+    """Steps of paths with the number of graph edges that span them: from any node before the step or its first one to any after or its
+    second one, however far, the step's own edge left out. Each edge counts up where it begins and down where it ends, so long edges
+    make no more rows than short ones."""
+    at = path.select("path_id", "step", F.concat("contig", "ori").alias("node"))
+    w = Window.partitionBy("path_id").orderBy("step")
+    near = graph.select("src", "dst").join(at.select("path_id", F.col("node").alias("src"), F.col("step").alias("s0")), "src")
+    near = near.join(at.select("path_id", F.col("node").alias("dst"), F.col("step").alias("s1")), ["path_id", "dst"]).filter("s1 - s0 > 1")
+    turns = near.select("path_id", F.col("s0").alias("step"), F.lit(1).alias("c")).union(near.select("path_id", "s1", F.lit(-1))).groupBy("path_id", "step").agg(F.sum("c").alias("c"))
+    steps = at.withColumn("dst", F.lead("node").over(w)).join(turns, ["path_id", "step"], "left")
+    return steps.withColumn("support", F.sum(F.coalesce("c", F.lit(0))).over(w)).filter("dst IS NOT NULL").select("path_id", "step", F.col("node").alias("src"), "dst", "support")

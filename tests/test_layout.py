@@ -44,3 +44,21 @@ def test_merge_and_stats(spark):
     assert made == {"p": "AACCaATCNNNTTTT", "u": "ACGTN"}
     s = assembly.stats(spark.createDataFrame([("A" * n,) for n in (800, 700, 600, 600, 10)] + [("N" * 900,)], "seq string")).first()
     assert (s.n, s.n_500, s.l50, s.min, s.n75, s.n50, s.n25, s.e_size, s.max, s.sum) == (6, 4, 2, 600, 600, 700, 800, 685, 800, 2700)
+
+
+def chain_of(spark, n):
+    return spark.createDataFrame([("p", i, f"c{i:02d}", "+") for i in range(n)], "path_id string, step long, contig string, ori string")
+
+
+def test_support_by_edges_over_many_steps(spark):
+    graph = spark.createDataFrame([(f"c{i:02d}+", f"c{i + 1:02d}+") for i in range(11)] + [("c01+", "c10+"), ("c02+", "c04+"), ("c05-", "c00-")], "src string, dst string")
+    got = {r.step: r.support for r in layout.transitive_support(chain_of(spark, 12), graph).collect()}
+    assert got == {i: (1 <= i < 10) + (2 <= i < 4) for i in range(11)}
+
+
+def test_window_edges_reach_both_sides_of_an_unsupported_step(spark):
+    supported = spark.createDataFrame([(f"c{i:02d}+", f"c{i + 1:02d}+") for i in range(13) if i != 6], "src string, dst string")
+    graph = supported.union(spark.createDataFrame([("c05+", "c08+")], "src string, dst string"))
+    got = {(r.src, r.dst) for r in layout.window_edges(chain_of(spark, 14), supported, graph).collect()}
+    want = {(a, b) for a in range(2, 7) for b in range(7, 12)} - {(6, 7), (5, 8)}
+    assert got == {(f"c{a:02d}+", f"c{b:02d}+") for a, b in want} | {(f"c{b:02d}-", f"c{a:02d}-") for a, b in want | {(5, 8)}} - {("c08-", "c05-")}
