@@ -103,6 +103,19 @@ def test_html_hosts_without_containers(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def loose_page(words):
+    return f"<html><body><div>{words}</div></body></html>"
+
+
+def test_html_two_pages_of_a_large_host_share_a_footer(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(9))
+    foot = "all rights reserved by the house of many words"
+    rows = [(i, "http://large.example/", loose_page(own(i) + (f" {foot}" if i in (3, 1700) else ""))) for i in range(2000)]
+    rows += [(5000, "http://else.example/", loose_page(f"{own(5000)} {foot}"))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own(i) for i in range(2000)} | {5000: f"{own(5000)} {foot}"}
+
+
 def test_ann_recall_and_edge_cases(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 30)).astype(np.float32)
