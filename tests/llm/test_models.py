@@ -116,6 +116,15 @@ def test_html_two_pages_of_a_large_host_share_a_footer(spark):
     assert got == {i: own(i) for i in range(2000)} | {5000: f"{own(5000)} {foot}"}
 
 
+def test_html_copies_of_a_page_are_no_other_page(spark):
+    own = "these are the eleven words that only this one page has"
+    menu = "home news sport weather travel shop help jobs contact"
+    rows = [(1, "http://h.example/a", loose_page(own))] * 3 + [(2, "http://h.example/b", loose_page(f"{own}<!-- a copy -->"))]
+    rows += [(i, "http://m.example/", loose_page(f"{menu} page {i} {own}" if i == 3 else f"{menu} {i}")) for i in (3, 3, 4)]
+    got = sorted((r.page_id, r.text) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, own)] * 3 + [(2, own)] + [(3, f"page 3 {own}")] * 2 + [(4, "4")]
+
+
 def test_ann_recall_and_edge_cases(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 30)).astype(np.float32)
