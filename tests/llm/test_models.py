@@ -103,6 +103,18 @@ def test_html_hosts_without_containers(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_loose_signs_drop_nothing_of_an_article():
+    b = lambda p: html_text.blocks(p)[0]
+    for sign in ('class="overflow-hidden"', 'id="social-policy"', "id=related-work", "class='x search-method'", 'data-id="search"', 'title="the hidden valley"', "data-x=' hidden '", 'href="/wiki/hidden/x"', 'class="x" class="ad"'):
+        assert b(f"<article><div {sign}><p>t</p></div></article>") == b(f"<div {sign}><article>t</article></div>") == ["t"], sign
+    for sign in ("hidden", 'a="b" HIDDEN=""', "aria-hidden = true", 'style="display: none"', 'class="x ad"', "id=search", "role='navigation'", 'class="site_footer"'):
+        assert b(f"<article><div {sign}><p>x</p></div><p>t</p></article>") == ["t"], sign
+    assert b('<div class="overflow-hidden">t</div><div class="site-nav">x</div>') == ["t"]
+    assert b("<article><figure><img src=i><figcaption>c</figcaption></figure><p>t</article>") == ["c", "t"]
+    assert b('<article data-comment-count="3" class="has-comments">t</article>') == ["t"]
+    assert b('<article>t</article><article class="comment-body">x</article><article id="comment_7">y</article>') == ["t"]
+
+
 def loose_page(words):
     return f"<html><body><div>{words}</div></body></html>"
 
