@@ -1,18 +1,20 @@
 """From the scaffold graph to paths: transitive reduction, chains, the best weight threshold, names.
 
 Graphs here are sets of edges (src, dst, d, n) between oriented contigs, both strands stored. Every step works on all components, and
-on all thresholds of a sweep (`by` columns), at once. Loops end after a number of rounds that is fixed by a parameter or grows with the
-logarithm of the longest chain; their state is written to the shared folder, so lineage stays short and lost executors cost little.
+on all thresholds of a sweep (`by` columns), at once. Chains take a number of rounds that grows with the logarithm of the longest; the
+transitive reduction takes one for each edge of the longest walk from a fork. Their state is written to the shared folder, so lineage
+stays short and lost executors cost little.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dna import flip
 from ..functions.shared import stage
 
-HOPS = 4
 MOST_DOUBLINGS = 40
 
 
@@ -21,15 +23,26 @@ def weight_sweep(edges: DataFrame, least: int = 1, most: int = 10) -> DataFrame:
     return edges.withColumn("w", F.explode(F.sequence(F.lit(least), F.least(F.lit(most), F.col("n").cast("int")))))
 
 
-def transitive_reduction(edges: DataFrame, by: list[str] = [], hops: int = HOPS) -> DataFrame:
-    """Drops each edge whose target is also reached by two edges or more, up to `hops`."""
+def transitive_reduction(edges: DataFrame, by: list[str] = []) -> DataFrame:
+    """Drops each edge whose target can be reached from its source without it, by a route of any length.
+
+    Only edges whose source has another way out and whose target has another way in can be such. From the other ways out of each, all
+    nodes are walked, one edge a round, each node once, until the target is met or no new node is."""
     one = stage(edges.select(*by, "src", "dst").distinct())
-    step = one.select(*by, F.col("src").alias("mid"), "dst")
-    walk, longer = one, None
-    for _ in range(hops - 1):
-        walk = walk.withColumnRenamed("dst", "mid").join(step, [*by, "mid"]).select(*by, "src", "dst").filter("src <> dst").distinct()
-        longer = walk if longer is None else longer.union(walk)
-    return edges.join(longer.distinct(), [*by, "src", "dst"], "left_anti") if longer is not None else edges
+    edge = [*by, "src", "dst"]
+    for end in ("src", "dst"):
+        many = one.groupBy(*by, end).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+        unsettled = (one if end == "src" else unsettled).join(many, [*by, end], "left_semi")
+    out = one.withColumnRenamed("dst", "at")
+    state = stage(unsettled.join(out, [*by, "src"]).filter("src <> dst AND at <> dst AND at <> src").select(*edge, "at", F.lit(0).alias("round")))
+    step = one.select(*by, F.col("src").alias("at"), F.col("dst").alias("to"))
+    for i in itertools.count():
+        met = state.filter("at = dst").select(*edge)
+        onward = state.filter(F.col("round") == i).join(met, edge, "left_anti").join(step, [*by, "at"]).filter("to <> src")
+        new = onward.select(*edge, F.col("to").alias("at")).distinct().join(state.select(*edge, "at"), [*edge, "at"], "left_anti")
+        state = stage(state.union(new.select(*edge, "at", F.lit(i + 1).alias("round"))))
+        if state.filter(F.col("round") == i + 1).isEmpty():
+            return edges.join(state.filter("at = dst").select(*edge), edge, "left_anti")
 
 
 def unambiguous(edges: DataFrame, by: list[str] = []) -> DataFrame:
@@ -77,9 +90,9 @@ def written_gap(d: str, least: int) -> Column:
     return F.when(F.col(d).isNotNull(), F.greatest(d, F.lit(least)) + 1)
 
 
-def layout(edges: DataFrame, by: list[str] = [], min_gap: int = 20, hops: int = HOPS) -> DataFrame:
+def layout(edges: DataFrame, by: list[str] = [], min_gap: int = 20) -> DataFrame:
     """Paths: by..., start, step, contig, ori, gap (max(d, min_gap) + 1 before the next contig, null at the end), d."""
-    best = unambiguous(transitive_reduction(edges, by, hops), by)
+    best = unambiguous(transitive_reduction(edges, by), by)
     paths = one_strand(chains(best, by), by)
     return paths.select(*by, "start", "step", F.expr("left(node, length(node) - 1)").alias("contig"), F.expr("right(node, 1)").alias("ori"), written_gap("gap_after", min_gap).alias("gap"), F.col("gap_after").alias("d"))
 

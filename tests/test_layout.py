@@ -62,3 +62,12 @@ def test_window_edges_reach_both_sides_of_an_unsupported_step(spark):
     got = {(r.src, r.dst) for r in layout.window_edges(chain_of(spark, 14), supported, graph).collect()}
     want = {(a, b) for a in range(2, 7) for b in range(7, 12)} - {(6, 7), (5, 8)}
     assert got == {(f"c{a:02d}+", f"c{b:02d}+") for a, b in want} | {(f"c{b:02d}-", f"c{a:02d}-") for a, b in want | {(5, 8)}} - {("c08-", "c05-")}
+
+
+def test_reduction_by_long_routes(spark):
+    reduced = lambda e: {(r.src, r.dst) for r in layout.transitive_reduction(spark.createDataFrame([(*x, 1, 1) for x in e], EDGES)).collect()}
+    chain = [(f"{a}+", f"{b}+") for a, b in zip("abcdefghi", "bcdefghij")]
+    assert reduced([*chain, ("a+", "g+"), ("a+", "j+"), ("x+", "g+"), ("a+", "y+")]) == {*chain, ("x+", "g+"), ("a+", "y+")}
+    ring = [*chain, ("j+", "a+")]  # a walk round the ring to an edge's own target is no other route
+    assert reduced([*ring, ("x+", "c+"), ("x+", "z+")]) == {*ring, ("x+", "c+"), ("x+", "z+")}
+    assert lines(spark, [(a, b, 1, 2) for a, b in chain] + [("a+", "g+", 900, 5)]) == {"scaffold_0": " 21N ".join(f"{c}+" for c in "abcdefghij")}
