@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+from longweft.llm import minhash_dedup
 from longweft.llm.components import components
 from longweft.llm.minhash_dedup import Rule, near_duplicates
 from longweft.llm.substring_dedup import remove_repeats
@@ -121,3 +123,12 @@ def test_substrings_of_repeated_and_null_ids(spark):
     assert remove_repeats(frame(spark, []), 13).count() == 0
     as_was = remove_repeats(frame(spark, [(1, "a  b\nc")]), 13, as_was=True).first()
     assert as_was.kept_text == "a  b\nc"
+
+
+def test_bands_and_estimate_together_miss_few_pairs():
+    m, chance = minhash_dedup, 2.0**-minhash_dedup.BITS
+    for similarity, most in ((0.85, 1e-6), (0.8, 1e-4)):
+        p = similarity + (1 - similarity) * chance
+        low = [c for c in range(m.HASHES + 1) if (c / m.HASHES - chance) / (1 - chance) < similarity - m.MARGIN]
+        estimate = sum(math.comb(m.HASHES, c) * p**c * (1 - p) ** (m.HASHES - c) for c in low)
+        assert estimate + (1 - similarity**m.ROWS) ** m.BANDS < most
