@@ -15,7 +15,6 @@ import gc
 import hashlib
 import json
 import re
-import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
@@ -82,7 +81,11 @@ class Encoder:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.size = len(self.names)
         if self.words:
+            from tokenizers import Tokenizer
+
             self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            library = Tokenizer.from_file(path)
+            self.normal, self.parted = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
             self.chunks = Cache(self._chunk, CACHED)
             self.pieces = Cache(self._word, CACHED)
             self.decoded = Offsets([n + " " for n in self.names])
@@ -158,20 +161,18 @@ class Encoder:
                 token = shorter[last]
 
     def _word(self, word: str) -> bytes:
-        if not (word.isascii() and word.isprintable()):
-            word = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_char)
+        """Ids of a word in byte characters."""
         return array("I", self.merge(word[:-1] + chr(ord(word[-1]) + END))).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """A run without white space. No normal form and no token reaches over white space."""
-        if chunk.isascii():
+        """A run without white space. No normal form and no token reaches over white space. Normal form, case and classes of other
+        letters than ASCII are the library's own, as its version of Unicode is not Python's."""
+        if chunk.isascii() and chunk.isprintable():
             chunk = chunk.lower()
             if chunk.isalpha():
                 return self.pieces[chunk]
-        else:
-            chunk = unicodedata.normalize("NFC", chunk)
-            chunk = chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
+        return b"".join([self.pieces[p] for p, _ in self.parted(self.normal(chunk))])
 
     def _piece(self, piece: str) -> bytes:
         return array("I", self.merge(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_char))).tobytes()
@@ -248,6 +249,7 @@ class RankEncoder(Encoder):
         back = {c: bytes([b]) for b, c in enumerate(byte_characters())} | {chr(ord(c) + END): bytes([b, 0xFF]) for b, c in enumerate(byte_characters())}
         ranks = {b"".join(back[c] for c in t): i for t, i in self.ids.items() if len(t) == 1 or t in self.parts}
         self.pieces = Made(self._word) if self.words else None
+        self.byte_of = {c: b for b, c in enumerate(byte_characters())}
         size = len(self.names)
         for name in ("automaton", "rank", "parts", "born", "ids", "vocab", "pairs", "shorter", "decoded", "decimal", "names"):
             delattr(self, name)  # workers keep this object, so it keeps only what it needs
@@ -255,7 +257,8 @@ class RankEncoder(Encoder):
         self.core = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={} if self.words else self.special)
 
     def _word(self, word: str) -> bytes:
-        return array("I", self.core._encode_single_piece(word.encode("utf-8", "surrogatepass") + b"\xff")).tobytes()
+        raw = word.encode() if word.isascii() else bytes(map(self.byte_of.__getitem__, word))
+        return array("I", self.core._encode_single_piece(raw + b"\xff")).tobytes()
 
     def _ordinary(self, text: str) -> bytes:
         return super()._ordinary(text) if self.words else array("I", self.core.encode_ordinary(text)).tobytes()

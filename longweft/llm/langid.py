@@ -23,12 +23,18 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 LAST = BUCKETS - 1
 DIM = 16
-#: The bound on training examples, dealt evenly to the languages, and the words of each.
+#: Bounds of the training sample: examples, dealt evenly to the languages, and the words and characters of each example.
 EXAMPLES = 8_000
-WORDS = 64
+WORDS, CHARS = 64, 4_096
 SEED = 7
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters, in lower case. Other numeric signs than digits, as halves and circled numbers, are no letters."""
+    found = LETTERS.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of the word itself and of the 3- and 4-grams of its UTF-8 bytes, with signs for its ends."""
     w = f"<{word}>".encode("utf-8", "surrogatepass")
@@ -60,7 +66,7 @@ class Scorer:
             if len(self.table) == len(self.rows):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             found = self.rows[chunk] = len(self.rows)
-            ids = [i for w in LETTERS.findall(chunk.lower()) for i in subwords(w)]
+            ids = [i for w in letters(chunk) for i in subwords(w)]
             self.table[found, :-1] = self.model.scores[ids].sum(axis=0)
             self.table[found, -1] = len(ids)
         return found
@@ -90,8 +96,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def runs(df: DataFrame, per_lang: dict[str, float], lang: Column) -> DataFrame:
-    """Training examples: of each chosen document, a run of WORDS words that begins where the hash of its text says."""
+def runs(df: DataFrame, per_lang: dict[str, float], lang: Column, words: int = WORDS, chars: int = CHARS) -> DataFrame:
+    """Training examples: of each chosen document, a run of at most `words` words and `chars` characters that begins where the hash
+    of its text says."""
 
     def cut(batches):
         import pyarrow as pa
@@ -100,9 +107,12 @@ def runs(df: DataFrame, per_lang: dict[str, float], lang: Column) -> DataFrame:
             out = []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                words = text.split() if len(text) < 1 << 20 else next(slices(text[zlib.crc32(text[:4096].encode()) % (len(text) - 1000) :])).split()
-                at = zlib.crc32(text[:4096].encode()) % max(1, len(words) - WORDS + 1)
-                out.append(" ".join(words[at : at + WORDS])[:4096])
+                at = zlib.crc32(text.encode())
+                if len(text) > 1 << 20:  # a slice of a very long text, so that it is never held as one list of words
+                    text = next(slices(text[at % (len(text) - (1 << 19)) :]))
+                split = text.split()
+                at %= max(1, len(split) - words + 1)
+                out.append(" ".join(split[at : at + words])[:chars])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.string())], names=["lang", "text"])
 
     share = F.element_at(F.create_map(*(F.lit(x) for kv in per_lang.items() for x in kv)), lang)
@@ -122,7 +132,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", example
     per_lang = {k: min(1.0, examples / len(langs) / n) for k, n in counts.items()}
     rows = runs(df, per_lang, F.col("lang")).limit(2 * examples).collect()
     rng = np.random.default_rng(SEED)
-    data = [(np.array(ids, dtype=np.int32), langs.index(r["lang"])) for r in sorted(rows, key=lambda r: (r["lang"], r["text"])) if (ids := [i for w in LETTERS.findall(r["text"].lower()) for i in subwords(w)])]
+    data = [(np.array(ids, dtype=np.int32), langs.index(r["lang"])) for r in sorted(rows, key=lambda r: (r["lang"], r["text"])) if (ids := [i for w in letters(r["text"]) for i in subwords(w)])]
     order = rng.permutation(len(data))
     held, used = order[: len(data) // 5], order[len(data) // 5 :]
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)

@@ -1,13 +1,16 @@
 """Packing of token sequences: a configuration linear program over the histogram of lengths, solved by multiplicative weights.
 
 A configuration is a multiset of lengths that fits into one sequence. The program asks for the fewest configurations that hold
-every piece. Each length has a weight that falls as it is covered; in each round a knapsack dynamic program finds the
-configuration of most weight, which is used as often as it takes to cover some length by one more step. At the end the uses are
-scaled to cover all, rounded down, fullest configurations first. What is left over is solved for again while it is much, and then packed best fit, longest first.
-
-Only the histogram, at most `capacity` numbers, comes to the driver, and the plan, at most ROUNDS configurations and what
-rounding leaves of each, goes back. A piece's place follows from its rank among the pieces of its length: ranks are made of
-counts by (part of the table, length), so no task holds a length as a whole.
+every piece. A length's price is its share of a sequence times a weight that falls as it is covered; in each round a knapsack
+dynamic program, bounded by the pieces that there are, finds the dearest configuration with each of a part of the lengths in it,
+and these are used, fractions allowed, until their lengths are covered as far as the round says. The uses are rounded, fullest
+configurations first, as far as pieces are there; what is left is a smaller program of the same kind, and so on until fewer
+pieces are left than a sequence has places. Only those are packed best fit, longest first.
+
+Only the histogram, at most `capacity` numbers, comes to the driver, whose work grows with the logarithm of the number of pieces.
+The plan goes back as the configurations and how often each is used: at most TURNS * capacity a pass, and one for each sequence of
+the rest. A piece's place follows from its rank among the pieces of its length: ranks are made of counts by (part of the table,
+length), so no task holds a length as a whole.
 """
 
 from __future__ import annotations
@@ -22,53 +25,80 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .bpe import encoder
 from .common import give_back, spool
 
-ROUNDS = 400
-STEP = 0.1
-#: The program is solved again over what rounding leaves until so few pieces are left, or so often.
-REST, PASSES = 20_000, 8
+#: How often each length has its turn in a program (more often with fewer lengths than 2048, for the same work), the rounds of a
+#: turn, and how fast weights fall with what is covered too much.
+TURNS, GROUPS, STEP = 6, 16, 3e-3
+#: Programs that are solved at most, each over what rounding left of the one before; the last takes configurations of any fill.
+PASSES = 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The multiset of lengths (counts by length, index 0 unused) of most value within capacity. value: by length, from 1."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    for c in range(1, capacity + 1):
-        gain = value[1 : c + 1] + best[c - 1 :: -1][:c]
-        i = int(gain.argmax())
-        best[c], took[c] = (gain[i], i + 1) if gain[i] > best[c - 1] else (best[c - 1], 0)
-    out, c = np.zeros(capacity + 1, dtype=np.int64), capacity
-    while c > 0:
-        if took[c]:
-            out[took[c]] += 1
-            c -= took[c]
-        else:
-            c -= 1
-    return out, float(best[capacity])
-
-
-def solve(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Configurations and how often each is used, fractions allowed, and a lower bound of the number of sequences.
-
-    demand: pieces by length. Any weights are a dual solution once divided by the value of the best configuration, so each round
-    gives a lower bound; the best one is returned."""
-    has = demand > 0
-    per = np.where(has, 1 / np.maximum(demand, 1), 0.0)
-    covered, uses, bound = np.zeros(capacity + 1), {}, float(np.ceil((demand * np.arange(capacity + 1)).sum() / capacity))
-    for _ in range(rounds if has.any() else 0):
-        weight = np.where(has, np.exp(-step * (covered - covered[has].min()) * 40), 0.0)
-        config, most = knapsack(weight * per, capacity)
-        if most <= 0:
-            break
-        bound = max(bound, float(weight[has].sum() / most))
-        times = 0.025 / (config * per).max()
-        key = config.tobytes()
-        uses[key] = uses.get(key, 0.0) + times
-        covered += config * per * times
-    if not uses:
-        return [], bound
-    scale = max(1.0, 1 / max(covered[has].min(), 1e-9)) if covered[has].min() > 0 else 1.0
-    scale = min(scale, 1 / max(np.average(covered[has], weights=(demand * np.arange(capacity + 1))[has]), 1e-9) * 1.05)
-    return [(np.frombuffer(k, dtype=np.int64), n * scale) for k, n in uses.items()], bound
+def items_of(demand: np.ndarray, capacity: int) -> list[tuple[int, int]]:
+    """(length, copies): of each length as many pieces as there are and as fit into a sequence, in powers of two and a rest."""
+    out = []
+    for length in np.flatnonzero(demand).tolist():
+        left, copies = int(min(demand[length], capacity // length)), 1
+        while left > 0:
+            copies = min(copies, left)
+            out.append((length, copies))
+            left -= copies
+            copies *= 2
+    return out
+
+
+def knapsack(items: list[tuple[int, int]], price: np.ndarray, capacity: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """For each wanted length the dearest multiset of items that fits beside one piece of it, as rows (place in wanted, length,
+    count) that include that piece; and the price of the dearest multiset of all."""
+    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), dtype=bool)
+    for j, (length, copies) in enumerate(items):
+        size = length * copies
+        new = best[: capacity + 1 - size] + copies * price[length]
+        np.greater(new, best[size:], out=took[j, size:])
+        np.maximum(best[size:], new, out=best[size:])
+    room, rows, lengths, counts = capacity - wanted, [np.arange(len(wanted))], [wanted], [np.ones(len(wanted), dtype=np.int64)]
+    for j in range(len(items) - 1, -1, -1):
+        hit = np.flatnonzero(took[j, room])
+        if len(hit):
+            length, copies = items[j]
+            room[hit] -= length * copies
+            rows.append(hit)
+            lengths.append(np.full(len(hit), length))
+            counts.append(np.full(len(hit), copies))
+    return np.concatenate(rows), np.concatenate(lengths), np.concatenate(counts), float(best[capacity])
+
+
+def solve(demand: np.ndarray, capacity: int, seed: int = 5) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
+    """Configurations (lengths, counts) and how often each is used, fractions allowed, and a lower bound of the number of sequences.
+
+    demand: pieces by length. Any prices are a dual solution once divided by that of the dearest configuration, so each round gives
+    a lower bound; the best one is returned. The first prices, shares of a sequence, give the bound by volume."""
+    lengths = np.flatnonzero(demand)[::-1].copy()
+    share, weight, covered = np.arange(capacity + 1) / capacity, np.ones(capacity + 1), np.zeros(capacity + 1)
+    turns, groups = TURNS * min(32, max(1, 2048 // max(1, len(lengths)))), GROUPS
+    items, rng, uses, bound = items_of(demand, capacity), np.random.default_rng(seed), [], 0.0
+    for k in range(turns * groups if len(lengths) else 0):
+        if k % groups == 0:
+            dealt = rng.permutation(len(lengths)) % groups
+        mine, price = lengths[dealt == k % groups], share * weight
+        if not len(mine):
+            continue
+        row, length, count, most = knapsack(items, price, capacity, mine)
+        bound = max(bound, float((price * demand).sum() / most))
+        order = np.argsort(row, kind="stable")
+        cuts = np.searchsorted(row[order], np.arange(len(mine) + 1)).tolist()
+        for i, one in enumerate(mine.tolist()):
+            need = demand[one] * (k // groups + 1) / turns - covered[one]
+            if need > 1e-9:
+                at = order[cuts[i] : cuts[i + 1]]
+                own, inverse = np.unique(length[at], return_inverse=True)
+                counts = np.bincount(inverse, weights=count[at]).astype(np.int64)
+                times = need / counts[own == one][0]
+                covered[own] += counts * times
+                uses.append((own, counts, float(times)))
+        over = np.zeros(capacity + 1)
+        over[lengths] = covered[lengths] / demand[lengths] - (k + 1) / (turns * groups)
+        weight = weight * np.exp(-STEP * over)
+    return uses, bound
 
 
 def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -90,11 +120,13 @@ def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], in
 
 @dataclass
 class Plan:
-    """Where the n-th piece of each length goes: slots[length] has rows (first rank, first sequence, copies in a sequence, first offset)."""
+    """Where the n-th piece of each length goes: slots[length] has rows (first rank, first sequence, copies in a sequence, first offset).
+    by_program: pieces that are in configurations of the program, all others were packed best fit."""
 
     slots: dict[int, np.ndarray]
     sequences: int
     bound: float
+    by_program: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
@@ -106,24 +138,39 @@ class Plan:
         return sequence, offset
 
 
+def rounded(left: np.ndarray, uses: list[tuple[np.ndarray, np.ndarray, float]], any_fill: bool) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of a program's configurations, fullest first, as far as pieces are left; what a fraction lacks, the next one
+    gets. Those below the mean fill wait for the next program, where they may find better company. Takes its pieces from `left`."""
+    fill, times = np.array([(own * counts).sum() for own, counts, _ in uses]), np.array([x for *_, x in uses])
+    least, carried, chosen = 0 if any_fill else int((fill * times).sum() / times.sum()), 0.0, []
+    for j in np.argsort(-fill, kind="stable").tolist():
+        own, counts, x = uses[j]
+        if fill[j] < least:
+            break
+        n = int(carried + x + 1e-9)
+        carried += x - n
+        n = min(n, int((left[own] // counts).min()))
+        if n > 0:
+            left[own] -= counts * n
+            chosen.append((dict(zip(own.tolist(), counts.tolist())), n))
+    return chosen
+
+
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Rounds the program's solution: whole uses of each configuration as far as pieces are there, the rest best fit."""
-    demand = np.zeros(capacity + 1, dtype=np.int64)
+    """Rounds the program's solution, then that over what is left; the last few pieces go best fit."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
-        demand[length] = n
-    lengths, left, chosen, lower = np.arange(capacity + 1), demand.copy(), [], None
-    for last in [*[False] * PASSES, True]:
-        configs, bound = solve(left, capacity)
-        lower = bound if lower is None else lower
-        full = (left * lengths).sum() / max(1.0, bound * capacity)  # of sequences in the program's solution
-        for config, times in sorted(configs, key=lambda x: (-int((x[0] * lengths).sum()), x[0].tobytes())):
-            used = config > 0
-            n = int(min(times, (left[used] // config[used]).min()))
-            if n and ((config * lengths).sum() >= capacity * full * 0.98 or last):  # less full ones waste room that later pieces may use
-                chosen.append(({int(one): int(config[one]) for one in np.flatnonzero(config)}, n))
-                left -= config * n
-        if left.sum() <= REST:
+        left[length] = n
+    total, full = int(left.sum()), int(left[capacity])
+    chosen, lower = [({capacity: 1}, full)] if full else [], None  # a piece that fills a sequence is a configuration
+    left[capacity] = 0
+    for k in range(PASSES):
+        if k and left.sum() <= capacity or not left.any():
             break
+        uses, bound = solve(left, capacity)
+        lower = full + bound if lower is None else lower
+        chosen += rounded(left, uses, k == PASSES - 1)
+    by_program = total - int(left.sum())
     chosen += best_fit(left, capacity)
     slots: dict[int, list] = {}
     rank, sequence = np.zeros(capacity + 1, dtype=np.int64), 0
@@ -134,7 +181,7 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
             rank[one] += k * n
             offset += k * one
         sequence += n
-    return Plan({k: np.array(v, dtype=np.int64) for k, v in slots.items()}, sequence, lower)
+    return Plan({k: np.array(v, dtype=np.int64) for k, v in slots.items()}, sequence, float(full) if lower is None else lower, by_program)
 
 
 def pieces(df: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

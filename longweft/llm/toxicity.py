@@ -68,6 +68,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[ids].sum(), -30, 30))))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A bounded sample over all cores, as what limit() gives lies in one part."""
+    return df.select("text").repartition(max(4, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _ids(df: DataFrame, known: np.ndarray) -> list[np.ndarray]:
     """The known features of each text of a bounded sample."""
     shared = df.sparkSession.sparkContext.broadcast(known)
@@ -79,7 +84,7 @@ def _ids(df: DataFrame, known: np.ndarray) -> list[np.ndarray]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([present(v.as_py()).tobytes() for v in batch.column(0)], type=pa.binary())], names=["ids"])
 
-    return [np.frombuffer(r["ids"], dtype=np.int32) for r in df.select("text").mapInArrow(run, "ids binary").collect()]
+    return [np.frombuffer(r["ids"], dtype=np.int32) for r in _spread(df).mapInArrow(run, "ids binary").collect()]
 
 
 def _counts(df: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
@@ -98,7 +103,7 @@ def _counts(df: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(n[i])], names=["i", "n"])
 
     out = np.zeros(len(known) + 1)
-    for r in df.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # CANDIDATES rows
+    for r in _spread(df).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # CANDIDATES rows
         out[r["i"]] = r["n"]
     return out[:-1], int(out[-1])
 
@@ -119,7 +124,7 @@ def _candidates(df: DataFrame) -> np.ndarray:
                     n.clear()
         yield pa.RecordBatch.from_pydict({"h": pa.array(n.keys(), pa.int64()), "n": pa.array(n.values(), pa.int64())})
 
-    counts = df.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 3")
+    counts = _spread(df).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 3")
     return np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(CANDIDATES).collect()], dtype=np.int64)
 
 

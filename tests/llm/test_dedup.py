@@ -92,6 +92,12 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
 
 
+def test_components_of_a_long_chain(spark):
+    order = random.Random(3).sample(range(10_000), 3_000)
+    got = components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()
+    assert len(got) == 3_000 and {r.root for r in got} == {min(order)}
+
+
 def removed(rows, size):
     first, out = {}, {}
     for i, t in sorted(rows):

@@ -16,12 +16,12 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_edge_cases(spark):
-    df = spark.createDataFrame([(1, "the and of", "en", "q"), (2, "der und die", "de", "q"), (2, "der und die", "de", "q"), (3, None, "en", "q"), (4, "12 !", "de", "q"), (None, "and the", None, "q"), (5, "and " * 400_000, "en", "q")], "doc_id long, text string, lang string, score string")
+    df = spark.createDataFrame([(1, "the and of", "en", "q"), (2, "der und die", "de", "q"), (2, "der und die", "de", "q"), (3, None, "en", "q"), (4, "12 !", "de", "q"), (None, "and the", None, "q"), (5, "and " * 400_000, "en", "q"), (6, "½ ² ① Ⅷ", "en", "q")], "doc_id long, text string, lang string, score string")
     m = langid.train(df)
     got = langid.identify(df, m, ("doc_id", "score")).collect()
-    assert len(got) == 7 and {r.lang_pred for r in got if r.doc_id in (3, 4)} == {"und"} and all(r.lang_pred in ("en", "de") for r in got if r.doc_id in (1, 2, 5))
+    assert len(got) == 8 and {r.lang_pred for r in got if r.doc_id in (3, 4, 6)} == {"und"} and all(r.lang_pred in ("en", "de") for r in got if r.doc_id in (1, 2, 5))
     none = langid.train(df.limit(0))
-    assert [r.lang_pred for r in langid.identify(df, none).collect()] == ["und"] * 7 and langid.identify(df.limit(0), m).count() == 0
+    assert [r.lang_pred for r in langid.identify(df, none).collect()] == ["und"] * 8 and langid.identify(df.limit(0), m).count() == 0
 
 
 def test_toxicity_held_out(spark):
