@@ -26,12 +26,3 @@ def oriented(seq: Column, ori: Column) -> Column:
 def text_as_dna(text: Column) -> Column:
     """Letters a-z of a text as bases in turn; all else goes."""
     return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), LETTERS, AS_BASES)
-
-
-def kmer_hash(canonical: Column) -> Column:
-    """The first 60 bits of the MD5 sum, which any SQL engine can compute."""
-    return F.conv(F.substring(F.md5(canonical), 1, 15), 16, 10).cast("long")
-
-
-def stop_on(condition: Column, message: str) -> Column:
-    return F.when(condition, F.raise_error(F.lit(message)))

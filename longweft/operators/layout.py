@@ -128,13 +128,15 @@ PREFIX = "scaffold_"
 
 
 def named_paths(paths: DataFrame, first: int = 0, prefix: str = PREFIX) -> DataFrame:
-    """Paths with ids <prefix><i> from `first` on, in descending order of (number of nodes, first node). Ranks are made inside each
-    number of nodes, which is a few small counts, so no task holds all paths."""
+    """Paths with ids <prefix><i> from `first` on, in descending order of (number of nodes, first node). Paths are dealt by range of
+    that order; a path's number is the count of all parts before its own, one small row a part, and its place in its part."""
     one = paths.groupBy("start").agg((2 * F.count(F.lit(1)) - 1).alias("nodes"), F.min_by(F.concat("contig", "ori"), "step").alias("head"))
-    sizes = one.groupBy("nodes").agg(F.count(F.lit(1)).alias("c"))
-    base = sizes.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("nodes")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("nodes").orderBy(F.desc("head")))
-    ids = one.join(base.select("nodes", "base"), "nodes").select("start", F.concat(F.lit(prefix), (rank + F.col("base") + first - 1).cast("string")).alias("path_id"))
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(one.repartitionByRange(parts, F.desc("nodes"), F.desc("head")).withColumn("part", F.spark_partition_id()))
+    before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("nodes"), F.desc("head")))
+    ids = dealt.withColumn("place", place).join(base, "part").select("start", F.concat(F.lit(prefix), (F.col("place") + F.col("base") + first - 1).cast("string")).alias("path_id"))
     return paths.join(ids, "start").drop("start")
 
 

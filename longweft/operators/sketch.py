@@ -7,13 +7,9 @@ A sequence with fewer than w k-mers has none.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.dna import kmer_hash, revcomp
-
 #: Bases of a piece of a long sequence that one task sketches.
 CHUNK = 1 << 20
 CODE = np.full(256, 255, dtype=np.uint8)
@@ -22,18 +18,30 @@ for _i, _c in enumerate("ACGT"):
 
 
 def kmers(df: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
-    """A row for each k-mer: id, pos (from 0), hash, strand. JVM only; what sketch() hashes, one row each."""
-    seq = F.upper(F.col(seq_col))
-    at = df.filter(F.length(seq_col) >= k).select(F.col(id_col).alias("id"), seq.alias("seq"), F.explode(F.sequence(F.lit(0), F.length(seq_col) - k)).alias("pos"))
-    at = at.select("id", "pos", F.expr(f"substring(seq, pos + 1, {k})").alias("kmer")).filter(~F.col("kmer").rlike("[^ACGT]"))
-    at = at.withColumn("other", revcomp(F.col("kmer")))
-    return at.select("id", "pos", kmer_hash(F.least("kmer", "other")).alias("hash"), F.when(F.col("kmer") <= F.col("other"), "+").otherwise("-").alias("strand"))
+    """A row for each k-mer: id, pos (from 0), hash, strand. It is the sketch whose windows are one k-mer long."""
+    return sketch(df, k, 1, id_col, seq_col)
+
+
+#: The hash is linear over words of WORD bits of the 2-bit code, modulo a prime, and then mixed once more over its own halves. No
+#: product or sum reaches 2^63, so signed 64-bit integers of any SQL engine can compute it.
+PRIME, WORD = (1 << 61) - 1, 21
+FACTORS = np.random.default_rng(61).integers(1 << 39, 1 << 40, 64, dtype=np.int64).tolist()
+HALVES = (1073741789, 982451653)
+
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Modulo 2^61 - 1 of numbers below 2^63."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+
+def _hash(codes: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(codes[0]), dtype=np.uint64)
+    for i, code in enumerate(codes):
+        for j in range(0, 64, WORD):
+            h = _mod(h + ((code >> np.uint64(j)) & np.uint64((1 << WORD) - 1)) * np.uint64(FACTORS[i * 4 + j // WORD]))
+    h ^= h >> np.uint64(29)
+    return _mod((h >> np.uint64(31)) * np.uint64(HALVES[0]) + (h & np.uint64((1 << 31) - 1)) * np.uint64(HALVES[1]))
 
 
 def _codes(base: np.ndarray, k: int) -> list[np.ndarray]:
@@ -47,11 +55,8 @@ def _codes(base: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def hashes(seq: str, k: int, scheme: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, hashes (below 2^60) and whether the strand is + of the k-mers without other bases than ACGT.
-
-    Schemes: `mix64`, a mixed 2-bit code, for production; `md5`, the first 60 bits of the MD5 sum, to check against SQL.
-    """
+def hashes(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, hashes (below 2^61) and whether the strand is + of the k-mers without other bases than ACGT."""
     base = CODE[np.frombuffer(seq.encode("latin-1", "replace"), dtype=np.uint8)]
     if len(base) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -65,49 +70,30 @@ def hashes(seq: str, k: int, scheme: str) -> tuple[np.ndarray, np.ndarray, np.nd
         plus |= tied & (a < b)
         tied &= a == b
     plus = (plus | tied)[pos]
-    if scheme == "mix64":
-        h = np.zeros(len(pos), dtype=np.uint64)
-        for a, b in zip(fwd, back):
-            h = _mix(h ^ np.where(plus, a[pos], b[pos])) + np.uint64(0x9E3779B97F4A7C15)
-        return pos, (_mix(h) >> np.uint64(4)).astype(np.int64), plus
-    if scheme != "md5":
-        raise ValueError(f"no hash scheme {scheme}")
-    up = seq.upper()
-    other = up.translate(str.maketrans("ACGT", "TGCA"))[::-1]
-    n = len(up)
-    text = [up[p : p + k] if q else other[n - p - k : n - p] for p, q in zip(pos.tolist(), plus.tolist())]
-    return pos, np.array([int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in text], dtype=np.int64), plus
+    return pos, _hash([np.where(plus, a[pos], b[pos]) for a, b in zip(fwd, back)]).astype(np.int64), plus
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Places of the leftmost least value of each w consecutive ones, each once: minima of blocks from the left and from the right
-    make every window's minimum from two looks, so the work doesn't grow with w."""
+    """Places of the leftmost least value of each w consecutive ones, each once. Values are compared by their place in sorted order, where
+    the leftmost of equal ones is first; minima of blocks from the left and from the right make every window's minimum from two looks,
+    so the work doesn't grow with w."""
     n = len(h)
     if n < w:
         return np.zeros(0, np.int64)
-    size = -(-n // w) * w
-    padded = np.append(h, np.full(size - n, np.iinfo(np.int64).max)).reshape(-1, w)
-    left = np.minimum.accumulate(padded, axis=1).ravel()
-    right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[: n - w + 1], left[w - 1 : n])
-    order = np.argsort(h, kind="stable")  # the first place from a window's start on that has the window's least value
-    values = h[order]
-    out = np.empty(n - w + 1, dtype=np.int64)
-    lo = np.searchsorted(values, least, "left")
-    hi = np.searchsorted(values, least, "right")
-    one = hi - lo == 1
-    out[one] = order[lo[one]]
-    for i in np.flatnonzero(~one):
-        same = order[lo[i] : hi[i]]
-        out[i] = same[np.searchsorted(same, i)]
-    return np.unique(out)
-
-
-def sketch(df: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "seq", scheme: str = "mix64", chunk: int = CHUNK) -> DataFrame:
+    order = np.argsort(h, kind="stable")
+    rank = np.full(-(-n // w) * w, n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    blocks = rank.reshape(-1, w)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.unique(order[np.unique(np.minimum(right[: n - w + 1], left[w - 1 : n]))])
+
+
+def sketch(df: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "seq", chunk: int = CHUNK) -> DataFrame:
     """A row for each minimizer: id, pos, hash, strand.
 
     Sequences longer than `chunk` are cut into pieces that overlap by w + k - 2 bases, so each window lies in a piece and one long
-    sequence spreads over tasks; a minimizer of two pieces' windows counts once. With bases other than ACGT the windows of a piece
+    sequence spreads over tasks (only such pieces are shuffled); a minimizer of two pieces' windows counts once. With bases other than ACGT the windows of a piece
     may reach less far back than the sequence's, so there pieces overlap by more.
     """
     halo = 2 * (w + k) + 1000
@@ -121,7 +107,7 @@ def sketch(df: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "se
         for batch in batches:
             ids, pos, val, plus = [], [], [], []
             for one, start, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                p, h, s = hashes(piece.as_py(), k, scheme)
+                p, h, s = hashes(piece.as_py(), k)
                 at = window_minima(h, w)
                 ids += [one] * len(at)
                 pos.append(p[at] + start)
@@ -132,7 +118,7 @@ def sketch(df: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "se
 
     schema = "id string, pos int, hash long, strand string"
     whole = pieces.filter("NOT cut").select("id", "start", "piece").mapInArrow(run, schema)
-    return whole.union(pieces.filter("cut").select("id", "start", "piece").mapInArrow(run, schema).distinct())
+    return whole.union(pieces.filter("cut").select("id", "start", "piece").repartition("id", "start").mapInArrow(run, schema).distinct())
 
 
 def density(sketched: DataFrame) -> DataFrame:

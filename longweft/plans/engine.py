@@ -37,7 +37,6 @@ class Params:
     gap_k: int = 20
     gap_w: int = 10
     min_gap: int = 1
-    scheme: str = "mix64"
     prefix: str = layout.PREFIX
 
 
@@ -60,12 +59,12 @@ def lengths_of(contigs: DataFrame) -> DataFrame:
 
 def map_reads(contigs: DataFrame, reads: DataFrame, p: Params) -> DataFrame:
     """Mappings of all reads, written once: every later stage starts from them."""
-    index = mapping.unique_minimizers(sketch.sketch(contigs, p.k, p.w, "contig", scheme=p.scheme))
+    index = mapping.unique_minimizers(sketch.sketch(contigs, p.k, p.w, "contig"))
     sized = reads.select("read_id", F.length("seq").alias("read_len"))
-    found = mapping.hits(sketch.sketch(reads, p.k, p.w, "read_id", scheme=p.scheme), index, lengths_of(contigs), sized, p.z)
+    found = mapping.hits(sketch.sketch(reads, p.k, p.w, "read_id"), index, lengths_of(contigs), sized, p.z)
     if p.repeats:
         found = mapping.repeat_filter(found)
-    return stage(mapping.mappings(mapping.accepted(found, p.k, p.x, p.sensitive)))
+    return stage(mapping.mappings(mapping.accepted(stage(found), p.k, p.x, p.sensitive)))
 
 
 def pair(contigs: DataFrame, mapped: DataFrame, p: Params) -> DataFrame:
@@ -100,7 +99,7 @@ def scaffold(contigs: DataFrame, reads: DataFrame | None, p: Params = Params(),
     plain = stage(layout.cap_gap(layout.named_paths(laid, 0 if used is None else used + 1, p.prefix), p.max_gap))
     if p.overlap:
         regions = stage(overlap.valid_regions(plain, lengths, p.small_k, p.g))
-        fine = sketch.sketch(overlap.region_sequences(contigs, regions), p.small_k, p.small_w, "contig", scheme=p.scheme)
+        fine = sketch.sketch(overlap.region_sequences(contigs, regions), p.small_k, p.small_w, "contig")
         cuts = stage(overlap.cut_points(overlap.shared_minimizers(overlap.region_minimizers(fine, regions), regions)))
         trims = stage(overlap.trims(plain, cuts, lengths, p.small_k))
         paths = stage(overlap.trimmed_paths(plain, cuts, trims, p.g, p.merge_gap + 1))
@@ -116,7 +115,7 @@ def gap_fill(r: Result, reads: DataFrame, p: Params = Params()) -> tuple[DataFra
     """Gaps of a round's paths filled from reads: sequences (id, seq), AGP rows, statistics."""
     gaps = stage(gapfill.gap_pairs(r.paths, p.min_gap))
     coarse = stage(gapfill.cut_points(gapfill.best_reads(gapfill.supporting_reads(r.mappings, gaps), p.k), p.k))
-    cuts = stage(gapfill.remapped(coarse, r.contigs, reads, p.gap_k, p.gap_w, p.stringent, p.scheme))
+    cuts = stage(gapfill.remapped(coarse, r.contigs, reads, p.gap_k, p.gap_w, p.stringent))
     spans = gapfill.final_trims(r.trims, cuts)
     placed = stage(gapfill.layout(r.paths, gaps, cuts, spans))
     return gapfill.filled(placed, r.contigs, reads, p.soft_mask), gapfill.agp(placed, spans), gapfill.fill_stats(r.paths, gaps, cuts)

@@ -10,31 +10,38 @@ from ..functions.dna import revcomp, text_as_dna
 from ..functions.shared import stage
 from ..operators import gapfill, layout, liftover, mapping, overlap, pairs, sketch
 
-K, W, Z, MOST, LEAST = 21, 10, 1000, 10, 3000
+K, W, Z, MOST = 21, 10, 1000, 10
 FINE_K, FINE_W = 15, 5
 CONTIG, STEP, OVERLAP_STEP, READ, READ_STEP = 1200, 1400, 1100, 3000, 1500
 
 
 def dna(documents: DataFrame) -> DataFrame:
-    out = documents.select("doc_id", text_as_dna(F.col("text")).alias("seq"))
-    return out.withColumn("length", F.length("seq")).filter(F.col("length") >= LEAST)
+    """The DNA of every text; null texts have none."""
+    out = documents.filter("text IS NOT NULL").select("doc_id", text_as_dna(F.col("text")).alias("seq"))
+    return out.withColumn("length", F.length("seq"))
 
 
 def pieces(seqs: DataFrame, size: int, step: int, letter: str, odd: Column) -> DataFrame:
-    """Pieces i of `size` bases every `step`, the other strand where `odd` says: id, seq."""
-    cut = seqs.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - size) / step).cast("int"))))
+    """Pieces i of `size` bases every `step`, the last one as long as bases are left, so that every base after a piece's end that is
+    not in a gap between two is in one; the other strand where `odd` says: id, seq. What ends inside the piece before begins none."""
+    seen = max(0, size - step)  # bases of a piece that the one before has too
+    last = F.greatest(F.ceil((F.col("length") - seen) / step) - 1, F.lit(0))
+    cut = seqs.filter("length > 0").withColumn("i", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     piece = F.expr(f"substring(seq, i * {step} + 1, {size})")
     name = F.concat(F.lit(letter), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit("_"), F.lpad(F.col("i").cast("string"), 4, "0"))
     return cut.select(name.alias("id"), F.when(odd, revcomp(piece)).otherwise(piece).alias("seq"))
 
 
 class Assembly:
-    """The stages from documents to scaffolds. What several later stages read (mappings, the graph, paths, regions, cuts) is written to the
-    shared folder once; all else is lazy."""
+    """The stages from documents to scaffolds. What several later stages read (contigs, reads, sketches that are joined more than once,
+    mappings, the graph, paths, regions, cuts) is written to the shared folder once; all else is lazy."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, overlapping: bool = False, scheme: str = "md5"):
-        self.spark, self.step, self.scheme = spark, OVERLAP_STEP if overlapping else STEP, scheme
-        self.documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    def __init__(self, spark: SparkSession, sf_dir: str, overlapping: bool = False):
+        self.spark, self.step = spark, OVERLAP_STEP if overlapping else STEP
+        documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        cores = spark.sparkContext.defaultParallelism
+        few = documents.rdd.getNumPartitions() < cores  # a scan's parts; a small table may be one row group, which one task would read
+        self.documents = documents.repartition(2 * cores) if few else documents
 
     @cached_property
     def dna(self) -> DataFrame:
@@ -43,12 +50,12 @@ class Assembly:
     @cached_property
     def contigs(self) -> DataFrame:
         cut = pieces(self.dna, CONTIG, self.step, "c", F.col("i") % 2 == 1)
-        return cut.select(F.col("id").alias("contig"), "seq", F.length("seq").alias("length"))
+        return stage(cut.select(F.col("id").alias("contig"), "seq", F.length("seq").alias("length")))
 
     @cached_property
     def reads(self) -> DataFrame:
         cut = pieces(self.dna, READ, READ_STEP, "r", (F.col("doc_id") + F.col("i")) % 2 == 1)
-        return cut.select(F.col("id").alias("read_id"), "seq", F.length("seq").alias("read_len"))
+        return stage(cut.select(F.col("id").alias("read_id"), "seq", F.length("seq").alias("read_len")))
 
     @cached_property
     def lengths(self) -> DataFrame:
@@ -56,7 +63,7 @@ class Assembly:
 
     @cached_property
     def target(self) -> DataFrame:
-        return sketch.sketch(self.contigs, K, W, "contig", scheme=self.scheme)
+        return sketch.sketch(self.contigs, K, W, "contig")
 
     @cached_property
     def index(self) -> DataFrame:
@@ -64,11 +71,11 @@ class Assembly:
 
     @cached_property
     def read_sketch(self) -> DataFrame:
-        return sketch.sketch(self.reads, K, W, "read_id", scheme=self.scheme)
+        return sketch.sketch(self.reads, K, W, "read_id")
 
     @cached_property
     def hits(self) -> DataFrame:
-        return mapping.hits(self.read_sketch, self.index, self.lengths, self.reads, Z)
+        return stage(mapping.hits(self.read_sketch, self.index, self.lengths, self.reads, Z))
 
     @cached_property
     def accepted(self) -> DataFrame:
@@ -100,7 +107,7 @@ class Assembly:
 
     @cached_property
     def fine(self) -> DataFrame:
-        return sketch.sketch(overlap.region_sequences(self.contigs, self.regions), FINE_K, FINE_W, "contig", scheme=self.scheme)
+        return sketch.sketch(overlap.region_sequences(self.contigs, self.regions), FINE_K, FINE_W, "contig")
 
     @cached_property
     def regions(self) -> DataFrame:

@@ -38,7 +38,7 @@ q("read_sketch_with_length", "SELECT id, pos::INT AS pos, hash, strand, read_len
 q("minimizer_density", "SELECT id, count(*) AS n_minimizers, avg(step) AS mean_spacing, max(step)::INT AS max_spacing FROM (SELECT id, pos - lag(pos) OVER (PARTITION BY id ORDER BY pos) AS step FROM target_mx) GROUP BY id", lambda a: sketch.density(a.target))
 sql.STEPS["fine_kmers"] = sql.kmers("contigs", "contig", 15)
 sql.STEPS["fine_mx"] = sql.minimizers("fine_kmers", 5)
-q("sketch_fine_kw", "SELECT id, pos::INT AS pos, hash, strand FROM fine_mx", lambda a: sketch.sketch(a.contigs, 15, 5, "contig", scheme="md5"))
+q("sketch_fine_kw", "SELECT id, pos::INT AS pos, hash, strand FROM fine_mx", lambda a: sketch.sketch(a.contigs, 15, 5, "contig"))
 q("sketch_lines", "SELECT id, string_agg(hash || ':' || pos || ':' || strand, ' ' ORDER BY pos) AS minimizers FROM target_mx GROUP BY id", lambda a: sketch.as_line(a.target))
 # index and hits
 q("unique_minimizers", "SELECT hash, contig, cpos, cstrand FROM target_index", lambda a: a.index)
@@ -135,7 +135,7 @@ q("masked_sequences", "SELECT path_id, step, role, name, seq FROM masked", lambd
 q("gap_fill_sequences", "SELECT id, seq FROM filled", lambda a: gapfill.filled(a.placed(a.gap_cuts)[0], a.contigs, a.reads))
 q("fill_stats", "SELECT num_gaps, num_gaps - p AS small_gaps, p AS potential_fills, f AS filled_gaps, 0 AS new_anchors, f AS old_anchors, p - f AS unfilled FROM (SELECT count(gap) AS num_gaps FROM named), (SELECT count(*) AS p FROM gap_pairs), (SELECT count(*) AS f FROM gap_cuts)", lambda a: gapfill.fill_stats(a.paths, a.gaps, a.gap_cuts))
 q("agp_gapfill", 'SELECT object, start, stop, part, kind, component, "from", "to", ori FROM fill_agp', lambda a: gapfill.agp(*a.placed(a.gap_cuts)))
-q("gap_fill_remapped", None, lambda a: gapfill.remapped(a.gap_cuts, a.contigs, a.reads, scheme="md5"))
+q("gap_fill_remapped", None, lambda a: gapfill.remapped(a.gap_cuts, a.contigs, a.reads))
 # liftover and rounds
 q("liftover_hits", "SELECT read_id, map_idx, contig, j, cpos, cstrand, rpos, rstrand FROM lifted", lambda a: liftover.lift_hits(a.mappings, a.plain_agp, K).drop("read_len"))
 q("liftover_mappings", "SELECT read_id, map_idx, contig, hit_count, hits FROM lift_mapped SEMI JOIN lift_mono USING (read_id, contig)", lambda a: a.lifted.select("read_id", "map_idx", "contig", "hit_count", mapping.hit_text().alias("hits")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from .fixture import CONTIG, K, LEAST, MOST, OVERLAP_STEP, READ, READ_STEP, STEP, W, Z
+from ..operators.sketch import FACTORS, HALVES, PRIME, WORD
+from .fixture import CONTIG, K, MOST, OVERLAP_STEP, READ, READ_STEP, STEP, W, Z
 
 STEPS: dict[str, str] = {}
 RECURSIVE: set[str] = set()
@@ -40,12 +41,19 @@ def flip(x: str) -> str:
 
 def pieces(size: int, step: int, letter: str, odd: str) -> str:
     part = f"substr(seq, {step} * i + 1, {size})"
-    return f"SELECT '{letter}' || lpad(doc_id::VARCHAR, 8, '0') || '_' || lpad(i::VARCHAR, 4, '0') AS id, CASE WHEN {odd} THEN {rc(part)} ELSE {part} END AS seq FROM (SELECT doc_id, seq, unnest(range(0, (length - {size}) // {step} + 1)) AS i FROM s_dna)"
+    count = f"greatest((length - {max(0, size - step)} + {step - 1}) // {step}, 1)"
+    return f"SELECT '{letter}' || lpad(doc_id::VARCHAR, 8, '0') || '_' || lpad(i::VARCHAR, 4, '0') AS id, CASE WHEN {odd} THEN {rc(part)} ELSE {part} END AS seq FROM (SELECT doc_id, seq, unnest(range(0, {count})) AS i FROM s_dna WHERE length > 0)"
 
 
 def kmers(table: str, id_col: str, k: int = K) -> str:
-    return f"""SELECT id, pos, ('0x' || substr(md5(least(f, r)), 1, 15))::BIGINT AS hash, CASE WHEN f <= r THEN '+' ELSE '-' END AS strand
-FROM (SELECT id, pos, f, {rc('f')} AS r FROM (SELECT {id_col} AS id, pos, substr(seq, pos + 1, {k}) AS f FROM (SELECT {id_col}, seq, unnest(range(0, length(seq) - {k - 1})) AS pos FROM {table})))"""
+    """K-mers (of 21 bases at most) with the hash of sketch.hashes()."""
+    bits = "least(f, r)"
+    for base, two in zip("ACGT", ("00", "01", "10", "11")):
+        bits = f"replace({bits}, '{base}', '{two}')"
+    rows = f"SELECT {id_col} AS id, pos, substr(seq, pos + 1, {k}) AS f FROM (SELECT {id_col}, seq, unnest(range(0, length(seq) - {k - 1})) AS pos FROM {table} WHERE length(seq) >= {k})"
+    code = f"SELECT id, pos, CASE WHEN f <= r THEN '+' ELSE '-' END AS strand, {bits}::BIT::BIGINT AS c FROM (SELECT *, {rc('f')} AS r FROM ({rows}))"
+    linear = f"SELECT id, pos, strand, ((c & {(1 << WORD) - 1}) * {FACTORS[0]} + (c >> {WORD}) * {FACTORS[1]}) % {PRIME} AS h FROM ({code})"
+    return f"SELECT id, pos, ((xor(h, h >> 29) >> 31) * {HALVES[0]} + (xor(h, h >> 29) & {(1 << 31) - 1}) * {HALVES[1]}) % {PRIME} AS hash, strand FROM ({linear})"
 
 
 def minimizers(table: str, w: int = W) -> str:
@@ -58,7 +66,7 @@ def runs(hits: str) -> str:
     return f"SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY hit_idx)::INT AS run_idx FROM (SELECT *, CASE WHEN contig <> lag(contig) OVER (PARTITION BY read_id ORDER BY hit_idx) THEN 1 ELSE 0 END AS new FROM {hits})"
 
 
-STEPS["s_dna"] = f"SELECT doc_id, seq, length(seq) AS length FROM (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents) WHERE length(seq) >= {LEAST}"
+STEPS["s_dna"] = "SELECT doc_id, seq, length(seq) AS length FROM (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents WHERE text IS NOT NULL)"
 STEPS["contigs"] = f"SELECT id AS contig, seq, length(seq)::INT AS length FROM ({pieces(CONTIG, STEP, 'c', 'i % 2 = 1')})"
 STEPS["contigs_ov"] = f"SELECT id AS contig, seq, length(seq)::INT AS length FROM ({pieces(CONTIG, OVERLAP_STEP, 'c', 'i % 2 = 1')})"
 STEPS["reads"] = f"SELECT id AS read_id, seq, length(seq)::INT AS read_len FROM ({pieces(READ, READ_STEP, 'r', '(doc_id + i) % 2 = 1')})"
@@ -236,10 +244,10 @@ STEPS["fill_agp"] = """SELECT path_id AS object, (stop0 - size + 1)::BIGINT AS s
 UNION ALL SELECT contig, 1, stop - start, 1, 'W', contig, (start + 1)::VARCHAR, stop::VARCHAR, '+' FROM gap_spans WHERE contig NOT IN (SELECT contig FROM named)"""
 
 # liftover to the scaffolds of the plain paths
-STEPS["plain_parts"] = """SELECT path_id, step, contig, ori, gap, sum(1200 + coalesce(gap - 1, 0)) OVER (PARTITION BY path_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM named"""
-STEPS["plain_agp"] = "SELECT path_id AS object, coalesce(before, 0) + 1 AS s0, contig, 1 AS c0, 1200 AS c1, ori AS o FROM plain_parts UNION ALL SELECT contig, 1, contig, 1, 1200, '+' FROM contigs WHERE contig NOT IN (SELECT contig FROM named)"
-STEPS["lifted"] = f"""SELECT read_id, read_len, map_idx, object AS contig, (row_number() OVER (PARTITION BY read_id, map_idx ORDER BY hit_idx) - 1)::INT AS j, (CASE WHEN object = a.contig THEN cpos WHEN o = '+' THEN s0 - 1 + cpos ELSE s0 - 1 + (1200 - cpos) - {K} END)::INT AS cpos,
-CASE WHEN object <> a.contig AND o = '-' THEN translate(cstrand, '+-', '-+') ELSE cstrand END AS cstrand, rpos, rstrand FROM (SELECT a.*, m.map_idx FROM accepted a JOIN mapped m USING (read_id, contig)) a JOIN plain_agp p ON p.contig = a.contig WHERE cpos <= 1200 - {K}"""
+STEPS["plain_parts"] = """SELECT path_id, step, contig, ori, gap, length, sum(length + coalesce(gap - 1, 0)) OVER (PARTITION BY path_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM named JOIN contigs USING (contig)"""
+STEPS["plain_agp"] = "SELECT path_id AS object, coalesce(before, 0) + 1 AS s0, contig, 1 AS c0, length AS c1, ori AS o FROM plain_parts UNION ALL SELECT contig, 1, contig, 1, length, '+' FROM contigs WHERE contig NOT IN (SELECT contig FROM named)"
+STEPS["lifted"] = f"""SELECT read_id, read_len, map_idx, object AS contig, (row_number() OVER (PARTITION BY read_id, map_idx ORDER BY hit_idx) - 1)::INT AS j, (CASE WHEN object = a.contig THEN cpos WHEN o = '+' THEN s0 - 1 + cpos ELSE s0 - 1 + (c1 - cpos) - {K} END)::INT AS cpos,
+CASE WHEN object <> a.contig AND o = '-' THEN translate(cstrand, '+-', '-+') ELSE cstrand END AS cstrand, rpos, rstrand FROM (SELECT a.*, m.map_idx FROM accepted a JOIN mapped m USING (read_id, contig)) a JOIN plain_agp p ON p.contig = a.contig WHERE cpos <= c1 - {K}"""
 STEPS["lift_runs"] = runs("(SELECT read_id, map_idx AS hit_idx, contig FROM (SELECT DISTINCT read_id, map_idx, contig FROM lifted))")
 STEPS["lift_bounds"] = STEPS["bounds"].replace("run_hits", "lift_runs")
 STEPS["lift_gone"] = STEPS["specific"].replace("bounds", "lift_bounds")

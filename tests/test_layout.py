@@ -29,6 +29,14 @@ def test_paths_are_numbered_longest_first(spark):
     assert got == {"scaffold_0": "a+ 51N b+ 51N c+", "scaffold_1": "x+ 51N y+"}
 
 
+def test_numbers_of_many_paths_go_over_all_parts(spark):
+    rows = [(f"p{i:03d}", step, f"c{i:03d}", "+") for i in range(300) for step in range(2 + (i % 7 == 0) + (i == 5))]
+    got = layout.named_paths(spark.createDataFrame(rows, "start string, step long, contig string, ori string"), first=3).select("path_id", "contig").distinct().collect()
+    size = lambda i: 2 + (i % 7 == 0) + (i == 5)
+    order = sorted(range(300), key=lambda i: (size(i), f"c{i:03d}"), reverse=True)
+    assert {r.path_id: r.contig for r in got} == {f"scaffold_{k + 3}": f"c{i:03d}" for k, i in enumerate(order)}
+
+
 def test_omitted_contigs_in_a_row(spark):
     paths = spark.createDataFrame([("p", i, c, "+", g, None) for i, (c, g) in enumerate([("a", 1), ("b", 1), ("c", 1), ("d", None)])], "path_id string, step long, contig string, ori string, gap int, d int")
     trims = spark.createDataFrame([(c, "+", None, None, 0, 10, c in "bc") for c in "abcd"], "contig string, ori string, source_cut int, target_cut int, start int, stop int, omitted boolean")

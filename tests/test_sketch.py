@@ -4,8 +4,8 @@ from longweft.operators import sketch
 from longweft.operators.sketch import hashes, window_minima
 
 
-def brute(seq, k, w, scheme):
-    pos, h, plus = hashes(seq, k, scheme)
+def brute(seq, k, w):
+    pos, h, plus = hashes(seq, k)
     rows = list(zip(h.tolist(), pos.tolist(), plus.tolist()))
     return sorted({min(rows[i : i + w])[1] for i in range(len(rows) - w + 1)})
 
@@ -26,14 +26,34 @@ def test_sketch_is_strand_neutral_and_matches_brute_force(spark):
     seq = "".join(rng.choice("ACGT") for _ in range(3000))
     other = seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     df = spark.createDataFrame([("a", seq), ("b", other), ("n", seq[:500] + "N" + seq[501:900]), ("short", "ACGT"), ("none", None)], "id string, seq string")
-    for scheme, k in (("mix64", 21), ("mix64", 40), ("md5", 21)):
-        rows = sketch.sketch(df, k, 10, scheme=scheme).collect()
+    for k in (15, 21, 32, 40):
+        rows = sketch.sketch(df, k, 10).collect()
         got = {i: sorted(r.pos for r in rows if r.id == i) for i in ("a", "b", "n", "short", "none")}
-        assert got["a"] == brute(seq, k, 10, scheme) and got["a"] == sorted(3000 - k - p for p in got["b"])
+        assert got["a"] == brute(seq, k, 10) and got["a"] == sorted(3000 - k - p for p in got["b"])
         assert all(not p <= 500 < p + k for p in got["n"]) and not got["short"] and not got["none"]
         assert {r.hash for r in rows if r.id == "a"} == {r.hash for r in rows if r.id == "b"}
 
 
+def test_hash_by_plain_integers():
+    """The hash as its definition says, one k-mer at a time, and as hard to meet by chance as 61 bits are."""
+    rng = random.Random(4)
+    seq = "".join(rng.choice("ACGT") for _ in range(400))
+    for k in (5, 21, 33, 50):
+        pos, h, plus = hashes(seq, k)
+        for p, got, same in zip(pos.tolist(), h.tolist(), plus.tolist()):
+            own = seq[p : p + k]
+            other = own.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+            assert same == (own <= other)
+            want, canonical = 0, min(own, other)
+            for i, part in enumerate(canonical[j : j + 32] for j in range(0, k, 32)):
+                code = int("".join(str("ACGT".index(c)) for c in part), 4)
+                for j in range(4):
+                    want = (want + (code >> 21 * j & (1 << 21) - 1) * sketch.FACTORS[4 * i + j]) % sketch.PRIME
+            want ^= want >> 29
+            assert got == ((want >> 31) * sketch.HALVES[0] + (want & (1 << 31) - 1) * sketch.HALVES[1]) % sketch.PRIME
+        assert len(set(h.tolist())) == len(h) or k == 5
+
+
 def test_long_sequences_are_cut_without_a_trace(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([("a", "".join(rng.choice("ACGT") for _ in range(9000)))], "id string, seq string")
