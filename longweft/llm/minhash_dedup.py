@@ -6,8 +6,11 @@
 3. In each bucket of candidates, similarity is estimated from the count of equal b-bit values, corrected for the 2^-b that are
    equal by chance. Only a spanning forest of the estimated links leaves a bucket. Buckets with more than BLOCK nodes are compared
    block by block, each pair of blocks in a task's row group of its own, so none is collected and none is cut.
-4. The forests' components, families, are all that can be linked. Inside a family each two full sets are compared exactly, again
-   block by block, and again only a spanning forest of true links leaves a pair of blocks; their components are the classes.
+4. The forests' components, families, are all that can be linked. Inside a family full sets are compared exactly, and only a spanning
+   forest of true links leaves a comparison; their components are the classes. A family of more than BLOCK nodes is dealt into blocks
+   by hash, each of which is first compared with itself and one of them, so that rows grow with the family and not with its square.
+   In a group of near copies that joins all but a few nodes; those that are not in the family's largest class are then compared with
+   the whole family, block by block. So no pair is left out whose link could join two classes.
 
 An estimate MARGIN below the threshold still counts as a candidate. With 32 bands of 6, two sets at a similarity of 0.85 share no band
 with a probability of 2.6e-7, and their estimate misses with 4.9e-8 by the binomial: 3.2e-7 at most in all (at 0.80: 6.1e-5).
@@ -148,9 +151,9 @@ def block_pairs(df: DataFrame, group: str, order: Column | str, payload: str) ->
     )
 
 
-def compare(pairs: DataFrame, group: str, payload: str, links) -> DataFrame:
-    """Links (a, b) of each pair of blocks: a spanning forest inside a block, or of what joins two blocks that are each joined as
-    far as they are alike. links(left, right): pairs of places of two lists of payloads."""
+def compare(pairs: DataFrame, group: str, payload: str, links, joined: bool = True) -> DataFrame:
+    """Links (a, b) of each pair of blocks: a spanning forest inside a block, or of what joins two blocks that (joined) are each joined
+    as far as they are alike. links(left, right): pairs of places of two lists of payloads."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.repartition(parts, group, "i", "j").sortWithinPartitions(group, "i", "j", "side")
 
@@ -164,8 +167,10 @@ def compare(pairs: DataFrame, group: str, payload: str, links) -> DataFrame:
                 found, _ = forest(len(left), *inside([r[2] for r in left]))
             else:
                 l, r = [x[2] for x in left], [x[2] for x in right]
-                (a, b), (c, d), (e, f) = inside(l), inside(r), links(l, r)
-                _, parent = forest(len(nodes), np.append(a, c + len(l)), np.append(b, d + len(l)))
+                parent, (e, f) = None, links(l, r)
+                if joined:
+                    (a, b), (c, d) = inside(l), inside(r)
+                    _, parent = forest(len(nodes), np.append(a, c + len(l)), np.append(b, d + len(l)))
                 found, _ = forest(len(nodes), e, f + len(l), parent)
             return [(nodes[x], nodes[y]) for x, y in found]
 
@@ -231,33 +236,54 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
 
     families = spool(components(compare(block_pairs(keyed, "band", "node", "signature"), "band", "signature", alike)), "families")
     members = signed.select("doc_id", "node").filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = families.join(members, "node").select("node", "root", "doc_id")
+    large = spool(families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "large")
+    placed = families.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    wanted = placed.join(members, "node").select("node", "root", "block", "blocks", "doc_id")
+    schema = "node binary, root binary, block int, blocks int, hashes binary"
 
     def sets(batches):
         import pyarrow as pa
 
         shingles = Shingler(rule.shingle)
         for batch in batches:
-            found = [shingles(v.as_py()) for v in batch.column(2)]
-            same = [node.as_py() == fingerprint(h) for node, h in zip(batch.column(0), found)]  # else another text with the same id
-            out = [(n, r, h.tobytes()) for n, r, h, ok in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found, same) if ok]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["node", "root", "hashes"])
+            found = [shingles(v.as_py()) for v in batch.column(4)]
+            same = pa.array([node.as_py() == fingerprint(h) for node, h in zip(batch.column(0), found)], pa.bool_())  # else another text with the same id
+            made = pa.array([h.tobytes() for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], made], names=["node", "root", "block", "blocks", "hashes"]).filter(same)
         shingles = None
         give_back()
 
-    with_id = rows.filter("doc_id IS NOT NULL").join(wanted.filter("doc_id IS NOT NULL"), "doc_id").select("node", "root", "text")
-    full = with_id.mapInArrow(sets, "node binary, root binary, hashes binary")
+    with_id = rows.filter("doc_id IS NOT NULL").join(wanted.filter("doc_id IS NOT NULL"), "doc_id").select("node", "root", "block", "blocks", "text")
+    full = with_id.mapInArrow(sets, schema)
 
     def linked(left, right):
         x, y = ([np.frombuffer(h, dtype=np.uint64) for h in v] for v in (left, right))
         return true_links(x, y, rule)
 
-    classes = components(compare(block_pairs(full, "root", "node", "hashes"), "root", "hashes", linked))
-    ids = signed.select("doc_id", "node", "n_shingles").join(classes.withColumnRenamed("root", "class"), "node", "left")
-    ids = ids.withColumn("class", F.coalesce("class", "node"))
-    first = ids.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = ids.join(first, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    def keyed_by(df, i, j, side):
+        return df.select("root", i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"), "node", "hashes")
+
+    others = F.when(F.col("block") > 0, F.array("block")).when(F.col("blocks") > 1, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    first_pass = keyed_by(full.withColumn("j", F.explode(others)), F.lit(0), F.col("j"), 0)
+    classes = components(compare(first_pass, "root", "hashes", linked))
+    if not large.isEmpty():
+        known = placed.filter("blocks > 1").join(classes.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        most = known.groupBy("root", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
+        rest = spool(known.join(spool(most, "main"), "root").filter("class <> main").select("node", "root"), "rest")
+        if not rest.isEmpty():
+            sized = spool(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("more")), "rest-blocks")
+            whole = spool(full.filter("blocks > 1").join(sized, "root"), "full")
+            every = keyed_by(whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("more") - 1))), F.col("i"), F.col("block"), 1)
+            left = whole.join(rest.select("node"), "node", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            left = keyed_by(left, F.pmod(F.xxhash64("node"), F.col("more")), F.col("j"), 0)
+            new = compare(left.unionByName(every), "root", "hashes", linked, joined=False)
+            classes = components(new.union(classes.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    # a table for each step over classes: joins of tables alone are dealt anew where a key has very many rows
+    named = members.join(classes.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = spool(named, "classes")
+    first = spool(named.groupBy("class").agg(F.min("doc_id").alias("component_id")), "first")
+    labels = spool(named.join(first, "class").select("node", "component_id"), "labels")
+    out = signed.select("doc_id", "node", "n_shingles").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

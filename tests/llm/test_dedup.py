@@ -71,7 +71,7 @@ def test_a_large_group_of_near_copies_spans_blocks(spark, monkeypatch):
     rows = []
     for i in range(60):
         w = list(base)
-        for _ in range(rng.randrange(6)):
+        for _ in range(rng.randrange(12)):
             w[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows), Rule(3, 85)).collect()}
