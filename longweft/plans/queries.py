@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dna import flip, revcomp
 from ..functions.shared import shared_folder, stage
 from ..operators import assembly, gapfill, layout, liftover, mapping, overlap, paf, pairs, sketch
+from ..sources.formats import largest_number
 from ..streaming import pair_tally
 from . import engine, sql
-from .fixture import K, MOST, W, Z, Assembly
+from .fixture import FINE_K, K, MOST, W, Z, Assembly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,7 +30,7 @@ q("flagship_scaffold_edges", "SELECT source, source_ori, target, target_ori, n,
 q("revcomp", f"SELECT doc_id, {sql.rc('seq')} AS rc FROM s_dna", lambda a: a.dna.select("doc_id", revcomp(F.col("seq")).alias("rc")))
 q("orientation_flip", f"SELECT src, {sql.flip('src')} AS dst_rc FROM graph", lambda a: a.graph.select("src", flip(F.col("src")).alias("dst_rc")))
 q("contig_lengths", "SELECT contig, length FROM contigs", lambda a: a.lengths)
-q("max_numbered_id", "SELECT max(regexp_extract(contig, '^c(\\d+)_', 1)::INT) AS largest FROM contigs", lambda a: a.contigs.agg(F.max(F.regexp_extract("contig", r"^c(\d+)_", 1).cast("int")).alias("largest")))
+q("max_numbered_id", "SELECT max(regexp_extract(path_id, '^scaffold_(\\d+)$', 1)::INT) AS largest FROM named", lambda a: a.spark.createDataFrame([(largest_number(a.paths.select(F.col("path_id").alias("contig")), "scaffold_"),)], "largest int"))
 # sketches
 q("kmer_enumerate", "SELECT id, pos::INT AS pos, hash, strand FROM target_kmers", lambda a: sketch.kmers(a.contigs, K, "contig"))
 q("canonical_kmers", "SELECT hash, count(*) AS n FROM target_kmers GROUP BY hash", lambda a: sketch.kmers(a.contigs, K, "contig").groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
@@ -44,7 +45,8 @@ q("sketch_lines", "SELECT id, string_agg(hash || ':' || pos || ':' || strand, '
 q("unique_minimizers", "SELECT hash, contig, cpos, cstrand FROM target_index", lambda a: a.index)
 HITS = "read_id, hit_idx, hash, rpos, rstrand, contig, cpos, cstrand, length, read_len"
 q("read_hits", f"SELECT {HITS} FROM hits", lambda a: a.hits.select(*HITS.split(", ")))
-q("repeat_filter", f"SELECT {HITS} FROM hits QUALIFY count(*) OVER (PARTITION BY read_id, hash) = 1", lambda a: mapping.repeat_filter(a.hits).select(*HITS.split(", ")))
+# hashes cut short, so that a read has some twice
+q("repeat_filter", f"SELECT {HITS} FROM (SELECT * REPLACE (hash % 4096 AS hash) FROM hits) QUALIFY count(*) OVER (PARTITION BY read_id, hash) = 1", lambda a: mapping.repeat_filter(a.hits.withColumn("hash", F.col("hash") % 4096)).select(*HITS.split(", ")))
 q("length_filter", "SELECT hash, contig, cpos FROM target_index JOIN contigs USING (contig) WHERE length >= 1200", lambda a: a.index.join(a.lengths.filter(F.col("length") >= 1200), "contig").select("hash", "contig", "cpos"))
 NOISY = f"SELECT read_id, contig, count(*) AS n, max(cpos) - min(cpos) AS span FROM hits GROUP BY read_id, contig HAVING count(*) >= 2 AND max(cpos) - min(cpos) > least(min(read_len) + {K}, 0.9 * abs(arg_max(rpos, cpos * 100000 - hit_idx) - arg_min(rpos, cpos * 100000 + hit_idx)) + {K})"
 q("noisy_contigs", NOISY, lambda a: mapping.noisy_contigs(a.hits, K, 0.9))
@@ -79,6 +81,24 @@ q("pairs_from_checkpoint", sql.TALLY.format("checkpoint_estimates"), lambda a: p
 # mapped blocks
 q("paf_blocks", "SELECT read_id, contig, block, cpos, rpos FROM paf_blocks", lambda a: paf.blocks(a.mappings).select("read_id", "contig", "block", "cpos", "rpos"))
 q("paf_rows", sql.PAF, lambda a: paf.paf_rows(a.mappings, K))
+# hits moved, so that single ones are out of order, blocks break, contig positions occur twice and some mappings have no block
+ODD = {"cpos": "(cpos - cpos % 4)::INT", "rpos": "(CASE WHEN cpos % 17 = 3 THEN rpos + 997 WHEN cpos % 600 >= 300 THEN rpos + 5000 WHEN length < 1200 AND cpos % 3 = 0 THEN rpos * 7 % 1000 ELSE rpos END)::INT"}
+sql.STEPS["accepted_odd"] = f"SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in ODD.items())}) FROM accepted"
+sql.renamed("_odd", ["paf_sorted", "paf_flags", "paf_mode", "paf_act", "paf_left", "paf_blocks"], {"accepted": "accepted_odd"})
+
+
+def moved(mapped: DataFrame, cpos: Callable[..., Column], rpos: Callable[..., Column]) -> DataFrame:
+    """Mappings with other positions of their hits, in the same order."""
+    return mapped.withColumn("hits", F.transform("hits", lambda h: F.struct(cpos(h).cast("int").alias("cpos"), h["cstrand"].alias("cstrand"), rpos(h).cast("int").alias("rpos"), h["rstrand"].alias("rstrand"))))
+
+
+def odd(a: Assembly) -> DataFrame:
+    rpos = lambda h: F.when(h["cpos"] % 17 == 3, h["rpos"] + 997).when(h["cpos"] % 600 >= 300, h["rpos"] + 5000).when((F.col("length") < 1200) & (h["cpos"] % 3 == 0), h["rpos"] * 7 % 1000).otherwise(h["rpos"])
+    return moved(a.mappings, lambda h: h["cpos"] - h["cpos"] % 4, rpos)
+
+
+q("paf_blocks_broken", "SELECT read_id, contig, block, cpos, rpos FROM paf_blocks_odd", lambda a: paf.blocks(odd(a)).select("read_id", "contig", "block", "cpos", "rpos"))
+q("paf_rows_broken", sql.PAF.replace("paf_blocks", "paf_blocks_odd"), lambda a: paf.paf_rows(odd(a), K))
 # layout
 q("n_sweep_edges", "SELECT w, count(*) AS edges FROM graph_w GROUP BY w", lambda a: layout.weight_sweep(a.graph).groupBy("w").agg(F.count(F.lit(1)).alias("edges")))
 q("transitive_reduction", "SELECT src, dst, d, n FROM reduced", lambda a: layout.transitive_reduction(a.graph).select("src", "dst", "d", "n"))
@@ -120,6 +140,20 @@ q("overlap_cuts", "SELECT path_id, step, spos, tpos, hash FROM cuts_ov", lambda
 q("trim_coordinates", "SELECT contig, ori, source_cut, target_cut, start, stop, omitted FROM trims_ov", lambda a: a.trims, True)
 q("trimmed_paths", "SELECT path_id, step, contig, ori, gap FROM trimmed_ov", lambda a: a.trimmed_paths.drop("d"), True)
 q("agp_scaffold", 'SELECT object, start, stop, part, kind, component, "from", "to", ori FROM agp_ov', lambda a: overlap.agp(a.trimmed_paths, a.trims), True)
+# cuts at fixed shares of contigs, so that many cross and contigs go
+sql.STEPS["cuts_x"] = "SELECT path_id, step, (s.length * ((step * 53 + 31) % 100) // 100)::INT AS spos, (t.length * ((step * 37 + 11) % 100) // 100)::INT AS tpos FROM nexts JOIN contigs s ON s.contig = source JOIN contigs t ON t.contig = target"
+sql.renamed("_x", ["cut_paths", "trims_ov", "trimmed_ov"], {"named_ov": "named", "cuts_ov": "cuts_x", "contigs_ov": "contigs"})
+
+
+def crossing(a: Assembly) -> DataFrame:
+    one = lambda side: a.lengths.select(F.col("contig").alias(side), F.col("length").alias(f"{side}_len"))
+    both = overlap.neighbours(a.paths).join(one("source"), "source").join(one("target"), "target")
+    at = lambda side, k, b: F.floor(F.col(f"{side}_len") * ((F.col("step") * k + b) % 100) / 100).cast("int")
+    return both.select("path_id", "step", at("source", 53, 31).alias("spos"), at("target", 37, 11).alias("tpos"), F.lit(0).cast("long").alias("hash"))
+
+
+q("trims_crossing", "SELECT contig, ori, source_cut, target_cut, start, stop, omitted FROM trims_ov_x", lambda a: overlap.trims(a.paths, crossing(a), a.lengths, FINE_K))
+q("trimmed_paths_crossing", "SELECT path_id, step, contig, ori, gap FROM trimmed_ov_x", lambda a: overlap.trimmed_paths(a.paths, crossing(a), overlap.trims(a.paths, crossing(a), a.lengths, FINE_K)).drop("d"))
 # assembly
 q("trimmed_sequences", "SELECT contig, header, seq FROM cut_seqs", lambda a: assembly.trimmed_sequences(a.contigs, a.trims), True)
 q("merged_scaffolds", "SELECT id, members, seq FROM merged", lambda a: assembly.merge(a.trimmed_paths, assembly.trimmed_sequences(a.contigs, a.trims)), True)
@@ -134,10 +168,27 @@ q("cut_points", f"SELECT {CUTS} FROM gap_cuts", lambda a: a.gap_cuts)
 q("masked_sequences", "SELECT path_id, step, role, name, seq FROM masked", lambda a: gapfill.masked(a.gap_cuts, a.contigs, a.reads))
 q("gap_fill_sequences", "SELECT id, seq FROM filled", lambda a: gapfill.filled(a.placed(a.gap_cuts)[0], a.contigs, a.reads))
 q("fill_stats", "SELECT num_gaps, num_gaps - p AS small_gaps, p AS potential_fills, f AS filled_gaps, 0 AS new_anchors, f AS old_anchors, p - f AS unfilled FROM (SELECT count(gap) AS num_gaps FROM named), (SELECT count(*) AS p FROM gap_pairs), (SELECT count(*) AS f FROM gap_cuts)", lambda a: gapfill.fill_stats(a.paths, a.gaps, a.gap_cuts))
+# reads of an odd number that begin late, so that they are too short for their gaps
+LATE = "CASE WHEN right(read_id, 1) IN ('1', '3', '5', '7', '9') THEN 2900 ELSE 0 END"
+sql.STEPS["mapped_late"] = f"SELECT * REPLACE ((hr - {LATE})::INT AS hr, (tr - {LATE})::INT AS tr) FROM mapped"
+sql.renamed("_late", ["good", "supports", "gap_est", "best_reads", "gap_cuts"], {"mapped": "mapped_late"})
+
+
+def late(a: Assembly) -> DataFrame:
+    by = F.when(F.substring("read_id", -1, 1).isin(*"13579"), 2900).otherwise(0)
+    return gapfill.supporting_reads(moved(a.mappings, lambda h: h["cpos"], lambda h: h["rpos"] - by), a.gaps)
+
+
+q("best_gap_read_short", "SELECT path_id, step, read_id, est, mean_hits FROM best_reads_late", lambda a: gapfill.best_reads(late(a), K).select("path_id", "step", "read_id", F.col("est").cast("int").alias("est"), "mean_hits"))
+q("fill_stats_unfilled", "SELECT num_gaps, num_gaps - p AS small_gaps, p AS potential_fills, f AS filled_gaps, 0 AS new_anchors, f AS old_anchors, p - f AS unfilled FROM (SELECT count(gap) AS num_gaps FROM named), (SELECT count(*) AS p FROM gap_pairs), (SELECT count(*) AS f FROM gap_cuts_late)", lambda a: gapfill.fill_stats(a.paths, a.gaps, stage(gapfill.cut_points(gapfill.best_reads(late(a), K), K))))
 q("agp_gapfill", 'SELECT object, start, stop, part, kind, component, "from", "to", ori FROM fill_agp', lambda a: gapfill.agp(*a.placed(a.gap_cuts)))
 q("gap_fill_remapped", None, lambda a: gapfill.remapped(a.gap_cuts, a.contigs, a.reads))
 # liftover and rounds
 q("liftover_hits", "SELECT read_id, map_idx, contig, j, cpos, cstrand, rpos, rstrand FROM lifted", lambda a: liftover.lift_hits(a.mappings, a.plain_agp, K).drop("read_len"))
+# hits moved towards the ends of their contigs and off them
+sql.STEPS["accepted_far"] = "SELECT * REPLACE ((cpos + 150)::INT AS cpos) FROM accepted"
+sql.renamed("_far", ["lifted"], {"accepted": "accepted_far"})
+q("liftover_hits_off_the_end", "SELECT read_id, map_idx, contig, j, cpos, cstrand, rpos, rstrand FROM lifted_far", lambda a: liftover.lift_hits(moved(a.mappings, lambda h: h["cpos"] + 150, lambda h: h["rpos"]), a.plain_agp, K).filter("j IS NOT NULL").drop("read_len"))
 q("liftover_mappings", "SELECT read_id, map_idx, contig, hit_count, hits FROM lift_mapped SEMI JOIN lift_mono USING (read_id, contig)", lambda a: a.lifted.select("read_id", "map_idx", "contig", "hit_count", mapping.hit_text().alias("hits")))
 
 

@@ -31,6 +31,13 @@ def query(select: str) -> str:
     return f"WITH RECURSIVE {steps}\n{select}" if steps else select
 
 
+def renamed(end: str, steps: list[str], other: dict[str, str]) -> None:
+    """The same steps over other tables, under their names and `end`."""
+    names = {**{n: n + end for n in steps}, **other}
+    for n in steps:
+        STEPS[n + end] = re.sub(r"\b[a-z_0-9]+\b", lambda m: names.get(m[0], m[0]), STEPS[n])
+
+
 def rc(x: str) -> str:
     return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
 
