@@ -254,7 +254,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
         give_back()
 
     with_id = rows.filter("doc_id IS NOT NULL").join(wanted.filter("doc_id IS NOT NULL"), "doc_id").select("node", "root", "block", "blocks", "text")
-    full = with_id.mapInArrow(sets, schema)
+    full = spool(with_id.mapInArrow(sets, schema), "full")  # read twice where there are large families
 
     def linked(left, right):
         x, y = ([np.frombuffer(h, dtype=np.uint64) for h in v] for v in (left, right))
@@ -272,7 +272,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
         rest = spool(known.join(spool(most, "main"), "root").filter("class <> main").select("node", "root"), "rest")
         if not rest.isEmpty():
             sized = spool(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("more")), "rest-blocks")
-            whole = spool(full.filter("blocks > 1").join(sized, "root"), "full")
+            whole = full.filter("blocks > 1").join(sized, "root")
             every = keyed_by(whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("more") - 1))), F.col("i"), F.col("block"), 1)
             left = whole.join(rest.select("node"), "node", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             left = keyed_by(left, F.pmod(F.xxhash64("node"), F.col("more")), F.col("j"), 0)
