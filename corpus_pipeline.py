@@ -2,8 +2,8 @@
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents; run() writes
 each stage's result to the shared folder and reads it again, so no stage is computed twice and a lost executor costs one stage at
-most. The result holds a row for each packed piece. ORACLE_SQL is None: a trained model, MinHash and packing are no SQL; the tests
-hold the pipeline against a brute-force version.
+most. The result holds a row for each packed piece. ORACLE_SQL is None: a trained model, MinHash and packing are no SQL. The tests hold
+each stage's decisions against its operator and substring dedup against brute force; the operators have brute-force tests of their own.
 
 Nulls: a document with a null text, or one without words, is rejected by language ID. Rows with one doc_id stay or go together.
 """
