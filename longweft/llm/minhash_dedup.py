@@ -3,14 +3,14 @@
 1. Each text becomes the set of its shingles' 64-bit hashes. Texts with equal sets are one node, whatever their number.
 2. A node has HASHES minima. BANDS bands of ROWS minima each make band keys; the low BITS bits of all minima are packed as its
    signature. Nodes with an equal band key are candidates.
-3. In each bucket of candidates, similarity is estimated from the count of equal b-bit values, corrected for the 2^-b that are
-   equal by chance. Only a spanning forest of the estimated links leaves a bucket. Buckets with more than BLOCK nodes are compared
-   block by block, each pair of blocks in a task's row group of its own, so none is collected and none is cut.
-4. The forests' components, families, are all that can be linked. Inside a family full sets are compared exactly, and only a spanning
-   forest of true links leaves a comparison; their components are the classes. A family of more than BLOCK nodes is dealt into blocks
-   by hash, each of which is first compared with itself and one of them, so that rows grow with the family and not with its square.
-   In a group of near copies that joins all but a few nodes; those that are not in the family's largest class are then compared with
-   the whole family, block by block. So no pair is left out whose link could join two classes.
+3. Buckets are counted by key; those of one node go before signatures join. In each bucket of candidates, similarity is estimated from
+   the count of equal b-bit values, corrected for the 2^-b that are equal by chance. Only a spanning forest of the estimated links
+   leaves a comparison. The forests' components, families, are all that can be linked.
+4. Inside a family full sets are compared exactly; the components of the true links are the classes.
+5. A bucket or family of more than BLOCK nodes is dealt into blocks by hash, each of which is first compared with itself and one of
+   them, so that rows grow with the group and not with its square. In a group of near copies that joins all but a few nodes; those
+   outside the group's largest component are then compared with the whole group, block by block. So no pair is left out whose link
+   could join two components, and no task holds a group.
 
 An estimate MARGIN below the threshold still counts as a candidate. With 32 bands of 6, two sets at a similarity of 0.85 share no band
 with a probability of 2.6e-7, and their estimate misses with 4.9e-8 by the binomial: 3.2e-7 at most in all (at 0.80: 6.1e-5).
@@ -25,7 +25,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import LOWER_AZ, Cache, give_back, slices, spool
+from .common import LOWER_AZ, Cache, give_back, slices, spool, unspool
 from .components import components
 
 BANDS, ROWS, BITS = 32, 6, 4
@@ -141,21 +141,17 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, parent: list[int] | None = None
     return out, parent
 
 
-def block_pairs(df: DataFrame, group: str, order: Column | str, payload: str) -> DataFrame:
-    """Rows (group, i, j, side, node, payload) for each pair i <= j of the group's blocks of BLOCK nodes; groups of one node go."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("at", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1")
-    ranked = ranked.withColumn("block", F.floor(F.col("at") / BLOCK).cast("int")).withColumn("last", F.floor((F.col("n") - 1) / BLOCK).cast("int"))
-    return ranked.withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).select(
-        group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", payload
-    )
+def dealt_into(blocks: Column) -> Column:
+    """The block of a node in a group of so many blocks: by hash, so that no task numbers a group."""
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
 
 
-def compare(pairs: DataFrame, group: str, payload: str, links, joined: bool = True) -> DataFrame:
-    """Links (a, b) of each pair of blocks: a spanning forest inside a block, or of what joins two blocks that (joined) are each joined
-    as far as they are alike. links(left, right): pairs of places of two lists of payloads."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(parts, group, "i", "j").sortWithinPartitions(group, "i", "j", "side")
+def compare(pairs: DataFrame, links, joined: bool = True) -> DataFrame:
+    """Links (a, b) of rows (group, i, j, side, node, payload), which make up pairs of blocks: a spanning forest inside a block, or of
+    what joins two blocks that (joined) are each joined as far as they are alike. links(left, right): pairs of places of two lists of
+    payloads. Pairs of blocks of one node in all are left out before they reach Python."""
+    w = Window.partitionBy("group", "i", "j")
+    dealt = pairs.withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1").drop("n").sortWithinPartitions("group", "i", "j")
 
     def run(batches):
         import pyarrow as pa
@@ -197,6 +193,36 @@ def compare(pairs: DataFrame, group: str, payload: str, links, joined: bool = Tr
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def link_groups(items: DataFrame, links, name: str) -> DataFrame:
+    """(node, root) of all that links joins inside groups: items (group, block, blocks, node, payload) is a table.
+
+    Each block of a group is compared with itself and block 0, so rows grow with the group and not with its square. Then the nodes that
+    are not in what most of their group was joined to are compared with the whole group. So every link that could join two components
+    is seen. Only where most of a large group is joined to nothing do rows grow with its square, divided by BLOCK.
+    """
+
+    def keyed_by(df, i, j, side):
+        return df.select("group", i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"), "node", "payload")
+
+    others = F.when(F.col("block") > 0, F.array("block")).when(F.col("blocks") > 1, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    found = components(compare(keyed_by(items.withColumn("j", F.explode(others)), F.lit(0), F.col("j"), 0), links))
+    large = items.filter("blocks > 1")
+    if large.isEmpty():
+        return found
+    found = spool(found, f"{name}-found")
+    known = large.select("group", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most = known.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rest = spool(known.join(spool(most, f"{name}-main"), "group").filter("root <> main").select("node", "group"), f"{name}-rest")
+    if rest.isEmpty():
+        return found
+    sized = spool(rest.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("more")), f"{name}-rest-blocks")
+    whole = large.join(sized, "group")
+    every = keyed_by(whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("more") - 1))), F.col("i"), F.col("block"), 1)
+    left = whole.join(rest, ["group", "node"], "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    new = compare(keyed_by(left, dealt_into(F.col("more")), F.col("j"), 0).unionByName(every), links, joined=False)
+    return components(new.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
 def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of df: doc_id, n_shingles, component_id (the least id that linked texts lead to), kept.
 
@@ -226,20 +252,26 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
         give_back()
 
     signed = spool(rows.mapInArrow(sign, "doc_id long, n_shingles long, node binary, signature binary, bands array<long>"), "signed")
-    nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    keyed = nodes.select("node", "signature", F.explode("bands").alias("band"))
+    nodes = spool(signed.filter("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes")
+    # buckets are counted and met by key alone; signatures join only those nodes that share one
+    keyed = nodes.select("node", F.explode("bands").alias("group"))
+    buckets = spool(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    shared = keyed.join(buckets, "group").withColumn("block", dealt_into(F.col("blocks")))
+    candidates = spool(shared.join(nodes.select("node", F.col("signature").alias("payload")), "node").select("group", "block", "blocks", "node", "payload"), "candidates")
     least = 0.01 * rule.of - MARGIN
 
     def alike(left, right):
         x, y = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), -1) for v in (left, right))
         return np.nonzero(estimates(x, y) >= least)
 
-    families = spool(components(compare(block_pairs(keyed, "band", "node", "signature"), "band", "signature", alike)), "families")
+    families = spool(link_groups(candidates, alike, "bands"), "families")
+    for done in (nodes, buckets, candidates):
+        unspool(done)
     members = signed.select("doc_id", "node").filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     large = spool(families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "large")
-    placed = families.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = placed.join(members, "node").select("node", "root", "block", "blocks", "doc_id")
-    schema = "node binary, root binary, block int, blocks int, hashes binary"
+    placed = families.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", dealt_into(F.col("blocks")))
+    wanted = placed.join(members, "node").select("node", F.col("root").alias("group"), "block", "blocks", "doc_id")
+    schema = "node binary, group binary, block int, blocks int, payload binary"
 
     def sets(batches):
         import pyarrow as pa
@@ -249,35 +281,18 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
             found = [shingles(v.as_py()) for v in batch.column(4)]
             same = pa.array([node.as_py() == fingerprint(h) for node, h in zip(batch.column(0), found)], pa.bool_())  # else another text with the same id
             made = pa.array([h.tobytes() for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], made], names=["node", "root", "block", "blocks", "hashes"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], made], names=["node", "group", "block", "blocks", "payload"]).filter(same)
         shingles = None
         give_back()
 
-    with_id = rows.filter("doc_id IS NOT NULL").join(wanted.filter("doc_id IS NOT NULL"), "doc_id").select("node", "root", "block", "blocks", "text")
+    with_id = rows.filter("doc_id IS NOT NULL").join(wanted.filter("doc_id IS NOT NULL"), "doc_id").select("node", "group", "block", "blocks", "text")
     full = spool(with_id.mapInArrow(sets, schema), "full")  # read twice where there are large families
 
     def linked(left, right):
         x, y = ([np.frombuffer(h, dtype=np.uint64) for h in v] for v in (left, right))
         return true_links(x, y, rule)
 
-    def keyed_by(df, i, j, side):
-        return df.select("root", i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"), "node", "hashes")
-
-    others = F.when(F.col("block") > 0, F.array("block")).when(F.col("blocks") > 1, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
-    first_pass = keyed_by(full.withColumn("j", F.explode(others)), F.lit(0), F.col("j"), 0)
-    classes = components(compare(first_pass, "root", "hashes", linked))
-    if not large.isEmpty():
-        known = placed.filter("blocks > 1").join(classes.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
-        most = known.groupBy("root", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
-        rest = spool(known.join(spool(most, "main"), "root").filter("class <> main").select("node", "root"), "rest")
-        if not rest.isEmpty():
-            sized = spool(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("more")), "rest-blocks")
-            whole = full.filter("blocks > 1").join(sized, "root")
-            every = keyed_by(whole.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("more") - 1))), F.col("i"), F.col("block"), 1)
-            left = whole.join(rest.select("node"), "node", "left_semi").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            left = keyed_by(left, F.pmod(F.xxhash64("node"), F.col("more")), F.col("j"), 0)
-            new = compare(left.unionByName(every), "root", "hashes", linked, joined=False)
-            classes = components(new.union(classes.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    classes = link_groups(full, linked, "families")
     # a table for each step over classes: joins of tables alone are dealt anew where a key has very many rows
     named = members.join(classes.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = spool(named, "classes")
