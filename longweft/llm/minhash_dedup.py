@@ -223,15 +223,16 @@ def link_groups(items: DataFrame, links, name: str) -> DataFrame:
     return components(new.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of df: doc_id, n_shingles, component_id (the least id that linked texts lead to), kept.
+def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", mark: bool = False) -> DataFrame:
+    """A row for each row of df: doc_id, n_shingles, component_id (the least id that linked texts lead to), kept, and with `mark` the
+    hash of the row's text, so that rows of one id can be told apart.
 
     Lower-cases A-Z only. Null and empty texts, and those without words, have an empty set and are linked with nothing, not even with
     one another. Rows with equal ids are judged by their own texts. A row with a null id is linked by an equal set only; it is no component_id where
     the component has another, and else `kept` is true.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
 
     def sign(batches):
         import pyarrow as pa
@@ -247,11 +248,11 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
                 else:
                     out.append((0, None, None, None))
             types = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(zip(*out), types))] if out else [pa.array([], t) for t in (pa.int64(), *types)], names=["doc_id", "n_shingles", "node", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, type=t) for c, t in zip(zip(*out), types))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), *types)], names=["doc_id", "mark", "n_shingles", "node", "signature", "bands"])
         shingles = None
         give_back()
 
-    signed = spool(rows.mapInArrow(sign, "doc_id long, n_shingles long, node binary, signature binary, bands array<long>"), "signed")
+    signed = spool(rows.mapInArrow(sign, "doc_id long, mark long, n_shingles long, node binary, signature binary, bands array<long>"), "signed")
     nodes = spool(signed.filter("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands")), "nodes")
     # buckets are counted and met by key alone; signatures join only those nodes that share one
     keyed = nodes.select("node", F.explode("bands").alias("group"))
@@ -298,7 +299,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     named = spool(named, "classes")
     first = spool(named.groupBy("class").agg(F.min("doc_id").alias("component_id")), "first")
     labels = spool(named.join(first, "class").select("node", "component_id"), "labels")
-    out = signed.select("doc_id", "node", "n_shingles").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "mark", "node", "n_shingles").join(labels, "node", "left").select(*(["mark"] if mark else []), "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
