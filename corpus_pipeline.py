@@ -3,9 +3,11 @@
 Each function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents; run() writes
 each stage's result to the shared folder and reads it again, so no stage is computed twice and a lost executor costs one stage at
 most. The result holds a row for each packed piece. ORACLE_SQL is None: a trained model, MinHash and packing are no SQL. The tests hold
-each stage's decisions against its operator and substring dedup against brute force; the operators have brute-force tests of their own.
+each stage but packing against a brute-force version, language ID given its model; packing is held against the library's ids.
 
-Nulls: a document with a null text, or one without words, is rejected by language ID. Rows with one doc_id stay or go together.
+Nulls: a document with a null text, or one without words, is rejected by language ID. Near dedup judges rows
+of one doc_id by their own texts; rows with one id and one text are one document, and stay or go together. A row with a null id goes
+if an earlier document has the same shingles; substring dedup leaves it whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id."""
-    copies = minhash_dedup.near_duplicates(docs, minhash_dedup.Rule(shingle=5, of=80)).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies: the one of the smallest id. Rows go by their id and their own text."""
+    judged = minhash_dedup.near_duplicates(docs, minhash_dedup.Rule(shingle=5, of=80), mark=True)
+    copies = judged.filter("NOT kept").select(F.col("doc_id").alias("copy"), F.col("mark").alias("copy_mark")).distinct()
+    gone = F.col("doc_id").eqNullSafe(F.col("copy")) & (F.xxhash64("text") == F.col("copy_mark"))
+    return docs.select(*COLUMNS).join(copies, gone, "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
