@@ -228,3 +228,19 @@ def transitive_support(path: DataFrame, graph: DataFrame) -> DataFrame:
     turns = near.select("path_id", F.col("s0").alias("step"), F.lit(1).alias("c")).union(near.select("path_id", "s1", F.lit(-1))).groupBy("path_id", "step").agg(F.sum("c").alias("c"))
     steps = at.withColumn("dst", F.lead("node").over(w)).join(turns, ["path_id", "step"], "left")
     return steps.withColumn("support", F.sum(F.coalesce("c", F.lit(0))).over(w)).filter("dst IS NOT NULL").select("path_id", "step", F.col("node").alias("src"), "dst", "support")
+
+
+def transitive_filter(edges: DataFrame, graph: DataFrame) -> DataFrame:
+    """Edges (src, dst, d, n, new) of chains without those new ones that no graph edge supports. A step is supported by an edge from
+    before it to beyond it, or by two: one from its first node to beyond it and one from before it to its second node. Edges that lie
+    on a cycle are in no chain and go if they are new."""
+    at = stage(chains(edges).select("start", "step", "node"))
+    on = lambda end, step: at.select("start", F.col("node").alias(end), F.col("step").alias(step))
+    spans = graph.select("src", "dst").distinct().join(on("src", "s0"), "src").join(on("dst", "s1"), ["start", "dst"]).filter("s1 - s0 > 1")
+    event = lambda step, over, out, into: F.struct(F.expr(step).alias("step"), F.lit(over).alias("over"), F.lit(out).alias("out"), F.lit(into).alias("into"))
+    turns = spans.select("start", F.inline(F.array(event("s0", 1, 1, 0), event("s1", -1, 0, 0), event("s1 - 1", 0, 0, 1))))
+    turns = turns.groupBy("start", "step").agg(*(F.sum(c).alias(c) for c in ("over", "out", "into")))
+    steps = at.join(turns, ["start", "step"], "left").na.fill(0, ["over", "out", "into"])
+    steps = steps.withColumn("over", F.sum("over").over(Window.partitionBy("start").orderBy("step")))
+    held = steps.filter("over > out + into OR (out > 0 AND into > 0)").select(F.col("node").alias("src"), F.lit(True).alias("held"))
+    return edges.join(held, "src", "left").filter("NOT new OR held").drop("held")

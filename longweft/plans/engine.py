@@ -1,7 +1,8 @@
-"""The engine's entry points: pair, scaffold, gap_fill, run_rounds, over contigs (contig, seq) and reads (read_id, seq)."""
+"""The engine's entry points: pair, scaffold, gap_fill, each_round, run_rounds, over contigs (contig, seq) and reads (read_id, seq)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +31,7 @@ class Params:
     overlap: bool = True
     merge_gap: int = 0
     conservative: bool = True
+    transitive: bool = False
     soft_mask: bool = False
     stringent: bool = False
     small_k: int = 15
@@ -74,15 +76,23 @@ def pair(contigs: DataFrame, mapped: DataFrame, p: Params) -> DataFrame:
 
 
 def stitched(edges: DataFrame, best: int, p: Params) -> DataFrame:
-    """Layout edges of the best threshold and, unless conservative, those that other thresholds' layouts add to it."""
+    """Layout edges of the best threshold and, unless conservative, those that other thresholds' layouts add to it. With
+    `transitive`, an added edge stays only where the graph, and what the other layouts' paths add to it, spans it."""
     sweep = layout.weight_sweep(edges, p.n, p.max_n)
     chosen = stage(layout.unambiguous(layout.transitive_reduction(sweep, ["w"]), ["w"]))
     mine = chosen.filter(F.col("w") == best).select("src", "dst", "d", "n")
     if p.conservative:
         return mine
-    new = layout.stitch_candidates(mine, chosen.filter(F.col("w") != best).withColumn("file", F.col("w")))
+    others = chosen.filter(F.col("w") != best)
+    new = layout.stitch_candidates(mine, others.withColumn("file", F.col("w")))
     both = mine.withColumn("new", F.lit(False)).union(new.select("src", "dst", "d", "n", F.lit(True)))
-    return layout.linearize(both).drop("new")
+    linear = layout.linearize(both)
+    if p.transitive:
+        laid = layout.one_strand(layout.chains(others, ["w"]), ["w"])
+        paths = stage(laid.select(F.concat_ws(":", "w", "start").alias("path_id"), "step", F.expr("left(node, length(node) - 1)").alias("contig"), F.expr("right(node, 1)").alias("ori")))
+        linear = stage(linear)
+        linear = layout.transitive_filter(linear, edges.select("src", "dst").union(layout.window_edges(paths, mine, edges)))
+    return linear.drop("new")
 
 
 def scaffold(contigs: DataFrame, reads: DataFrame | None, p: Params = Params(), mapped: DataFrame | None = None) -> Result:
@@ -121,20 +131,26 @@ def gap_fill(r: Result, reads: DataFrame, p: Params = Params()) -> tuple[DataFra
     return gapfill.filled(placed, r.contigs, reads, p.soft_mask), gapfill.agp(placed, spans), gapfill.fill_stats(r.paths, gaps, cuts)
 
 
-def run_rounds(contigs: DataFrame, reads: DataFrame, p: Params = Params(), rounds: int = 5, fill_gaps: bool = False) -> DataFrame:
-    """Rounds, each on the sequences of the one before. Reads are mapped once; later rounds lift the mappings over."""
-    mapped, seqs = None, contigs
+def each_round(contigs: DataFrame, reads: DataFrame, p: Params = Params(), rounds: int = 5, fill_gaps: bool = False, mapped: DataFrame | None = None) -> Iterator[tuple[Result, DataFrame, DataFrame]]:
+    """Rounds, each on the sequences (id, seq) of the one before: its result, sequences and AGP. Reads are mapped once, or not at all
+    where mappings are given; later rounds lift the mappings over."""
     for i in range(rounds):
         r = scaffold(contigs, reads, p, mapped)
         seqs, agp = (r.scaffolds.select("id", "seq"), r.agp)
         if fill_gaps:
             seqs, agp, _ = gap_fill(r, reads, p)
         seqs = stage(seqs)
+        yield r, seqs, agp
         if i < rounds - 1:
-            new = seqs.select(F.col("id").alias("contig"), "seq")
-            mapped = stage(liftover.lift_mappings(r.mappings, agp, lengths_of(new), p.k))
-            contigs = new
-    return seqs
+            contigs = seqs.select(F.col("id").alias("contig"), "seq")
+            mapped = stage(liftover.lift_mappings(r.mappings, agp, lengths_of(contigs), p.k))
+
+
+def run_rounds(contigs: DataFrame, reads: DataFrame, p: Params = Params(), rounds: int = 5, fill_gaps: bool = False) -> DataFrame:
+    """The sequences (id, seq) of the last round."""
+    for _, contigs, _ in each_round(contigs, reads, p, rounds, fill_gaps):
+        pass
+    return contigs
 
 
-__all__ = ["Params", "Result", "gap_fill", "map_reads", "pair", "replace", "run_rounds", "scaffold"]
+__all__ = ["Params", "Result", "each_round", "gap_fill", "map_reads", "pair", "replace", "run_rounds", "scaffold"]
