@@ -2,18 +2,18 @@
 
 Vectors are dealt to leaves by k-means. A vector's residual from its leaf's centre is quantised, two dimensions at a time, to four
 bits. For inner products an error along the vector itself costs more than one across it, so codes and codebooks are chosen by a loss
-that weighs the parallel part of the error ETA times: codes by coordinate descent, codebooks by least squares. A query scans the
-codes of the leaves nearest to it by a table of its products with all code words, two codes (one byte) at a time, and the best of
-each block are scored again exactly, in double precision.
+that weighs the parallel part of the error ETA times: codes by coordinate descent, codebooks by least squares. A query scans codes
+by a table of its products with all code words, two codes (one byte) at a time, and the best of each shard are scored again exactly,
+in double precision.
 
 Leaves and codebooks are fitted on a bounded sample (SAMPLE vectors); every vector is indexed. Equal vectors are one item with its
-smallest ids, more than enough for any query. Rows of a leaf are dealt into blocks, and a block's queries stream past it, so
-neither a leaf's rows nor its queries are held as a whole.
+smallest ids, more than enough for any query. Items are dealt by hash into shards of about ROWS, and queries into blocks of about
+QUERIES; a block's queries stream past a shard, so a task holds one shard and never a leaf or all queries. A query is sent once to
+each shard, however many leaves there are, and a shard once to each block. Vectors of floats travel as floats.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import spool
 
 SAMPLE = 20_000
-#: Share of leaves that a query looks into, rows of a block, and the best of a block that are scored exactly.
-PROBED, ROWS, RERANKED = 0.8, 8_192, 60
+#: Items of a shard, queries of a block, and the best of a shard that are scored exactly.
+ROWS, QUERIES, RERANKED = 32_768, 8_192, 200
 SEED = 3
 
 
@@ -103,15 +103,16 @@ def fit(x: np.ndarray, leaves: int, rounds: int = 8) -> Index:
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id and x (doubles) of the rows that take part."""
-    x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
+    """vec_id and x (floats as they are, other numbers as doubles) of the rows that take part."""
+    x = F.col(vec_col) if df.schema[vec_col].dataType.simpleString() == "array<float>" else F.transform(vec_col, lambda v: v.cast("double"))
     ok = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     return df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ok)
 
 
-def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probed: float = PROBED) -> DataFrame:
+def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", reranked: int | None = RERANKED) -> DataFrame:
     """For each row whose id is divisible by `every`, the k other rows of largest inner product found: query_id, rank, vec_id, score.
 
+    The best `reranked` items of each shard, by their codes, are scored exactly; with None all are, and the result is the exact one.
     Rows with a null id, and vectors that are null, empty, zero, or hold null or non-finite components, take no part; nor do vectors
     of another length than most. Ties go to the smaller id. With fewer candidates than k, all are returned; rows with one id are
     candidates of one another only under other ids. An empty table gives no rows.
@@ -119,10 +120,10 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     spark = df.sparkSession
     found = "query_id long, vec_id long, score double"
     rows = usable(df, id_col, vec_col)
-    lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, total = lengths[0]["d"], lengths[0]["n"]
+    dims, queries = lengths[0]["d"], lengths[0]["q"]
     rows = rows.filter(F.size("x") == dims)
     most = k + 1
     few = rows.groupBy("x", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("s")).agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, most).alias("ids"))
@@ -130,18 +131,15 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     items = spool(items.withColumn("h", F.xxhash64("x")), "items")
     n = items.count()
     sample = items.filter(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20))).select("x").limit(2 * SAMPLE).collect()
-    x = np.array([r["x"] for r in sample] or [r["x"] for r in items.select("x").limit(1).collect()])
+    x = np.array([r["x"] for r in sample] or [r["x"] for r in items.select("x").limit(1).collect()], dtype=np.float64)
     pad = dims % 4 and 4 - dims % 4  # to whole bytes
     index = fit(np.pad(x, ((0, 0), (0, pad))), leaves=int(max(1, min(4096, round(n**0.5 / 8), len(x) // 8))))
-    leaves = len(index.centres)
-    looks = max(1, math.ceil(leaves * probed))
     shared = spark.sparkContext.broadcast(index)  # 4096 centres at most
-    blocks = int(max(1, -(-n // (leaves * ROWS)) * 2))
-    kind = "leaf int, block int, side int, id long, x array<double>, codes binary, ids array<long>"
+    shards, blocks = -(-n // ROWS), max(1, -(-queries // QUERIES))
 
-    def column(batch, i):
-        c = batch.column(i)
-        return np.pad(np.asarray(c.flatten()).reshape(len(c), -1), ((0, 0), (0, pad))) if len(c) else np.zeros((0, dims + pad))
+    def vectors(column):
+        """Rows of doubles of whole bytes of codes."""
+        return np.pad(np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1), ((0, 0), (0, pad))) if len(column) else np.zeros((0, dims + pad))
 
     def code(batches):
         import pyarrow as pa
@@ -149,38 +147,30 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
         for b in batches:
             if not b.num_rows:
                 continue
-            v = column(b, 0)
-            leaf = shared.value.leaf(v)
-            h = np.asarray(b.column(2))
-            codes = shared.value.codes(v, leaf)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array((h % blocks).astype(np.int32)), pa.array(np.zeros(len(v), np.int32)), pa.nulls(len(v), pa.int64()), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], names=["leaf", "block", "side", "id", "x", "codes", "ids"])
-
-    def ask(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q, i = column(b, 1), np.asarray(b.column(0))
-            order = np.argsort(-(q @ shared.value.centres.T), axis=1, kind="stable")[:, :looks]
-            leaf = np.repeat(order.ravel(), blocks).astype(np.int32)
-            row = np.repeat(np.arange(len(q)), looks * blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.tile(np.arange(blocks), len(q) * looks).astype(np.int32)), pa.array(np.ones(len(row), np.int32)), pa.array(i[row]), b.column(1).take(pa.array(row)), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.list_(pa.int64()))], names=["leaf", "block", "side", "id", "x", "codes", "ids"])
+            v, leaf, codes = vectors(b.column(0)), [], []
+            for at in range(0, len(v), 4096):
+                leaf.append(shared.value.leaf(v[at : at + 4096]))
+                codes += [c.tobytes() for c in shared.value.codes(v[at : at + 4096], leaf[-1])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(leaf).astype(np.int32)), pa.array(codes, pa.binary())], names=["x", "ids", "h", "leaf", "codes"])
 
     def scan(batches):
         import pyarrow as pa
 
-        index, key, held, ready = shared.value, None, [], None
+        index, cell, held, shard = shared.value, None, [], None
 
         def search(q, ids):
-            codes, v, owners, leaf = ready
+            leaf, codes, v, owners = shard
             out = ([], [], [])
-            for i, table, one in zip(ids.tolist(), index.tables(q), q):
-                approx = table[0][codes[0]]
-                for s in range(1, len(codes)):
-                    approx = approx + table[s][codes[s]]
-                best = np.argpartition(-approx, RERANKED)[:RERANKED] if len(approx) > RERANKED else np.arange(len(approx))
-                score = (v[best] * one).sum(axis=1)
+            centre = (q @ index.centres.T).astype(np.float32)
+            tables = index.tables(q).astype(np.float32)
+            for i, one, near, table in zip(ids.tolist(), q, centre, tables):
+                best = np.arange(len(leaf))
+                if reranked is not None and len(leaf) > reranked:
+                    approx = near[leaf]
+                    for words, mine in zip(table, codes):
+                        approx += words[mine]
+                    best = np.argpartition(-approx, reranked)[:reranked]
+                score = (np.pad(v[best].astype(np.float64), ((0, 0), (0, pad))) * one).sum(axis=1)
                 pairs = sorted((-s, o) for s, b in zip(score.tolist(), best.tolist()) for o in owners[b] if o != i)[:k]
                 out[0].extend([i] * len(pairs))
                 out[1].extend(o for _, o in pairs)
@@ -188,25 +178,33 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
         for b in batches:
-            leaf, block, side = (np.asarray(b.column(i)) for i in range(3))
-            cut = np.flatnonzero(np.append(True, (np.diff(leaf) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0))) if len(leaf) else []
-            for start, stop in zip(cut, [*cut[1:], len(leaf)]):
-                part, now = b.slice(start, stop - start), (int(leaf[start]), int(block[start]))
-                if now != key:
-                    key, held, ready = now, [], None
+            cells, side = np.asarray(b.column(0)), np.asarray(b.column(1))
+            cut = np.flatnonzero(np.append(True, (np.diff(cells) != 0) | (np.diff(side) != 0))) if len(cells) else []
+            for start, stop in zip(cut, [*cut[1:], len(cells)]):
+                part = b.slice(start, stop - start)
+                if cells[start] != cell:
+                    cell, held, shard = cells[start], [], None
                 if side[start] == 0:
-                    held.append((column(part, 4), np.frombuffer(b"".join(part.column(5).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1), part.column(6).to_pylist()))
-                elif held:
-                    if ready is None:
-                        ready = np.ascontiguousarray(np.concatenate([h[1] for h in held]).T), np.concatenate([h[0] for h in held]), [o for h in held for o in h[2]], key[0]
+                    x = part.column(3)
+                    held.append((np.array(part.column(4)), np.frombuffer(b"".join(part.column(5).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1), np.array(x.flatten()).reshape(len(x), -1), part.column(6).to_pylist()))
+                elif held or shard is not None:
+                    if shard is None:
+                        leaf, codes, v, owners = zip(*held)
+                        shard, held = (np.concatenate(leaf), np.ascontiguousarray(np.concatenate(codes).T), np.concatenate(v), [o for each in owners for o in each]), []
                     for at in range(0, part.num_rows, 256):
                         piece = part.slice(at, 256)
-                        yield search(column(piece, 4), np.asarray(piece.column(3)))
-
-    indexed = items.select("x", "ids", "h").mapInArrow(code, kind)
-    asked = rows.filter(F.col("vec_id") % every == 0).distinct().select("vec_id", "x").mapInArrow(ask, kind)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = indexed.unionByName(asked).repartition(parts, "leaf", "block").sortWithinPartitions("leaf", "block", "side")
+                        yield search(vectors(piece.column(3)), np.asarray(piece.column(2)))
+
+    numbers = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
+    cell = (F.col("shard") * blocks + F.col("block")).alias("cell")
+    lacks = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    indexed = items.select("x", "ids", "h").mapInArrow(code, f"x {items.schema['x'].dataType.simpleString()}, ids array<long>, h long, leaf int, codes binary")
+    indexed = indexed.withColumn("shard", F.pmod("h", F.lit(shards))).withColumn("block", numbers(blocks))
+    indexed = indexed.select(cell, F.lit(0).alias("side"), *lacks(id="long"), "x", "leaf", "codes", "ids")
+    asked = rows.filter(F.col("vec_id") % every == 0).distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", numbers(shards))
+    asked = asked.select(cell, F.lit(1).alias("side"), F.col("vec_id").alias("id"), "x", *lacks(leaf="int", codes="binary", ids="array<long>"))
+    parts = min(shards * blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * blocks // 16))
+    dealt = indexed.unionByName(asked).repartition(parts, "cell").sortWithinPartitions("cell", "side")
     best = dealt.mapInArrow(scan, found)
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -157,3 +157,40 @@ def test_ann_recall_and_edge_cases(spark):
     assert got[got.query_id == 120].vec_id.tolist()[:3] == [100, 101, 102]
     few = ann.nearest(df.filter("vec_id < 3")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2] and ann.nearest(df.limit(0)).count() == 0
+
+
+def brute_force(x, ids, every=20, k=20):
+    out = {}
+    for i in ids[ids % every == 0].tolist():
+        score = x @ x[np.flatnonzero(ids == i)[0]]
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+        out[i] = ids[order].tolist()
+    return out
+
+
+def found_by(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    return out
+
+
+def test_ann_over_many_shards_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, ids = rng.normal(size=(3000, 10)), np.arange(3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids.tolist(), x)], "vec_id long, embedding array<double>")
+    want = brute_force(x, ids)
+    monkeypatch.setattr(ann, "ROWS", 400)
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    assert found_by(ann.nearest(df, reranked=None)) == want
+    got = found_by(ann.nearest(df, reranked=60))
+    assert set(got) == set(want) and np.mean([len({*got[i]} & {*want[i]}) / 20 for i in want]) >= 0.9
+
+
+def test_ann_recall_on_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    t = df.select("vec_id", "embedding").toPandas()
+    want = brute_force(np.array(t["embedding"].tolist(), dtype=np.float64), t["vec_id"].to_numpy())
+    assert found_by(ann.nearest(df, reranked=None)) == want
+    got = found_by(ann.nearest(df))
+    assert np.mean([len({*got[i]} & {*want[i]}) / 20 for i in want]) >= 0.9
