@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash_dedup, quality_rules, substring_dedup
+from . import fingerprints, minhash_dedup, quality_rules, substring_dedup
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -76,5 +76,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.withColumn("held_out", held_out), model, ("doc_id", "held_out"))
 
 
-QUERIES = {"op7_html_text": op7_html_text, "op9_ann": op9_ann, "op2_minhash_dedup": op2_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
-ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": minhash_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op13_fingerprints": op13_fingerprints, "op7_html_text": op7_html_text, "op9_ann": op9_ann, "op2_minhash_dedup": op2_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
+ORACLE_SQL: dict[str, str] = {"op13_fingerprints": fingerprints.SQL, "op2_minhash_dedup": minhash_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
