@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, minhash_dedup, quality_rules, spelling, substring_dedup
+from . import conversations, fingerprints, minhash_dedup, quality_rules, spelling, substring_dedup
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -84,5 +84,9 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op11_spelling": op11_spelling, "op13_fingerprints": op13_fingerprints, "op7_html_text": op7_html_text, "op9_ann": op9_ann, "op2_minhash_dedup": op2_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
-ORACLE_SQL: dict[str, str] = {"op11_spelling": spelling.SQL, "op13_fingerprints": fingerprints.SQL, "op2_minhash_dedup": minhash_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summaries(conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {"op12_conversations": op12_conversations, "op11_spelling": op11_spelling, "op13_fingerprints": op13_fingerprints, "op7_html_text": op7_html_text, "op9_ann": op9_ann, "op2_minhash_dedup": op2_minhash_dedup, "op5_substring_dedup": op5_substring_dedup, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op10_langid": op10_langid, "op1_bpe": op1_bpe, "op6_token_files": op6_token_files, "op8_quality_rules": op8_quality_rules}
+ORACLE_SQL: dict[str, str] = {"op12_conversations": conversations.SQL, "op11_spelling": spelling.SQL, "op13_fingerprints": fingerprints.SQL, "op2_minhash_dedup": minhash_dedup.SQL, "op5_substring_dedup": substring_dedup.SQL, "op8_quality_rules": quality_rules.SQL}
