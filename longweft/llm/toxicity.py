@@ -6,7 +6,8 @@ below 0, which no true risk is; so where it falls below 0, a step is taken that
 p R_p(+) + R_u(-) - p R_p(-).
 
 All that reaches the driver is bounded by parameters: POSITIVES and UNLABELLED texts of a sample, CANDIDATES features counted
-over them, FEATURES kept. Every text is scored whole.
+over them, FEATURES kept. The sample is sorted by content and FITS models, each with its own order of batches, are averaged, so the
+model is a function of the tables' rows alone and not of their layout or of the number of cores. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CANDIDATES, FEATURES = 20_000, 2_048
 #: Least estimated share of toxic texts among those with a feature, and least z value of its log ratio, to be kept.
 PRECISION, SIGNIFICANT = 0.3, 2.0
 SEED = 11
+#: Models whose weights are averaged.
+FITS = 5
 
 
 def features(chunk: str) -> set[int]:
@@ -74,7 +77,7 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def _ids(df: DataFrame, known: np.ndarray) -> list[np.ndarray]:
-    """The known features of each text of a bounded sample."""
+    """The known features of each text of a bounded sample, in an order that no partitioning changes."""
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
@@ -84,7 +87,7 @@ def _ids(df: DataFrame, known: np.ndarray) -> list[np.ndarray]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([present(v.as_py()).tobytes() for v in batch.column(0)], type=pa.binary())], names=["ids"])
 
-    return [np.frombuffer(r["ids"], dtype=np.int32) for r in _spread(df).mapInArrow(run, "ids binary").collect()]
+    return [np.frombuffer(ids, dtype=np.int32) for ids in sorted(bytes(r["ids"]) for r in _spread(df).mapInArrow(run, "ids binary").collect())]
 
 
 def _counts(df: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
@@ -157,37 +160,49 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(hashes[kept], weights, bias, prior)
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], n: int, prior: float, epochs: int = 60, rate: float = 0.05, batches: int = 8, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk, by Adam over mini-batches. pos, unl: the feature numbers of each text."""
-    rng = np.random.default_rng(SEED)
-    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
-    w[n] = np.log(prior / (1 - prior))
-    t = 0
+def _flat(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Feature numbers of all texts, the text of each, and the number of texts."""
+    size = np.array([len(d) for d in docs])
+    return np.concatenate(docs) if size.sum() else np.zeros(0, np.int64), np.repeat(np.arange(len(docs)), size), len(docs)
 
-    def logits(docs):
-        size = np.array([len(d) for d in docs])
-        flat = np.concatenate(docs) if size.sum() else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(docs)), size)
-        return np.bincount(row, weights=w[flat], minlength=len(docs)) + w[n], flat, row
-
-    def grad(flat, row, g):
-        out = np.append(np.bincount(flat, weights=g[row], minlength=n), g.sum())
-        return out / len(g)
 
+def step(w: np.ndarray, pos: tuple, unl: tuple, prior: float) -> np.ndarray:
+    """The direction to descend along: the gradient of prior R_p(+) + (R_u(-) - prior R_p(-)) while what is in brackets is 0 or more,
+    else the gradient of its negative. w: weights and, last, the bias; pos, unl: batches as _flat() gives them."""
+    n = len(w) - 1
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    for _ in range(epochs):
-        for a, b in zip(np.array_split(rng.permutation(len(pos)), batches), np.array_split(rng.permutation(len(unl)), batches)):
-            if not len(a) or not len(b):
-                continue
-            (xp, fp, rp), (xu, fu, ru) = logits([pos[i] for i in a]), logits([unl[i] for i in b])
-            negative = np.logaddexp(0, xu).mean() - prior * np.logaddexp(0, xp).mean()
-            back = grad(fu, ru, sigmoid(xu)) - prior * grad(fp, rp, sigmoid(xp))
-            g = prior * grad(fp, rp, -sigmoid(-xp)) + back if negative >= 0 else -back
-            g[:n] += decay * w[:n]
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:n], float(w[n])
+    logits = lambda flat, row, size: np.bincount(row, weights=w[flat], minlength=size) + w[n]
+
+    def grad(batch, g):
+        flat, row, size = batch
+        return np.append(np.bincount(flat, weights=g[row], minlength=n), g.sum()) / size
+
+    xp, xu = logits(*pos), logits(*unl)
+    negative = np.logaddexp(0, xu).mean() - prior * np.logaddexp(0, xp).mean()
+    back = grad(unl, sigmoid(xu)) - prior * grad(pos, sigmoid(xp))
+    return prior * grad(pos, -sigmoid(-xp)) + back if negative >= 0 else -back
+
+
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], n: int, prior: float, epochs: int = 60, rate: float = 0.05, batches: int = 8, decay: float = 1e-4, fits: int = FITS) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative risk, by Adam over mini-batches, the mean of so many fits. pos, unl: the feature numbers
+    of each text."""
+    found = np.zeros(n + 1)
+    for number in range(fits):
+        rng = np.random.default_rng((SEED, number))
+        w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+        w[n] = np.log(prior / (1 - prior))
+        t = 0
+        for _ in range(epochs):
+            for a, b in zip(np.array_split(rng.permutation(len(pos)), batches), np.array_split(rng.permutation(len(unl)), batches)):
+                if not len(a) or not len(b):
+                    continue
+                g = step(w, _flat([pos[i] for i in a]), _flat([unl[i] for i in b]), prior)
+                g[:n] += decay * w[:n]
+                t += 1
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        found += w / fits
+    return found[:n], float(found[n])
 
 
 def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

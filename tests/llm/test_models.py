@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from longweft.llm import ann, html_text, langid, quality_rules, toxicity
 from longweft.llm.common import fold
@@ -47,6 +49,49 @@ def test_non_negative_risk_learns_from_unlabelled():
     assert w[0] + b > 0 > w[1] + b
 
 
+def test_toxicity_does_not_depend_on_the_layout(spark):
+    docs, labels = spark.read.parquet(f"{SF.replace('0.1', '0.01')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.1', '0.01')}/labels.parquet")
+    found = []
+    for parts in (1, 4, 13):
+        dealt = docs.repartition(parts, F.rand(parts))
+        scored = toxicity.score(docs, toxicity.train(dealt, labels.repartition(parts)))
+        found.append(sorted(map(tuple, scored.collect())))
+    assert found[0] == found[1] == found[2] and len({s for _, s in found[0]}) > 100
+
+
+def brute_risk(w, pos, unl, prior):
+    """The two terms of the risk, text by text: prior R_p(+), and R_u(-) - prior R_p(-)."""
+    logit = lambda d: sum(w[i] for i in d) + w[-1]
+    lost = lambda x: math.log1p(math.exp(x))
+    mean = lambda values: sum(values) / len(values)
+    return prior * mean([lost(-logit(d)) for d in pos]), mean([lost(logit(d)) for d in unl]) - prior * mean([lost(logit(d)) for d in pos])
+
+
+def test_each_step_descends_the_non_negative_risk():
+    rng, seen = np.random.default_rng(3), set()
+    for prior in (0.1, 0.9):
+        pos, unl = ([np.unique(rng.integers(0, 6, 3)) for _ in range(n)] for n in (7, 11))
+        unl[0] = np.zeros(0, np.int64)
+        for _ in range(6):
+            w = rng.normal(0, 2, 7)
+            a, b = brute_risk(w, pos, unl, prior)
+            seen.add(b >= 0)
+            risk = (lambda v: sum(brute_risk(v, pos, unl, prior))) if b >= 0 else (lambda v: -brute_risk(v, pos, unl, prior)[1])
+            slope = [(risk(w + e) - risk(w - e)) / 2e-6 for e in np.eye(7) * 1e-6]
+            assert np.allclose(slope, toxicity.step(w, toxicity._flat(pos), toxicity._flat(unl), prior), atol=1e-5)
+    assert seen == {True, False}
+
+
+def test_toxicity_scores_are_the_model_text_by_text(spark):
+    known = sorted({h for w in ("idiot", "réeuxment") for h in toxicity.features(w)})
+    model = toxicity.Model(np.array(known, dtype=np.int64), np.linspace(-1, 1, len(known)), -0.5, 0.1)
+    rows = [(1, "an Idiot, idiotic!"), (2, "réeuxment " * 200_000), (3, ""), (4, None), (5, "IDIOT\nidiot")]
+    for doc_id, got in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        has = {h for w in (dict(rows)[doc_id] or "").split() for h in toxicity.features(w)}
+        want = 1 / (1 + math.exp(-(model.bias + sum(w for h, w in zip(known, model.weights) if h in has))))
+        assert math.isclose(got, want, abs_tol=1e-12)
+
+
 def test_fold_is_the_crc_of_the_id_as_text(spark):
     import zlib
 
