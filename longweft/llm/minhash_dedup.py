@@ -259,7 +259,7 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     buckets = spool(keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
     shared = keyed.join(buckets, "group").withColumn("block", dealt_into(F.col("blocks")))
     candidates = spool(shared.join(nodes.select("node", F.col("signature").alias("payload")), "node").select("group", "block", "blocks", "node", "payload"), "candidates")
-    least = 0.01 * rule.of - MARGIN
+    least = rule.of / rule.over - MARGIN
 
     def alike(left, right):
         x, y = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), -1) for v in (left, right))
@@ -268,10 +268,13 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     families = spool(link_groups(candidates, alike, "bands"), "families")
     for done in (nodes, buckets, candidates):
         unspool(done)
-    members = signed.select("doc_id", "node").filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # a node is compared by one row: of its least id, and of the least hash of a text where that id has several
+    each = signed.filter("node IS NOT NULL").groupBy("node", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    members = spool(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("mark", "n"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("of")), "members")
     large = spool(families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "large")
     placed = families.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", dealt_into(F.col("blocks")))
-    wanted = placed.join(members, "node").select("node", F.col("root").alias("group"), "block", "blocks", "doc_id")
+    wanted = placed.join(members.filter("doc_id IS NOT NULL"), "node").select("node", F.col("root").alias("group"), "block", "blocks", "doc_id", "of.mark", (F.col("of.n") > 1).alias("repeated"))
+    wanted = spool(wanted, "wanted")
     schema = "node binary, group binary, block int, blocks int, payload binary"
 
     def sets(batches):
@@ -286,8 +289,14 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
         shingles = None
         give_back()
 
-    with_id = rows.filter("doc_id IS NOT NULL").join(wanted.filter("doc_id IS NOT NULL"), "doc_id").select("node", "group", "block", "blocks", "text")
-    full = spool(with_id.mapInArrow(sets, schema), "full")  # read twice where there are large families
+    def with_text(nodes):
+        return rows.filter("doc_id IS NOT NULL").join(nodes, ["doc_id", "mark"]).select("node", "group", "block", "blocks", "text")
+
+    texts, repeated = with_text(wanted.filter("NOT repeated")), wanted.filter("repeated")
+    if not repeated.isEmpty():  # equal rows come down to one, in each task first
+        one = with_text(repeated).groupBy("node").agg(*(F.first(c).alias(c) for c in ("group", "block", "blocks", "text")))
+        texts = texts.unionByName(one)
+    full = spool(texts.mapInArrow(sets, schema), "full")  # read twice where there are large families
 
     def linked(left, right):
         x, y = ([np.frombuffer(h, dtype=np.uint64) for h in v] for v in (left, right))

@@ -138,3 +138,24 @@ def test_bands_and_estimate_together_miss_few_pairs():
         low = [c for c in range(m.HASHES + 1) if (c / m.HASHES - chance) / (1 - chance) < similarity - m.MARGIN]
         estimate = sum(math.comb(m.HASHES, c) * p**c * (1 - p) ** (m.HASHES - c) for c in low)
         assert estimate + (1 - similarity**m.ROWS) ** m.BANDS < most
+
+
+def test_equal_rows_of_one_id_are_compared_once(spark, monkeypatch):
+    """100,000 equal rows beside a near copy: what reaches the comparison of sets is two rows, and the classes are right."""
+    seen = []
+    whole = minhash_dedup.link_groups
+    monkeypatch.setattr(minhash_dedup, "link_groups", lambda items, links, name: (seen.append((name, items.count())), whole(items, links, name))[1])
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:-1], "other"]
+    copies = spark.range(100_000).selectExpr("5L AS doc_id", f"'{' '.join(words)}' AS text")
+    rest = spark.createDataFrame([(9, " ".join(near)), (5, " ".join(near)), (5, "quite another text of one id"), (7, "alone here")], "doc_id long, text string")
+    got = near_duplicates(copies.union(rest), Rule(3, 85)).groupBy("doc_id", "n_shingles", "component_id", "kept").count().collect()
+    assert dict(seen)["families"] == 2
+    assert {tuple(r) for r in got} == {(5, 58, 5, True, 100_001), (9, 58, 5, False, 1), (5, 4, 5, True, 1), (7, 1, 7, True, 1)}
+
+
+def test_rules_over_another_base_than_a_hundred(spark):
+    rows = [(1, "a b c d e f g h i j k l m n o p"), (2, "a b c d e f g h i j k l m n o q"), (3, "z y x w v u t s r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda rule: {r.doc_id: r.component_id for r in near_duplicates(df, rule).collect()}
+    assert of(Rule(3, 4, 5)) == of(Rule(3, 80, 100)) == {1: 1, 2: 1, 3: 3}
