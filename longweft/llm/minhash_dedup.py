@@ -274,7 +274,6 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     large = spool(families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "large")
     placed = families.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", dealt_into(F.col("blocks")))
     wanted = placed.join(members.filter("doc_id IS NOT NULL"), "node").select("node", F.col("root").alias("group"), "block", "blocks", "doc_id", "of.mark", (F.col("of.n") > 1).alias("repeated"))
-    wanted = spool(wanted, "wanted")
     schema = "node binary, group binary, block int, blocks int, payload binary"
 
     def sets(batches):
@@ -292,9 +291,9 @@ def near_duplicates(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     def with_text(nodes):
         return rows.filter("doc_id IS NOT NULL").join(nodes, ["doc_id", "mark"]).select("node", "group", "block", "blocks", "text")
 
-    texts, repeated = with_text(wanted.filter("NOT repeated")), wanted.filter("repeated")
-    if not repeated.isEmpty():  # equal rows come down to one, in each task first
-        one = with_text(repeated).groupBy("node").agg(*(F.first(c).alias(c) for c in ("group", "block", "blocks", "text")))
+    texts = with_text(wanted.filter("NOT repeated"))
+    if not members.filter("of.n > 1").isEmpty():  # equal rows come down to one, in each task first
+        one = with_text(wanted.filter("repeated")).groupBy("node").agg(*(F.first(c).alias(c) for c in ("group", "block", "blocks", "text")))
         texts = texts.unionByName(one)
     full = spool(texts.mapInArrow(sets, schema), "full")  # read twice where there are large families
 
