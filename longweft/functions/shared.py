@@ -25,4 +25,14 @@ def stage(df: DataFrame) -> DataFrame:
     to the optimizer, and losing an executor costs nothing that was finished."""
     path = f"{shared_folder(df.sparkSession)}/longweft/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes tables of stage() that no later plan reads."""
+    for df in tables:
+        session = df.sparkSession
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -87,13 +87,13 @@ def masked(cuts: DataFrame, contigs: DataFrame, reads: DataFrame) -> DataFrame:
     return src.union(tgt).union(read)
 
 
-def remapped(cuts: DataFrame, contigs: DataFrame, reads: DataFrame, k: int = 20, w: int = 10, stringent: bool = False) -> DataFrame:
+def remapped(cuts: DataFrame, contigs: DataFrame, reads: DataFrame, k: int = 20, w: int = 10, stringent: bool = False, scheme: str = "modular") -> DataFrame:
     """Cut points again, from a finer sketch of the masked sequences: hashes that both contigs of a gap have once in all, runs and
     subsumption as in mapping, exactly both contigs left, each consistent and in the orientation expected. Gaps where that fails keep
     the coarse cuts (old_anchor_used), or none if stringent."""
     gap = F.concat_ws("|", "path_id", F.col("step").cast("string"))
     m = masked(cuts, contigs, reads).withColumn("gap", gap)
-    sk = sketch.sketch(m.withColumn("key", F.concat_ws("|", "gap", "role")), k, w, "key")
+    sk = sketch.sketch(m.withColumn("key", F.concat_ws("|", "gap", "role")), k, w, "key", scheme=scheme)
     sk = sk.withColumn("gap", F.regexp_extract("id", r"^(.*)\|[a-z]+$", 1)).withColumn("role", F.regexp_extract("id", r"\|([a-z]+)$", 1))
     ctg = sk.filter("role <> 'read'").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gap", "hash"))).filter("n = 1")
     hits = sk.filter("role = 'read'").select("gap", "hash", F.col("pos").alias("rpos"), F.col("strand").alias("rstrand")).join(ctg.select("gap", "hash", F.col("role").alias("contig"), F.col("pos").alias("cpos"), F.col("strand").alias("cstrand")), ["gap", "hash"])

@@ -2,20 +2,16 @@
 
 Graphs here are sets of edges (src, dst, d, n) between oriented contigs, both strands stored. Every step works on all components, and
 on all thresholds of a sweep (`by` columns), at once. Chains take a number of rounds that grows with the logarithm of the longest; the
-transitive reduction takes one for each edge of the longest walk from a fork. Their state is written to the shared folder, so lineage
+transitive reduction contracts chains first and takes a number that grows with the depth of forks. Their state is written to the shared folder, so lineage
 stays short and lost executors cost little.
 """
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dna import flip
-from ..functions.shared import stage
-
-MOST_DOUBLINGS = 40
+from ..functions.shared import stage, unstage
 
 
 def weight_sweep(edges: DataFrame, least: int = 1, most: int = 10) -> DataFrame:
@@ -24,25 +20,178 @@ def weight_sweep(edges: DataFrame, least: int = 1, most: int = 10) -> DataFrame:
 
 
 def transitive_reduction(edges: DataFrame, by: list[str] = []) -> DataFrame:
-    """Drops each edge whose target can be reached from its source without it, by a route of any length.
-
-    Only edges whose source has another way out and whose target has another way in can be such. From the other ways out of each, all
-    nodes are walked, one edge a round, each node once, until the target is met or no new node is."""
-    one = stage(edges.select(*by, "src", "dst").distinct())
-    edge = [*by, "src", "dst"]
-    for end in ("src", "dst"):
-        many = one.groupBy(*by, end).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-        unsettled = (one if end == "src" else unsettled).join(many, [*by, end], "left_semi")
-    out = one.withColumnRenamed("dst", "at")
-    state = stage(unsettled.join(out, [*by, "src"]).filter("src <> dst AND at <> dst AND at <> src").select(*edge, "at", F.lit(0).alias("round")))
-    step = one.select(*by, F.col("src").alias("at"), F.col("dst").alias("to"))
-    for i in itertools.count():
-        met = state.filter("at = dst").select(*edge)
-        onward = state.filter(F.col("round") == i).join(met, edge, "left_anti").join(step, [*by, "at"]).filter("to <> src")
-        new = onward.select(*edge, F.col("to").alias("at")).distinct().join(state.select(*edge, "at"), [*edge, "at"], "left_anti")
-        state = stage(state.union(new.select(*edge, "at", F.lit(i + 1).alias("round"))))
-        if state.filter(F.col("round") == i + 1).isEmpty():
-            return edges.join(state.filter("at = dst").select(*edge), edge, "left_anti")
+    """Drops each edge whose target can be reached from its source without it, by a route of any length that doesn't come back to the
+    source.
+
+    Only edges whose source has another way out and whose target has another way in are open. In each round edges with a way round over
+    one node are dropped, and so are those that lead no further than paths through the graph do, alone or over one other edge between
+    them; what is left without forks is contracted, a whole chain to one node; and ends that no open edge touches go. The graph so
+    loses nothing of what can be reached, and rounds grow with the depth of its forks, not with the length of chains.
+    Where a round changes nothing, the open edges left are walked on the contracted graph. What then remains lies on cycles: there, a
+    way round may have been taken out together with the edge that it leads round, so open edges at such nodes are walked on the
+    whole graph."""
+    one = stage(edges.select(*by, "src", "dst").filter("src <> dst").distinct())
+    key = [*by, "src", "dst"]
+    graph, dropped, maps, before = one.select(*by, F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", F.lit(True).alias("open")), [], [], None
+    while True:
+        ends = _with_degrees(graph, by)
+        useless = ((F.col("into_a") == 0) & ~F.col("open_a")) | ((F.col("out_b") == 0) & ~F.col("open_b"))
+        left = stage(ends.filter(~useless).withColumn("open", F.col("open") & (F.col("out_a") > 1) & (F.col("into_b") > 1)))
+        ways = stage(_over_one_node(left, by))
+        judged, path, places = _along_paths(left, ways, by)
+        dropped.append(stage(judged.filter("open AND (short OR over)").select(*key)))
+        graph, places = _contracted(judged.filter("NOT over").select(*by, "a", "b", "src", "dst", (F.col("open") & ~F.col("short")).alias("open")), path, places, by)
+        maps += places
+        now = graph.agg(F.count(F.lit(1)), F.count_if("open")).first()
+        if not now[0]:
+            break
+        if before and now[0] > before[0] / 2:  # little was contracted
+            merged = _without_twins(graph, by)
+            if merged is not None:
+                graph = merged
+            elif before != now:
+                pass
+            elif now[1]:
+                found = _walked(graph, graph.filter("open"), by)
+                dropped.append(stage(graph.join(found, [*by, "a", "b"], "left_semi").select(*key)))
+                graph = stage(graph.withColumn("open", F.lit(False)))
+            else:
+                break
+        before = now
+    if now[0]:
+        core = stage(graph.select(*by, F.col("a").alias("node")).union(graph.select(*by, F.col("b").alias("node"))).distinct())
+        for places in reversed(maps):
+            inner = places.join(core.withColumnRenamed("node", "head"), [*by, "head"], "left_semi").select(*by, "node")
+            core = stage(core.union(inner).distinct())
+        plain = one.select(*by, F.col("src").alias("a"), F.col("dst").alias("b"))
+        touched = [plain.join(core.withColumnRenamed("node", end), [*by, end], "left_semi") for end in ("a", "b")]
+        many = _with_degrees(touched[0].unionByName(touched[1]).distinct().withColumn("open", F.lit(True)), by, plain).filter("out_a > 1 AND into_b > 1")
+        dropped.append(stage(_walked(plain, many.select(*by, "a", "b"), by).toDF(*key)))
+    gone = dropped[0]
+    for more in dropped[1:]:
+        gone = gone.union(more)
+    return edges.join(gone, key, "left_anti")
+
+
+def _with_degrees(graph: DataFrame, by: list[str], of: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b, open) with the number of ways out of a and of b and into them, in the graph itself or in `of`, and whether an open
+    edge leaves a, or comes to b."""
+    of = graph if of is None else of.withColumn("open", F.lit(True))
+    one = lambda end, n, is_open: of.groupBy(*by, end).agg(F.count(F.lit(1)).alias(n), F.max("open").alias(is_open))
+    outs, into = one("a", "out_a", "open_a"), one("b", "into_b", "open_b")
+    out = graph.join(outs, [*by, "a"]).join(into, [*by, "b"])
+    out = out.join(outs.select(*by, F.col("a").alias("b"), F.col("out_a").alias("out_b")), [*by, "b"], "left")
+    out = out.join(into.select(*by, F.col("b").alias("a"), F.col("into_b").alias("into_a")), [*by, "a"], "left")
+    return out.na.fill(0, ["out_b", "into_a"])
+
+
+def _over_one_node(graph: DataFrame, by: list[str]) -> DataFrame:
+    """Edges (a, b) for which there are edges (a, m) and (m, b). Of a's ways out and b's ways in the fewer are tried."""
+    forks = graph.filter("out_a > 1 AND into_b > 1").select(*by, "a", "b", "out_a", "into_b")
+    plain = graph.select(*by, "a", "b")
+    out = forks.filter("out_a <= into_b").select(*by, "a", "b").join(plain.withColumnRenamed("b", "m"), [*by, "a"]).filter("m <> a AND m <> b")
+    found = out.join(plain.withColumnRenamed("a", "m"), [*by, "m", "b"], "left_semi").select(*by, "a", "b")
+    into = forks.filter("out_a > into_b").select(*by, "a", "b").join(plain.withColumnRenamed("a", "m"), [*by, "b"]).filter("m <> a AND m <> b")
+    return found.union(into.join(plain.withColumnRenamed("b", "m"), [*by, "a", "m"], "left_semi").select(*by, "a", "b")).distinct()
+
+
+def _links(graph: DataFrame, by: list[str]) -> DataFrame:
+    """Edges (a, b) that are the only way out of a and the only way into b."""
+    outs = graph.groupBy(*by, "a").agg(F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c")
+    into = graph.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("c")).filter("c = 1").drop("c")
+    return graph.join(outs, [*by, "a"], "left_semi").join(into, [*by, "b"], "left_semi").select(*by, "a", "b")
+
+
+def _along_paths(graph: DataFrame, ways: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with two marks: short (one of `ways`), and over: it goes ahead on a path without being a step of it, or from one path to
+    another, where another edge leaves the first no earlier and comes to the second no later. And the paths' steps and places.
+
+    Steps are edges, none of `ways`, that are the only one out of a or into b, one at most out of and into each node. Of the edges
+    that are over, each leads no further than one that is not, so they can all be left out at once."""
+    rest = graph.select(*by, "a", "b").join(ways, [*by, "a", "b"], "left_anti")
+    outs, into = (rest.groupBy(*by, end).agg(F.count(F.lit(1)).alias(f"n_{end}")) for end in ("a", "b"))
+    forced = rest.join(outs, [*by, "a"]).join(into, [*by, "b"]).filter("n_a = 1 OR n_b = 1").select(*by, "a", "b")
+    one_out = forced.groupBy(*by, "a").agg(F.min("b").alias("b"))
+    path = stage(one_out.groupBy(*by, "b").agg(F.min("a").alias("a")).select(*by, "a", "b"))
+    places = _places(path, by)
+    placed = _at(_at(graph, places, by, "a"), places, by, "b").join(path.withColumn("is_step", F.lit(True)), [*by, "a", "b"], "left").join(ways.withColumn("short", F.lit(True)), [*by, "a", "b"], "left")
+    ahead = (F.col("a_head") == F.col("b_head")) & (F.col("a_step") < F.col("b_step"))
+    w = Window.partitionBy(*by, "a_head", "b_head").orderBy(F.desc("a_step"), "b_step").rowsBetween(Window.unboundedPreceding, -1)
+    nearer = (F.col("a_head") != F.col("b_head")) & (F.coalesce(F.min("b_step").over(w), F.col("b_step") + 1) <= F.col("b_step"))
+    over = F.col("is_step").isNull() & (ahead | nearer)
+    return stage(placed.select(*by, "a", "b", "src", "dst", "open", F.coalesce("short", F.lit(False)).alias("short"), over.alias("over"))), path, places
+
+
+def _at(df: DataFrame, places: DataFrame, by: list[str], end: str) -> DataFrame:
+    """df with <end>_head and <end>_step, the chain and the place of the node in column `end`; a node in no chain is one of its own."""
+    of = places.select(*by, F.col("node").alias(end), F.col("head").alias(f"{end}_head"), F.col("step").alias(f"{end}_step"))
+    return df.join(of, [*by, end], "left").withColumn(f"{end}_head", F.coalesce(f"{end}_head", end)).na.fill(0, [f"{end}_step"])
+
+
+def _contracted(graph: DataFrame, path: DataFrame, places: DataFrame, by: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """The graph with each chain without forks as one node, named by its first, and tables (node, head) of what went into which. The
+    places on paths serve again where the chains are the paths."""
+    links = stage(_links(graph, by))
+    n = links.count()
+    if not n:
+        return stage(graph), []
+    if n != path.count() or not links.join(path, [*by, "a", "b"], "left_anti").isEmpty():
+        places = _places(links, by)
+    inner = links.join(places.filter("NOT closed").select(*by, F.col("node").alias("a")), [*by, "a"], "left_semi")
+    left = _at(_at(graph.join(inner, [*by, "a", "b"], "left_anti"), places, by, "a"), places, by, "b")
+    return stage(left.select(*by, F.col("a_head").alias("a"), F.col("b_head").alias("b"), "src", "dst", "open")), [places]
+
+
+def _places(links: DataFrame, by: list[str]) -> DataFrame:
+    """(node, head, step, closed) of the nodes of chains of links: their chain's first node and their place from 0. Nodes of closed
+    chains have themselves as head. Pointers to earlier nodes are doubled, two doublings a staged round."""
+    nodes = links.select(*by, F.col("a").alias("node")).union(links.select(*by, F.col("b").alias("node"))).distinct()
+    back = links.select(*by, F.col("b").alias("node"), F.col("a").alias("up"))
+    state = stage(nodes.join(back, [*by, "node"], "left").select(*by, "node", F.coalesce("up", "node").alias("head"), F.col("up").isNotNull().cast("long").alias("step"), F.col("up").isNull().alias("done")))
+    left = state.filter("NOT done").count()
+    while left:
+        new = state
+        for _ in range(2):
+            up = new.select(*by, F.col("node").alias("head"), F.col("head").alias("head2"), F.col("step").alias("step2"), F.col("done").alias("done2"))
+            new = new.join(up, [*by, "head"]).select(*by, "node", F.when(F.col("done"), F.col("head")).otherwise(F.col("head2")).alias("head"), F.when(F.col("done"), F.col("step")).otherwise(F.col("step") + F.col("step2")).alias("step"), (F.col("done") | F.col("done2")).alias("done"))
+        new = stage(new)
+        unstage(state)
+        state, before = new, left
+        left = state.filter("NOT done").count()
+        if left == before:  # a start would be twice as near by now: closed
+            break
+    return state.select(*by, "node", F.when(F.col("done"), F.col("head")).otherwise(F.col("node")).alias("head"), F.when(F.col("done"), F.col("step")).otherwise(0).alias("step"), (~F.col("done")).alias("closed"))
+
+
+def _without_twins(graph: DataFrame, by: list[str]) -> DataFrame | None:
+    """The graph with one node of those that have the same only way in and the same only way out; None if there are none such."""
+    into = graph.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("c"), F.first("a").alias("before")).filter("c = 1").select(*by, F.col("b").alias("node"), "before")
+    outs = graph.groupBy(*by, "a").agg(F.count(F.lit(1)).alias("c"), F.first("b").alias("after")).filter("c = 1").select(*by, F.col("a").alias("node"), "after")
+    inner = into.join(outs, [*by, "node"])
+    first = inner.groupBy(*by, "before", "after").agg(F.min("node").alias("kept"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    more = stage(inner.join(first, [*by, "before", "after"]).filter("node <> kept").select(*by, "node"))
+    if more.isEmpty():
+        return None
+    for end in ("a", "b"):
+        graph = graph.join(more.withColumnRenamed("node", end), [*by, end], "left_anti")
+    return stage(graph)
+
+
+def _walked(graph: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """Those of the edges `wanted` (a, b) whose b is reached from a without them, not by way of a again. All are walked at once, an edge
+    of the graph a round, each node once; a round writes what is new alone."""
+    edge = [*by, "a", "b"]
+    step = graph.select(*by, F.col("a").alias("at"), F.col("b").alias("to"))
+    wanted = wanted.select(*edge)
+    front = stage(wanted.join(step.withColumnRenamed("at", "a"), [*by, "a"]).filter("to <> b AND to <> a").select(*edge, F.col("to").alias("at")).distinct())
+    seen, met, rounds = front, front.limit(0).select(*edge), 0
+    while not front.isEmpty():
+        onward = front.join(met, edge, "left_anti").join(step, [*by, "at"]).filter("to <> a").select(*edge, F.col("to").alias("at")).distinct()
+        front = stage(onward.join(seen, [*edge, "at"], "left_anti"))
+        rounds += 1
+        seen = seen.union(front) if rounds % 16 else stage(seen.union(front))
+        met = stage(met.union(front.filter("at = b").select(*edge)))
+    return met
 
 
 def unambiguous(edges: DataFrame, by: list[str] = []) -> DataFrame:
@@ -61,19 +210,9 @@ def chains(edges: DataFrame, by: list[str] = []) -> DataFrame:
     Edges have one way in and one way out at most. Each node's pointer to an earlier node is doubled until all point to a start; nodes
     on cycles never do and are left out."""
     edges = stage(edges)
-    nodes = edges.select(*by, F.col("src").alias("node")).union(edges.select(*by, F.col("dst").alias("node"))).distinct()
-    back = edges.select(*by, F.col("dst").alias("node"), F.col("src").alias("up"))
-    state = nodes.join(back, [*by, "node"], "left").select(*by, "node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("long").alias("step"), F.col("up").isNull().alias("done"))
-    left = None
-    for _ in range(MOST_DOUBLINGS):
-        up = state.select(*by, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("step").alias("step2"), F.col("done").alias("done2"))
-        state = stage(state.join(up, [*by, "up"]).select(*by, "node", F.col("up2").alias("up"), F.when(F.col("done"), F.col("step")).otherwise(F.col("step") + F.col("step2")).alias("step"), (F.col("done") | F.col("done2")).alias("done")))
-        now = state.filter("NOT done").count()
-        if not now or now == left:
-            break
-        left = now
+    places = _places(edges.select(*by, F.col("src").alias("a"), F.col("dst").alias("b")), by).filter("NOT closed")
     onward = edges.select(*by, F.col("src").alias("node"), F.col("d").alias("gap_after"))
-    return state.filter("done").join(onward, [*by, "node"], "left").select(*by, F.col("up").alias("start"), "step", "node", "gap_after")
+    return places.join(onward, [*by, "node"], "left").select(*by, F.col("head").alias("start"), "step", "node", "gap_after")
 
 
 def one_strand(paths: DataFrame, by: list[str] = []) -> DataFrame:

@@ -55,6 +55,44 @@ def _codes(base: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+#: Seed words of the published nucleotide hash for A, C, G, T, and the constants that make a second hash of a first (fixed values).
+NUCLEOTIDE = (0x3C8BFBB395C60474, 0x3193C18562A02B4C, 0x20323ED082572324, 0x295549F54BE24456)
+SECOND, SECOND_SHIFT = 0x90B45D39FB6DA1FA, 27
+#: A rotation of such a word turns its low and its high part each by itself.
+LOW, HIGH = 33, 31
+
+
+def _turned(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Words turned left by so many places each; by: any integers."""
+    low, high = x & np.uint64((1 << LOW) - 1), x >> np.uint64(LOW)
+    a, b = (by % LOW).astype(np.uint64), (by % HIGH).astype(np.uint64)
+    low = (low << a | low >> (np.uint64(LOW) - a)) & np.uint64((1 << LOW) - 1)
+    high = (high << b | high >> (np.uint64(HIGH) - b)) & np.uint64((1 << HIGH) - 1)
+    return high << np.uint64(LOW) | low
+
+
+def nucleotide_hashes(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As hashes(), by the published strand-symmetric nucleotide hash: positions, the unsigned hashes that minimizers are chosen by,
+    whether the strand is +, and the unsigned second hashes that name them in sketch files.
+
+    A strand's hash is the exclusive or of its bases' words, each turned by its distance from the k-mer's end. All words are turned
+    once by their place in the sequence instead, so that a k-mer's is the difference of two running values, turned back: work that
+    doesn't grow with k. The k-mer's hash is the sum of both strands'."""
+    base = CODE[np.frombuffer(seq.encode("latin-1", "replace"), dtype=np.uint8)]
+    n = len(base) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
+    bad = np.concatenate([[0], np.cumsum(base == 255)])
+    pos = np.flatnonzero(bad[k:] == bad[:-k])
+    clean, words, at = np.where(base == 255, 0, base), np.array(NUCLEOTIDE, dtype=np.uint64), np.arange(len(base))
+    run = lambda x: np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(x)])
+    there, back = run(_turned(words[clean], -at)), run(_turned(words[3 - clean], at))
+    forward, reverse = _turned(there[pos + k] ^ there[pos], pos + k - 1), _turned(back[pos + k] ^ back[pos], -pos)
+    first = forward + reverse
+    second = first * np.uint64((1 ^ k * SECOND) & (1 << 64) - 1)
+    return pos, first, forward <= reverse, second ^ second >> np.uint64(SECOND_SHIFT)
+
+
 def hashes(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions, hashes (below 2^61) and whether the strand is + of the k-mers without other bases than ACGT."""
     base = CODE[np.frombuffer(seq.encode("latin-1", "replace"), dtype=np.uint8)]
@@ -89,13 +127,16 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.unique(order[np.unique(np.minimum(right[: n - w + 1], left[w - 1 : n]))])
 
 
-def sketch(df: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "seq", chunk: int = CHUNK) -> DataFrame:
-    """A row for each minimizer: id, pos, hash, strand.
+def sketch(df: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "seq", chunk: int = CHUNK, scheme: str = "modular") -> DataFrame:
+    """A row for each minimizer: id, pos, hash, strand. scheme: `modular`, a hash that SQL can compute too, or `nucleotide`, the published
+    one, whose 64 bits are in `hash` as a signed number.
 
     Sequences longer than `chunk` are cut into pieces that overlap by w + k - 2 bases, so each window lies in a piece and one long
     sequence spreads over tasks (only such pieces are shuffled); a minimizer of two pieces' windows counts once. With bases other than ACGT the windows of a piece
     may reach less far back than the sequence's, so there pieces overlap by more.
     """
+    if scheme not in ("modular", "nucleotide"):
+        raise ValueError(f"scheme {scheme}")
     halo = 2 * (w + k) + 1000
     seqs = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq")).filter(F.col("seq").isNotNull())
     pieces = seqs.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(chunk))))
@@ -107,11 +148,15 @@ def sketch(df: DataFrame, k: int, w: int, id_col: str = "id", seq_col: str = "se
         for batch in batches:
             ids, pos, val, plus = [], [], [], []
             for one, start, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                p, h, s = hashes(piece.as_py(), k)
+                if scheme == "nucleotide":
+                    p, h, s, named = nucleotide_hashes(piece.as_py(), k)
+                else:
+                    p, h, s = hashes(piece.as_py(), k)
+                    named = h
                 at = window_minima(h, w)
                 ids += [one] * len(at)
                 pos.append(p[at] + start)
-                val.append(h[at])
+                val.append(named[at].view(np.int64))
                 plus.append(s[at])
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(val)), pa.array(np.where(np.concatenate(plus), "+", "-"), pa.string())], names=["id", "pos", "hash", "strand"])
@@ -131,6 +176,8 @@ def density(sketched: DataFrame) -> DataFrame:
 
 def as_line(sketched: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Sketch lines: id, (length,) `hash:pos:strand` in order, joined by spaces. lengths: rows (id, length)."""
-    mx = F.concat_ws(":", F.col("hash").cast("string"), F.col("pos").cast("string"), "strand")
+    bits = F.col("hash").cast("decimal(21,0)")
+    unsigned = F.when(bits < 0, bits + F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(bits)
+    mx = F.concat_ws(":", unsigned.cast("decimal(21,0)").cast("string"), F.col("pos").cast("string"), "strand")
     lines = sketched.groupBy("id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", mx.alias("mx")))), lambda x: x["mx"])).alias("minimizers"))
     return lines if lengths is None else lines.join(lengths, "id").select("id", "length", "minimizers")

@@ -130,8 +130,17 @@ WHERE c = 1 OR CASE WHEN old > 0 THEN NOT new ELSE n = top AND ties = 1 END"""
 q("linearized_edges", "SELECT src, dst, n, new FROM lin2", lambda a: layout.linearize(layout.transitive_reduction(a.graph).select("src", "dst", "n", (F.col("n") < 3).alias("new"))))
 sql.STEPS["near"] = "SELECT a.path_id, a.contig || a.ori AS src, b.contig || b.ori AS dst, (b.step - a.step)::INT AS apart, a.step FROM named a JOIN named b ON a.path_id = b.path_id AND b.step > a.step AND b.step <= a.step + 4"
 q("neighbourhood_edges", "SELECT path_id, src, dst, apart FROM near", lambda a: layout.neighbourhood_edges(a.paths))
-sql.STEPS["spanning"] = "SELECT path_id, unnest(range(step, step + apart)) AS step FROM near JOIN (SELECT src, dst FROM graph) USING (src, dst) WHERE apart > 1"
+sql.STEPS["spanning"] = "SELECT a.path_id, unnest(range(a.step, b.step)) AS step FROM graph JOIN named a ON a.contig || a.ori = src JOIN named b ON b.contig || b.ori = dst AND b.path_id = a.path_id WHERE b.step - a.step > 1"
 q("transitive_support", "SELECT path_id, step, source || source_ori AS src, target || target_ori AS dst, coalesce(c, 0) AS support FROM nexts LEFT JOIN (SELECT path_id, step, count(*) AS c FROM spanning GROUP BY ALL) USING (path_id, step)", lambda a: layout.transitive_support(a.paths, a.graph))
+# what the stitching engine calls: edges around steps that fewer than 3 reads support, and new edges that the graph doesn't span
+sql.STEPS["bare"] = "SELECT path_id, step FROM nexts WHERE (source || source_ori, target || target_ori) NOT IN (SELECT (src, dst) FROM graph WHERE n >= 3)"
+sql.STEPS["around"] = """SELECT DISTINCT a.contig AS c1, a.ori AS o1, b.contig AS c2, b.ori AS o2 FROM bare x JOIN named a ON a.path_id = x.path_id AND a.step BETWEEN x.step - 4 AND x.step JOIN named b ON b.path_id = x.path_id AND b.step BETWEEN x.step + 1 AND x.step + 5
+WHERE b.step - a.step > 1 AND (a.contig || a.ori, b.contig || b.ori) NOT IN (SELECT (src, dst) FROM graph)"""
+q("window_edges", f"SELECT c1 || o1 AS src, c2 || o2 AS dst FROM around UNION SELECT c2 || {sql.flip('o2')}, c1 || {sql.flip('o1')} FROM around", lambda a: layout.window_edges(a.paths, a.graph.filter("n >= 3"), a.graph))
+sql.STEPS["spans"] = "SELECT a.start, a.step AS s0, b.step AS s1 FROM (SELECT DISTINCT src, dst FROM graph) JOIN chain a ON a.node = src JOIN chain b ON b.node = dst AND b.start = a.start WHERE b.step - a.step > 1"
+sql.STEPS["held"] = """SELECT node FROM chain c WHERE EXISTS (FROM spans s WHERE s.start = c.start AND s0 < step AND s1 > step + 1)
+OR EXISTS (FROM spans s WHERE s.start = c.start AND s0 = step AND s1 > step + 1) AND EXISTS (FROM spans s WHERE s.start = c.start AND s0 < step AND s1 = step + 1)"""
+q("transitive_filter", "SELECT src, dst, d, n, n < 5 AS new FROM best WHERE n >= 5 OR src IN (SELECT node FROM held)", lambda a: layout.transitive_filter(layout.unambiguous(layout.transitive_reduction(a.graph)).select("src", "dst", "d", "n", (F.col("n") < 5).alias("new")), a.graph))
 # overlaps: contigs whose neighbours overlap
 q("valid_regions", "SELECT path_id, step, side, contig, ori, length, start, stop FROM regions_ov", lambda a: a.regions, True)
 q("shared_minimizers", "SELECT path_id, step, hash, spos, tpos FROM shared_ov", lambda a: a.shared.select("path_id", "step", "hash", "spos", "tpos"), True)

@@ -122,9 +122,12 @@ def layout_steps(o: str, graph: str, by: str = "") -> None:
     using = f"{b}src, dst"
     ab = f"a.{by}, " if by else ""
     STEPS[f"hop1{o}"] = f"SELECT DISTINCT {b}src, dst FROM {graph}"
-    for i in (2, 3, 4):
-        STEPS[f"hop{i}{o}"] = f"SELECT DISTINCT {ab}a.src, b.dst FROM hop{i - 1}{o} a JOIN hop1{o} b ON {same}a.dst = b.src WHERE a.src <> b.dst"
-    STEPS[f"reduced{o}"] = f"SELECT * FROM {graph} ANTI JOIN (SELECT * FROM hop2{o} UNION SELECT * FROM hop3{o} UNION SELECT * FROM hop4{o}) USING ({using})"
+    # open edges and all that their sources' other ways out lead to, however far
+    STEPS[f"open{o}"] = f"SELECT * FROM hop1{o} WHERE src <> dst QUALIFY count(*) OVER (PARTITION BY {b}src) > 1 AND count(*) OVER (PARTITION BY {b}dst) > 1"
+    STEPS[f"walk{o}"] = f"""SELECT {ab}a.src, a.dst, b.dst AS met FROM open{o} a JOIN hop1{o} b ON {same}a.src = b.src WHERE b.dst <> a.dst AND b.dst <> a.src
+UNION SELECT {ab}a.src, a.dst, b.dst FROM walk{o} a JOIN hop1{o} b ON {same}a.met = b.src WHERE b.dst <> a.src AND a.met <> a.dst"""
+    RECURSIVE.add(f"walk{o}")
+    STEPS[f"reduced{o}"] = f"SELECT * FROM {graph} ANTI JOIN (SELECT * FROM walk{o} WHERE met = dst) USING ({using})"
     top = f"SELECT *, max(n) OVER (PARTITION BY {b}src) AS ts, max(n) OVER (PARTITION BY {b}dst) AS td FROM reduced{o}"
     ties = f"SELECT *, count(*) FILTER (WHERE n = ts) OVER (PARTITION BY {b}src) AS cs, count(*) FILTER (WHERE n = td) OVER (PARTITION BY {b}dst) AS cd FROM ({top})"
     STEPS[f"best{o}"] = f"SELECT {b}src, dst, d, n FROM ({ties}) WHERE n = ts AND n = td AND cs = 1 AND cd = 1"

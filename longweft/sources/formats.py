@@ -26,12 +26,14 @@ def write_sketch(sketched: DataFrame, path: str, lengths: DataFrame | None = Non
 
 
 def read_sketch(spark: SparkSession, path: str, with_length: bool = False, strands: bool = True) -> DataFrame:
-    """Rows id, (length,) pos, hash, strand. Hashes stay text where they don't fit a signed 64-bit number: the column is a decimal.
+    """Rows id, (length,) pos, hash, strand. Files have unsigned 64-bit hashes; here the same bits are a signed number, as in sketches.
     Lines with fewer fields than the format has are left out."""
     names = ["id", "length", "minimizers"] if with_length else ["id", "minimizers"]
     rows = _read(spark, path, *names).filter(F.col("fields") >= len(names))
     mx = rows.select("id", *([F.col("length").cast("int").alias("length")] if with_length else []), F.explode(F.split("minimizers", " ")).alias("m")).withColumn("p", F.split("m", ":"))
-    out = [F.get("p", F.lit(1)).cast("int").alias("pos"), F.get("p", F.lit(0)).cast("decimal(20,0)").alias("hash")] + ([F.get("p", F.lit(2)).alias("strand")] if strands else [])
+    bits = F.get("p", F.lit(0)).cast("decimal(21,0)")
+    signed = F.when(bits >= F.lit(str(1 << 63)).cast("decimal(21,0)"), bits - F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(bits).cast("long")
+    out = [F.get("p", F.lit(1)).cast("int").alias("pos"), signed.alias("hash")] + ([F.get("p", F.lit(2)).alias("strand")] if strands else [])
     return mx.select("id", *(["length"] if with_length else []), *out).filter("pos IS NOT NULL")
 
 

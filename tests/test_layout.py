@@ -1,3 +1,5 @@
+import random
+
 from longweft.operators import assembly, layout, overlap
 
 EDGES = "src string, dst string, d int, n long"
@@ -79,3 +81,66 @@ def test_reduction_by_long_routes(spark):
     ring = [*chain, ("j+", "a+")]  # a walk round the ring to an edge's own target is no other route
     assert reduced([*ring, ("x+", "c+"), ("x+", "z+")]) == {*ring, ("x+", "c+"), ("x+", "z+")}
     assert lines(spark, [(a, b, 1, 2) for a, b in chain] + [("a+", "g+", 900, 5)]) == {"scaffold_0": " 21N ".join(f"{c}+" for c in "abcdefghij")}
+
+
+def brute_reduced(edges):
+    """Edges without those whose target is reached by another way that doesn't come back to the source."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+
+    def other_way(s, t):
+        todo, seen = [x for x in out[s] if x not in (s, t)], {s}
+        while todo:
+            at = todo.pop()
+            if at == t:
+                return True
+            if at not in seen:
+                seen.add(at)
+                todo += out.get(at, ())
+        return False
+
+    return {(a, b) for a, b in edges if a == b or not other_way(a, b)}
+
+
+def reduced(spark, edges):
+    found = [(r.src, r.dst) for r in layout.transitive_reduction(spark.createDataFrame([(*x, 1, 1) for x in edges], EDGES)).collect()]
+    assert len(found) == len(set(found))
+    return set(found)
+
+
+def test_reduction_of_odd_graphs(spark):
+    """Many small graphs at once, some without cycles and some with, against a search from each edge."""
+    rng, edges = random.Random(8), []
+    for g in range(60):
+        n = rng.randint(3, 9)
+        for _ in range(rng.randint(n, 2 * n + 4)):
+            a, b = rng.sample(range(n), 2)
+            if g % 3:
+                a, b = min(a, b), max(a, b)
+            edges.append((f"{g}:{a}", f"{g}:{b}"))
+    edges += [("loop", "loop"), ("loop", "x")] + [(a, b) for a in "PQR" for b in "PQR" if a != b]  # all ways round, both ways
+    edges = sorted(set(edges))
+    assert reduced(spark, edges) == brute_reduced(edges)
+
+
+def test_reduction_of_ladders_and_tangles(spark):
+    """Bubbles in a row, with an edge over all of them and one that leads elsewhere; and layers that are joined each with each."""
+    edges = []
+    for i in range(40):
+        edges += [(f"j{i}", f"u{i}"), (f"j{i}", f"v{i}"), (f"u{i}", f"j{i + 1}"), (f"v{i}", f"j{i + 1}")]
+    edges += [("j0", "j40"), ("j0", "y"), ("x", "y"), ("x", "j3")]
+    edges += [(f"a{i}.{k}", f"a{i + 1}.{m}") for i in range(4) for k in range(3) for m in range(3)] + [("a0.0", "a4.2"), ("a1.1", "a3.0")]
+    assert reduced(spark, edges) == brute_reduced(edges)
+
+
+def test_a_chain_of_thousands_takes_few_rounds(spark, monkeypatch):
+    """5,000 contigs in a row with edges over one, two and three of them, and some over very many: rounds and rows stay small."""
+    n, rows = 5000, []
+    whole = layout.stage
+    monkeypatch.setattr(layout, "stage", lambda df: (lambda t: (rows.append(t), t)[1])(whole(df)))
+    name = lambda i: f"c{i:05d}+"
+    steps = [(name(i), name(i + 1)) for i in range(n - 1)]
+    over = [(name(i), name(i + k)) for k in (2, 3, 4) for i in range(n - k)] + [(name(i), name(i + 2500)) for i in range(0, 2000, 100)] + [(name(0), name(n - 1))]
+    assert reduced(spark, steps + over) == set(steps)
+    assert len(rows) <= 30

@@ -59,3 +59,69 @@ def test_long_sequences_are_cut_without_a_trace(spark):
     df = spark.createDataFrame([("a", "".join(rng.choice("ACGT") for _ in range(9000)))], "id string, seq string")
     whole, cut = (sorted(map(tuple, sketch.sketch(df, 21, 10, chunk=c).collect())) for c in (1 << 20, 1000))
     assert whole == cut and whole
+
+
+#: K-mers with the hash and the strand that the published nucleotide hash gives them (fixed values).
+PUBLISHED = (("AAATTTCGAATTTAAAGGCGCATAGGTAGGAC", 3940627884194749360, "+"), ("ACGAAAAATTGTAGTTTAAAGGCGCATAGGTA", 18264252465449822990, "-"), ("AATTTTGAATTTTCAAGAAAAAATCACTCGAA", 2090929767303588684, "+"))
+
+
+def turned(x, by):
+    """A 64-bit word whose low 33 and high 31 bits are turned left by themselves."""
+    low, high = x % (1 << 33), x >> 33
+    for _ in range(by % 33):
+        low = low * 2 % (1 << 33) + (low >> 32)
+    for _ in range(by % 31):
+        high = high * 2 % (1 << 31) + (high >> 30)
+    return (high << 33) + low
+
+
+def by_definition(kmer):
+    """(first hash, second hash, strand) of a k-mer, base by base."""
+    k, forward, reverse = len(kmer), 0, 0
+    for i, c in enumerate(kmer):
+        forward ^= turned(sketch.NUCLEOTIDE["ACGT".index(c)], k - 1 - i)
+        reverse ^= turned(sketch.NUCLEOTIDE["TGCA".index(c)], i)
+    first = (forward + reverse) % (1 << 64)
+    second = first * ((1 ^ k * sketch.SECOND) % (1 << 64)) % (1 << 64)
+    return first, second ^ second >> 27, "+" if forward <= reverse else "-"
+
+
+def test_published_nucleotide_hash():
+    for kmer, value, strand in PUBLISHED:
+        assert by_definition(kmer)[1:] == (value, strand)
+    rng = random.Random(9)
+    seq = "".join(rng.choice("ACGTacgtN" if i % 40 == 0 else "ACGT") for i in range(3000))
+    for k in (2, 15, 32, 33, 70):
+        pos, first, plus, second = sketch.nucleotide_hashes(seq, k)
+        assert pos.tolist() == [i for i in range(len(seq) - k + 1) if "N" not in seq[i : i + k]]
+        got = [(int(f), int(s), "+" if p else "-") for f, s, p in zip(first, second, plus)]
+        assert got == [by_definition(seq[i : i + k].upper()) for i in pos]
+    assert all(len(x) == 0 for x in sketch.nucleotide_hashes("ACG", 4))
+
+
+def test_nucleotide_sketch_is_each_windows_least_and_survives_its_file(spark, tmp_path):
+    from longweft.sources import formats
+
+    rng = random.Random(11)
+    seqs = {f"s{n}": "".join(rng.choice("ACGT") for _ in range(n)) for n in (20, 50, 900, 5000)}
+    df = spark.createDataFrame(list(seqs.items()), "id string, seq string")
+    want = set()
+    for name, seq in seqs.items():
+        marks = [(*by_definition(seq[i : i + 21]), i) for i in range(len(seq) - 20)]
+        for i in range(len(marks) - 9):
+            _, second, strand, at = min(marks[i : i + 10], key=lambda m: (m[0], m[3]))
+            want.add((name, at, second - (1 << 64) * (second >> 63), strand))
+    for chunk in (sketch.CHUNK, 700):
+        made = sketch.sketch(df, 21, 10, chunk=chunk, scheme="nucleotide")
+        assert {tuple(r) for r in made.select("id", "pos", "hash", "strand").collect()} == want
+    formats.write_sketch(made, f"file://{tmp_path}/sketch.tsv")
+    text = " ".join(r.value.split("\t")[1] for r in spark.read.text(f"file://{tmp_path}/sketch.tsv").collect())
+    assert "-" not in text.replace(":-", "") and any(int(x.split(":")[0]) >= 1 << 63 for x in text.split())
+    assert {tuple(r) for r in formats.read_sketch(spark, f"file://{tmp_path}/sketch.tsv").select("id", "pos", "hash", "strand").collect()} == want
+
+
+def test_unknown_scheme_is_named(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="md5"):
+        sketch.sketch(spark.createDataFrame([("a", "ACGT")], "id string, seq string"), 2, 1, scheme="md5")
