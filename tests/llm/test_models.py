@@ -182,6 +182,54 @@ def test_html_copies_of_a_page_are_no_other_page(spark):
     assert got == [(1, own)] * 3 + [(2, own)] + [(3, f"page 3 {own}")] * 2 + [(4, "4")]
 
 
+def shared_by_brute_force(rows, window=8):
+    """Texts of loose pages without the windows of a block that another page of the host, with other tokens, has too."""
+    pages = [(page_id, url.split("/")[2], [b.split() for b in html_text.blocks(page)[0]]) for page_id, url, page in rows]
+    has = {}
+    for _, host, found in pages:
+        for b in found:
+            for i in range(len(b) - window + 1):
+                has.setdefault((host, tuple(b[i : i + window])), set()).add(" ".join(map(" ".join, found)))
+    out = []
+    for page_id, host, found in pages:
+        left = []
+        for b in found:
+            covered = {j for i in range(len(b) - window + 1) if len(has[host, tuple(b[i : i + window])]) > 1 for j in range(i, i + window)}
+            left += [" ".join(t for j, t in enumerate(b) if j not in covered)]
+        out.append((page_id, " ".join(t for t in left if t)))
+    return sorted(out)
+
+
+def test_html_suffix_array_is_a_search_for_repeated_substrings(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a", "b", "a\x01", "c.", "dé"])
+    passages = [" ".join(word() for _ in range(rng.randint(6, 30))) for _ in range(12)]
+    common = "the very same line stands on each and every page of this house"
+    rows = []
+    for i in range(240):
+        parts = [" ".join(word() for _ in range(rng.randint(1, 20))) if rng.random() < 0.6 else rng.choice(passages) for _ in range(4)]
+        rows.append((i, f"http://h{i % 3}.example/{i}", "".join(f"<div>{p}</div>" for p in parts) + (f"<p>{common}</p>" * (1 + i % 2) if i % 3 < 2 else "")))
+    rows += [(300, "http://h0.example/x", rows[0][2]), (301, "http://h9.example/", f"<p>{common}</p><p>{common}</p>")]
+    want = shared_by_brute_force(rows)
+    assert any("very same" in t for _, t in want) and sum("very same" in t for _, t in want) == 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "4", "40"):  # the common line goes over several parts of the array
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+        assert sorted((r.page_id, r.text) for r in got.collect()) == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_html_windows_end_with_their_block_and_long_pages_are_read_whole(spark):
+    menu = "<ul><li>home news sport weather travel shop help jobs contact</li></ul>"
+    rows = [(i, f"http://w.example/{i}", f"{menu}<p>body of page {n} own words</p>") for i, n in enumerate(("alpha", "beta"))]
+    rows += [(2, "http://s.example/", '<div class="has-sidebar"><p>All the text there is</p></div>'), (3, "http://l.example/1", f"{menu}<p>{'x ' * 300_000}</p>"), (4, "http://l.example/2", menu)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "body of page alpha own words", 1: "body of page beta own words", 2: "All the text there is", 3: ("x " * 300_000).strip(), 4: ""}
+
+
 def test_ann_recall_and_edge_cases(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 30)).astype(np.float32)
