@@ -68,10 +68,16 @@ def subsumed_specific(bounds: DataFrame) -> DataFrame:
 
 
 def subsumed_sensitive(bounds: DataFrame) -> DataFrame:
-    """(read_id, run_idx) of runs that lie between the first and the last run of another contig."""
-    spans = F.collect_set(F.when(F.col("first") < F.col("last"), F.struct("contig", "first", "last"))).over(Window.partitionBy("read_id"))
-    inside = F.exists("spans", lambda s: (s["contig"] != F.col("contig")) & (s["first"] < F.col("run_idx")) & (s["last"] > F.col("run_idx")))
-    return bounds.withColumn("spans", spans).filter(inside).select("read_id", "run_idx")
+    """(read_id, run_idx) of runs that lie between the first and the last run of another contig.
+
+    A contig with a run before j has one after it too if its `last` is greater. No two contigs of a read have the same `last`, so of
+    the runs before j the largest one, or the next if that is the own contig's, tells. Both are running maxima: the next largest so
+    far is the largest of what was, at some run, the lesser of its own and the largest before."""
+    w = Window.partitionBy("read_id").orderBy("run_idx").rowsBetween(Window.unboundedPreceding, -1)
+    top = bounds.withColumn("top", F.max("last").over(w))
+    both = top.withColumn("next", F.max(F.when(F.col("top") != F.col("last"), F.least("top", "last"))).over(w))
+    other = F.when(F.col("top") != F.col("last"), F.col("top")).otherwise(F.col("next"))
+    return both.filter(other > F.col("run_idx")).select("read_id", "run_idx")
 
 
 def accepted(found: DataFrame, k: int, x: float = 0, sensitive: bool = False) -> DataFrame:

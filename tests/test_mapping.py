@@ -64,3 +64,32 @@ def test_pairs_over_f_and_even_medians(spark):
     assert len(made(4)) == 6 and made(3) == {("A", "B"), ("B", "C"), ("C", "D"), ("A", "C")}
     est = spark.createDataFrame([("x", "A", "+", "B", "+", g, True, 900) for g in (-80, -79)], "read_id string, source string, source_ori string, target string, target_ori string, gap int, anchored boolean, read_len int")
     assert pairs.tally(est).first().d == -79  # -79.5 is cut towards 0
+
+
+def test_sensitive_subsumption_is_a_search_over_all_spans(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for read in range(60):
+        order = [rng.choice("ABCDEFG") for _ in range(rng.randint(1, 14))]
+        order = [c for i, c in enumerate(order) if i == 0 or order[i - 1] != c]
+        rows += [(read, i, c, 1, order.index(c), len(order) - 1 - order[::-1].index(c)) for i, c in enumerate(order)]
+    df = spark.createDataFrame(rows, "read_id long, run_idx int, contig string, hit_count int, first int, last int")
+    want = {(r, i) for r, i, c, *_ in rows if any(r2 == r and c2 != c and first < i < last for r2, _, c2, _, first, last in rows)}
+    assert {tuple(r) for r in mapping.subsumed_sensitive(df).collect()} == want and len(want) > 50
+
+
+def test_streamed_tally_keeps_counts_and_goes_on(spark, tmp_path):
+    """Medians of odd and even numbers of gaps, negative ones too; a second run over more files adds to the first."""
+    from longweft.streaming import pair_tally
+
+    pair = dict(source="a", source_ori="+", target="b", target_ori="-")
+    gaps = {"b": [5, -3, -3, 8], "c": [-160, 1], "d": [7], "e": [1, 2, 3, 100, 100]}
+    rows = [(pair["source"], "+", t, "-", g, g > 2) for t, gs in gaps.items() for g in gs]
+    df = spark.createDataFrame(rows, "source string, source_ori string, target string, target_ori string, gap int, anchored boolean")
+    got = {r.target: (r.n, r.d, r.anchor) for r in pair_tally.tally(pair_tally.counts(df)).collect()}
+    assert got == {"b": (4, 1, 2), "c": (2, -79, 0), "d": (1, 7, 1), "e": (5, 3, 3)}
+    assert {r.target: (r.n, r.d, r.anchor) for r in pairs.tally(df).collect()} == got
+    changes = pair_tally.counts(df).selectExpr("*", "1 AS batch").union(pair_tally.counts(df.filter("target = 'd'")).selectExpr("source", "source_ori", "target", "target_ori", "gap", "n + 4", "anchor", "2"))
+    assert {r.target: r.n for r in pair_tally.tally(pair_tally.last_counts(changes)).collect()} == {"b": 4, "c": 2, "d": 5, "e": 5}
