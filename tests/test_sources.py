@@ -19,6 +19,43 @@ def test_fasta_fastq_and_gzip(spark, tmp_path):
         assert {tuple(r) for r in got} == want and len(got) == 4
 
 
+def in_blocks(data, size):
+    """Block gzip: members that say their size in an extra field, and an empty one at the end."""
+    import zlib
+
+    out = b""
+    for at in range(0, len(data) + size, size):
+        part = data[at : at + size]
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = z.compress(part) + z.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + (len(body) + 25).to_bytes(2, "little") + body + zlib.crc32(part).to_bytes(4, "little") + len(part).to_bytes(4, "little")
+    return out
+
+
+def test_ranges_give_each_record_once(spark, tmp_path):
+    """Ranges and blocks that end in any place, with qualities that look like headers and separators."""
+    import random
+
+    rng = random.Random(1)
+    records = []
+    for i in range(150):
+        n = rng.choice([1, 5, 30, 400])
+        records.append((f"r{i}", "".join(rng.choice("ACGT") for _ in range(n)), f"B{i}-1" if i % 3 == 0 else None, rng.choice("@+I") + "".join(rng.choice("@+I>") for _ in range(n - 1))))
+    fastq = "".join(f"@{i}{f' BX:Z:{b}' if b else ''}\n{s}\n+\n{q}\n" for i, s, b, q in records).rstrip("\n")
+    fasta = "".join(f">{i}\n{s[:20]}\n{s[20:]}\n" for i, s, _, _ in records)
+    (tmp_path / "x.fq").write_text(fastq)
+    (tmp_path / "dos.fq").write_bytes(fastq.replace("\n", "\r\n").encode())
+    for name, text in (("x.fq.gz", fastq), ("x.fa.gz", fasta)):
+        (tmp_path / name).write_bytes(in_blocks(text.encode(), 333))
+    for name, size in (("x.fq", 100), ("x.fq", 1777), ("dos.fq", 997), ("x.fq.gz", 100), ("x.fq.gz", 1500), ("x.fa.gz", 700)):
+        df = sequences.read_sequences(spark, f"file://{tmp_path}/{name}", size)
+        want = sorted((i, s, None if ".fa" in name else b, None if ".fa" in name else q) for i, s, b, q in records)
+        assert sorted(map(tuple, df.collect()), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0]), (name, size)
+        assert df.rdd.getNumPartitions() >= 10
+    (tmp_path / "empty.fq").write_text("")
+    assert sequences.read_sequences(spark, [f"{tmp_path}/empty.fq", f"{tmp_path}/x.fq"]).count() == 150
+
+
 def test_round_trips(spark, tmp_path):
     a = Assembly(spark, SF)
     same = lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.select(*x.columns).collect()))
