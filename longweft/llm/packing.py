@@ -30,6 +30,8 @@ from .common import give_back, spool
 TURNS, GROUPS, STEP = 6, 16, 3e-3
 #: Programs that are solved at most, each over what rounding left of the one before; the last takes configurations of any fill.
 PASSES = 24
+#: Pieces that no more programs are made for.
+LAST = 32
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -101,21 +103,41 @@ def solve(demand: np.ndarray, capacity: int, seed: int = 5) -> tuple[list[tuple[
     return uses, bound
 
 
-def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, longest first: configurations (length: count) and how often each is used. Sequences are kept by free room, and
-    `some` has a bit for each room of which there are any."""
-    room: list[list[tuple[int, ...]]] = [[] for _ in range(capacity + 1)]
-    some = 0
+def best_fit(demand: np.ndarray, capacity: int, begun: list[tuple[dict[int, int], int]] = []) -> list[tuple[dict[int, int], int]]:
+    """Best fit, longest first, into the free room of configurations that are `begun` and into new sequences: configurations (length:
+    count) and how often each is used. Sequences are kept by free room, equal ones together, and `some` has a bit for each room of
+    which there are any; pieces that begin a new sequence each are dealt with at once, so work doesn't grow with full sequences."""
+    room: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]
+    some, done = 0, []
+
+    def put(one: tuple[int, ...], free: int, n: int):
+        nonlocal some
+        room[free][one] = room[free].get(one, 0) + n
+        some |= 1 << free
+
+    for config, n in begun:
+        free = capacity - sum(length * k for length, k in config.items())
+        if free:
+            put(tuple(length for length, k in sorted(config.items(), reverse=True) for _ in range(k)), free, n)
+        else:
+            done.append((dict(config), n))
     for length in range(capacity, 0, -1):
-        for _ in range(int(demand[length])):
+        left = int(demand[length])
+        while left:
             fits = some >> length
             free = length + (fits & -fits).bit_length() - 1 if fits else capacity
-            one = room[free].pop() if fits else ()
-            if fits and not room[free]:
-                some ^= 1 << free
-            room[free - length].append((*one, length))
-            some |= 1 << (free - length)
-    return [(Counter(one), n) for one, n in Counter(one for bins in room for one in bins).items()]
+            one, there = next(iter(room[free].items())) if fits else ((), left)
+            k = min(left, free // length)  # a sequence that took one is the best fit for the next
+            n = min(there, left // k)
+            if fits:
+                room[free][one] -= n
+                if n == there:
+                    del room[free][one]
+                    if not room[free]:
+                        some ^= 1 << free
+            put((*one, *(length,) * k), free - k * length, n)
+            left -= k * n
+    return done + [(Counter(one), n) for found in room for one, n in found.items()]
 
 
 @dataclass
@@ -157,21 +179,30 @@ def rounded(left: np.ndarray, uses: list[tuple[np.ndarray, np.ndarray, float]],
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Rounds the program's solution, then that over what is left; the last few pieces go best fit."""
+    """Rounds the program's solution, then that over what is left, and so on; the last few pieces go best fit into the free room of its
+    configurations and into new sequences. From `capacity` pieces on what this comes to is seen after each program, down to LAST
+    pieces, and the fewest sequences are taken, of equal ones those with most pieces placed by the programs."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n
     total, full = int(left.sum()), int(left[capacity])
     chosen, lower = [({capacity: 1}, full)] if full else [], None  # a piece that fills a sequence is a configuration
     left[capacity] = 0
+    tried, fewest = [], -(-sum(length * n for length, n in histogram.items()) // capacity)
     for k in range(PASSES):
-        if k and left.sum() <= capacity or not left.any():
+        if not left.any():
             break
+        if k and left.sum() <= capacity:
+            made = best_fit(left, capacity, chosen)
+            tried.append((sum(n for _, n in made), int(left.sum()), made))
+            if left.sum() <= LAST or tried[-1][0] == fewest:  # no packing has less
+                break
         uses, bound = solve(left, capacity)
         lower = full + bound if lower is None else lower
         chosen += rounded(left, uses, k == PASSES - 1)
-    by_program = total - int(left.sum())
-    chosen += best_fit(left, capacity)
+    made = best_fit(left, capacity, chosen)
+    _, rest, chosen = min([*tried, (sum(n for _, n in made), int(left.sum()), made)], key=lambda t: t[:2])
+    by_program = total - rest
     slots: dict[int, list] = {}
     rank, sequence = np.zeros(capacity + 1, dtype=np.int64), 0
     for config, n in chosen:

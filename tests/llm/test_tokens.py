@@ -117,7 +117,24 @@ def test_plan_places_every_piece_once():
             parts.sort()
             assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0 and sum(parts[-1]) <= 64
         demand = np.array([histogram.get(i, 0) for i in range(65)])
-        assert p.bound <= p.sequences + 1e-6 and p.sequences <= sum(n for _, n in packing.best_fit(demand, 64)) + 1
+        assert p.bound <= p.sequences + 1e-6 and p.sequences <= sum(n for _, n in packing.best_fit(demand, 64))
+
+
+def test_best_fit_of_equal_pieces_at_once_is_best_fit_of_each():
+    rng = random.Random(5)
+    for _ in range(200):
+        pieces = sorted((rng.randrange(1, 31) for _ in range(rng.randrange(0, 60))), reverse=True)
+        rooms = []
+        for length in pieces:
+            fits = [r for r in rooms if r >= length]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 30) - length)
+        made = packing.best_fit(np.array([pieces.count(i) for i in range(31)]), 30)
+        assert sum(n for _, n in made) == len(rooms) and sorted(30 - sum(k * v for k, v in c.items()) for c, n in made for _ in range(n)) == sorted(rooms)
+        assert sorted(k for c, n in made for k, v in c.items() for _ in range(n * v)) == sorted(pieces)
+    begun = packing.best_fit(np.array([0, 0, 0, 4, 1, 0, 0, 0, 0, 0, 0]), 10, [({6: 1}, 3), ({5: 2}, 1)])
+    assert sum(n for _, n in begun) == 5 and sum(n * v for c, n in begun for v in c.values()) == 10
 
 
 def test_the_program_places_the_pieces():
