@@ -31,6 +31,30 @@ def merge(paths: DataFrame, seqs: DataFrame) -> DataFrame:
     return made.select(F.col("path_id").alias("id"), "members", "seq").union(alone)
 
 
+#: Letters of a chunk.
+CHUNK = 1 << 16
+
+
+def merge_chunks(paths: DataFrame, seqs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """merge() for scaffolds of any length: rows (id, offset, chunk), a chunk `size` letters long but for a scaffold's last. What comes
+    before a contig is a sum of lengths, made without the sequences; each contig, and the N after it, is cut where chunks end, and a
+    chunk is put together from what lies in it. So no row, and no group, holds more than one contig or one chunk."""
+    w = Window.partitionBy("path_id").orderBy("step")
+    on = paths.join(seqs.select("contig", F.length("seq").cast("long").alias("length")), "contig")
+    on = on.withColumn("left", F.greatest(F.coalesce(F.col("gap"), F.lit(1)) - 1, F.lit(0)).cast("long")).withColumn("joined", F.coalesce(F.lag("gap").over(w) == 1, F.lit(False)))
+    on = on.withColumn("start", F.coalesce(F.sum(F.col("length") + F.col("left")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = on.select("contig", F.col("path_id").alias("id"), "start", "length", "ori", "joined").join(seqs.select("contig", "seq"), "contig").withColumn("piece", oriented(F.col("seq"), F.col("ori")))
+    parts = parts.withColumn("piece", F.when(F.col("joined"), F.concat(F.lower(F.substring("piece", 1, 1)), F.expr("substring(piece, 2)"))).otherwise(F.col("piece"))).select("id", "start", "length", "piece")
+    alone = seqs.join(paths.select("contig"), "contig", "left_anti").select(F.col("contig").alias("id"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("length"), F.col("seq").alias("piece"))
+    gaps = on.filter("left > 0").select(F.col("path_id").alias("id"), (F.col("start") + F.col("length")).alias("start"), F.col("left").alias("length"), F.lit(None).cast("string").alias("piece"))
+    parts = parts.union(alone).union(gaps).filter("length > 0")
+    cut = parts.withColumn("k", F.explode(F.sequence(F.expr(f"start DIV {size}"), F.expr(f"(start + length - 1) DIV {size}"))))
+    cut = cut.withColumn("from", F.greatest("start", F.col("k") * size)).withColumn("n", F.least(F.col("start") + F.col("length"), (F.col("k") + 1) * size) - F.col("from"))
+    cut = cut.select("id", "k", "from", F.coalesce(F.expr("substring(piece, CAST(from - start + 1 AS INT), CAST(n AS INT))"), F.repeat(F.lit("N"), F.col("n").cast("int"))).alias("x"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", "x"))), lambda c: c["x"]), "")
+    return cut.groupBy("id", "k").agg(whole.alias("chunk")).select("id", (F.col("k") * size).alias("offset"), "chunk")
+
+
 def stats(seqs: DataFrame, seq_col: str = "seq", least: int = 500) -> DataFrame:
     """One row of assembly statistics over sequences of `least` bases or more, N left out: n, n_500, l50, min, n75, n50, n25, e_size,
     max, sum. Running sums are made over the distinct lengths."""

@@ -122,6 +122,11 @@ def scaffold(contigs: DataFrame, reads: DataFrame | None, p: Params = Params(),
     return Result(contigs, mapped, edges, graph, paths, plain, trims, overlap.agp(paths, trims), made)
 
 
+def scaffold_chunks(r: Result, size: int = assembly.CHUNK) -> DataFrame:
+    """A round's scaffolds as rows (id, offset, chunk), for those that are too long for one string."""
+    return assembly.merge_chunks(r.paths, assembly.trimmed_sequences(r.contigs, r.trims), size)
+
+
 def gap_fill(r: Result, reads: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Gaps of a round's paths filled from reads: sequences (id, seq), AGP rows, statistics."""
     gaps = stage(gapfill.gap_pairs(r.paths, p.min_gap))
@@ -154,4 +159,4 @@ def run_rounds(contigs: DataFrame, reads: DataFrame, p: Params = Params(), round
     return contigs
 
 
-__all__ = ["Params", "Result", "each_round", "gap_fill", "map_reads", "pair", "replace", "run_rounds", "scaffold"]
+__all__ = ["Params", "Result", "each_round", "gap_fill", "map_reads", "pair", "replace", "run_rounds", "scaffold", "scaffold_chunks"]

@@ -166,6 +166,7 @@ q("trimmed_paths_crossing", "SELECT path_id, step, contig, ori, gap FROM trimmed
 # assembly
 q("trimmed_sequences", "SELECT contig, header, seq FROM cut_seqs", lambda a: assembly.trimmed_sequences(a.contigs, a.trims), True)
 q("merged_scaffolds", "SELECT id, members, seq FROM merged", lambda a: assembly.merge(a.trimmed_paths, assembly.trimmed_sequences(a.contigs, a.trims)), True)
+q("merged_chunks", 'SELECT id, unnest(range(0, length(seq), 700))::BIGINT AS "offset", substr(seq, unnest(range(0, length(seq), 700)) + 1, 700) AS chunk FROM merged', lambda a: assembly.merge_chunks(a.trimmed_paths, assembly.trimmed_sequences(a.contigs, a.trims), 700), True)
 q("assembly_stats", sql.stats("merged"), lambda a: assembly.stats(assembly.merge(a.trimmed_paths, assembly.trimmed_sequences(a.contigs, a.trims))), True)
 
 # gap filling

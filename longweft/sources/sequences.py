@@ -261,3 +261,10 @@ def read_sequences(spark: SparkSession, paths: str | list[str], range_bytes: int
 def write_fasta(df: DataFrame, path: str, header_col: str = "id", seq_col: str = "seq") -> None:
     """A part file a partition, each whole records."""
     df.select(F.concat(F.lit(">"), F.col(header_col), F.lit("\n"), F.col(seq_col)).alias("value")).write.text(path)
+
+
+def write_fasta_chunks(chunks: DataFrame, path: str) -> None:
+    """Rows (id, offset, chunk) as FASTA, a chunk a line. Lines are dealt by range, so a long sequence goes on from one part file to the
+    next; the part files in the order of their names are the FASTA file."""
+    line = F.when(F.col("offset") == 0, F.concat(F.lit(">"), "id", F.lit("\n"), "chunk")).otherwise(F.col("chunk"))
+    chunks.repartitionByRange("id", "offset").sortWithinPartitions("id", "offset").select(line.alias("value")).write.text(path)

@@ -56,6 +56,23 @@ def test_merge_and_stats(spark):
     assert (s.n, s.n_500, s.l50, s.min, s.n75, s.n50, s.n25, s.e_size, s.max, s.sum) == (6, 4, 2, 600, 600, 700, 800, 685, 800, 2700)
 
 
+def test_chunks_are_the_merged_scaffolds_in_pieces(spark, tmp_path):
+    from longweft.sources import sequences
+
+    paths = spark.createDataFrame([("p", 0, "a", "+", 1), ("p", 1, "b", "-", 4), ("p", 2, "c", "+", None), ("q", 0, "d", "-", 30), ("q", 1, "e", "+", None)], "path_id string, step long, contig string, ori string, gap int")
+    seqs = spark.createDataFrame([("a", "AACC"), ("b", "GATT"), ("c", "TTTT"), ("d", "ACG" * 40), ("e", "G"), ("u", "ACGTN"), ("v", "")], "contig string, seq string")
+    whole = {r.id: r.seq for r in assembly.merge(paths, seqs).collect() if r.seq}
+    for size in (1, 3, 4, 50, 1000):
+        got = {}
+        for r in assembly.merge_chunks(paths, seqs, size).orderBy("id", "offset").collect():
+            assert r.offset == len(got.get(r.id, "")) and len(r.chunk) <= size
+            got[r.id] = got.get(r.id, "") + r.chunk
+        assert got == whole
+        sequences.write_fasta_chunks(assembly.merge_chunks(paths, seqs, size), f"{tmp_path}/{size}")
+        text = "".join(f.read_text() for f in sorted((tmp_path / str(size)).glob("part-*")))
+        assert {name: "".join(body) for name, *body in (t.split("\n") for t in text.split(">")[1:])} == whole
+
+
 def chain_of(spark, n):
     return spark.createDataFrame([("p", i, f"c{i:02d}", "+") for i in range(n)], "path_id string, step long, contig string, ori string")
 
