@@ -131,7 +131,8 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     items = spool(items.withColumn("h", F.xxhash64("x")), "items")
     n = items.count()
     sample = items.filter(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20))).select("x").limit(2 * SAMPLE).collect()
-    x = np.array([r["x"] for r in sample] or [r["x"] for r in items.select("x").limit(1).collect()], dtype=np.float64)
+    x = sorted(r["x"] for r in sample) or [r["x"] for r in items.orderBy("h", "x").select("x").limit(1).collect()]  # the order of no layout
+    x = np.array(x, dtype=np.float64)
     pad = dims % 4 and 4 - dims % 4  # to whole bytes
     index = fit(np.pad(x, ((0, 0), (0, pad))), leaves=int(max(1, min(4096, round(n**0.5 / 8), len(x) // 8))))
     shared = spark.sparkContext.broadcast(index)  # 4096 centres at most
