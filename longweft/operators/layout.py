@@ -27,9 +27,9 @@ def transitive_reduction(edges: DataFrame, by: list[str] = []) -> DataFrame:
     one node are dropped, and so are those that lead no further than paths through the graph do, alone or over one other edge between
     them; what is left without forks is contracted, a whole chain to one node; and ends that no open edge touches go. The graph so
     loses nothing of what can be reached, and rounds grow with the depth of its forks, not with the length of chains.
-    Where a round changes nothing, the open edges left are walked on the contracted graph. What then remains lies on cycles: there, a
-    way round may have been taken out together with the edge that it leads round, so open edges at such nodes are walked on the
-    whole graph."""
+    Where a round changes little, the open edges left are walked on the contracted graph. What remains when ends are peeled off it lies
+    on cycles: there, a way round may have been taken out together with the edge that it leads round, so open edges at such nodes are
+    walked on the whole graph."""
     one = stage(edges.select(*by, "src", "dst").filter("src <> dst").distinct())
     key = [*by, "src", "dst"]
     graph, dropped, maps, before = one.select(*by, F.col("src").alias("a"), F.col("dst").alias("b"), "src", "dst", F.lit(True).alias("open")), [], [], None
@@ -43,22 +43,20 @@ def transitive_reduction(edges: DataFrame, by: list[str] = []) -> DataFrame:
         graph, places = _contracted(judged.filter("NOT over").select(*by, "a", "b", "src", "dst", (F.col("open") & ~F.col("short")).alias("open")), path, places, by)
         maps += places
         now = graph.agg(F.count(F.lit(1)), F.count_if("open")).first()
-        if not now[0]:
+        if not now[1]:
             break
         if before and now[0] > before[0] / 2:  # little was contracted
             merged = _without_twins(graph, by)
-            if merged is not None:
-                graph = merged
-            elif before != now:
-                pass
-            elif now[1]:
+            if merged is None or (n := merged.count()) > now[0] * 0.75:
                 found = _walked(graph, graph.filter("open"), by)
                 dropped.append(stage(graph.join(found, [*by, "a", "b"], "left_semi").select(*key)))
-                graph = stage(graph.withColumn("open", F.lit(False)))
-            else:
                 break
+            graph, now = merged, (n, now[1])
         before = now
-    if now[0]:
+    graph, left = _peeled(graph, by), now[0]
+    while left and (n := graph.count()) != left:
+        graph, left = _peeled(graph, by), n
+    if left:
         core = stage(graph.select(*by, F.col("a").alias("node")).union(graph.select(*by, F.col("b").alias("node"))).distinct())
         for places in reversed(maps):
             inner = places.join(core.withColumnRenamed("node", "head"), [*by, "head"], "left_semi").select(*by, "node")
@@ -177,6 +175,15 @@ def _without_twins(graph: DataFrame, by: list[str]) -> DataFrame | None:
     return stage(graph)
 
 
+def _peeled(graph: DataFrame, by: list[str], times: int = 2) -> DataFrame:
+    """The edges (a, b) that are left when those from nodes without a way in and those to nodes without a way out go, a few times."""
+    graph = graph.select(*by, "a", "b")
+    for _ in range(times):
+        graph = graph.join(graph.select(*by, F.col("b").alias("a")).distinct(), [*by, "a"], "left_semi").select(*by, "a", "b")
+        graph = graph.join(graph.select(*by, F.col("a").alias("b")).distinct(), [*by, "b"], "left_semi").select(*by, "a", "b")
+    return stage(graph)
+
+
 def _walked(graph: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
     """Those of the edges `wanted` (a, b) whose b is reached from a without them, not by way of a again. All are walked at once, an edge
     of the graph a round, each node once; a round writes what is new alone."""
