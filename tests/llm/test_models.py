@@ -287,3 +287,25 @@ def test_ann_recall_on_the_embeddings(spark):
     assert found_by(ann.nearest(df, reranked=None)) == want
     got = found_by(ann.nearest(df))
     assert np.mean([len({*got[i]} & {*want[i]}) / 20 for i in want]) >= 0.9
+
+
+def test_ann_recall_where_codes_tell_little(spark):
+    rng = np.random.default_rng(4)
+    g, ids = rng.normal(size=(6000, 16)), np.arange(6000)
+    centres = rng.normal(size=(4, 16))
+    near_copies = centres[ids % 4] + 1e-3 * g
+    norms = g * np.exp(2 * rng.normal(size=(6000, 1)))
+    for x in (near_copies, norms, 1e-12 * near_copies, 1e30 * g):
+        x = x.astype(np.float32)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids.tolist(), x)], "vec_id long, embedding array<float>")
+        want, got = brute_force(x.astype(np.float64), ids), found_by(ann.nearest(df))
+        assert set(got) == set(want) and np.mean([len({*got[i]} & {*want[i]}) / 20 for i in want]) >= 0.99
+
+
+def test_ann_many_rows_of_one_id_leave_room_for_others(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.ones((60, 8)) + rng.random((60, 8)), rng.random((300, 8))])
+    ids = [7] * 30 + [20] * 30 + list(range(100, 400))
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "vec_id long, embedding array<double>")
+    got = found_by(ann.nearest(df))
+    assert all(len(v) == 20 == len({*v}) and i not in v for i, v in got.items()) and 7 in got[20] and set(got) == {20, *range(100, 400, 20)}
