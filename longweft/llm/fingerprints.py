@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import spool
+from .common import give_back, spool
 
 BUCKETS = 256
 #: Distances of a triplet's second and third byte from its first.
@@ -24,6 +24,8 @@ DISTANCES = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 FACTOR = 0x9E3779B1
 #: Bytes that are counted at a time.
 BLOCK = 1 << 18
+#: Rows that a task holds results of.
+ROWS = 512
 #: Cost of two codes 0 to 3 apart, of a step of length, of a sixteenth of a quartile, and the largest cost of each of the two.
 APART, STEP, SIXTEENTH, MOST = (0, 1, 2, 6), 4, 1, 32
 #: The mean cost of two random digests' buckets, from which on the score says nothing more.
@@ -134,18 +136,21 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return (part, kind, text, doc_id, len(text), None, mark, None, None, None)
 
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                mark = fingerprint(text)
-                if before is None:
-                    out.append(open_row("first", doc_id, text, mark))
-                else:
-                    out.append((part, None, None, *_compared(*before, text, mark)))
-                before = (doc_id, text, mark)
-            yield _to_arrow(out, OPEN)
+            for at in range(0, batch.num_rows, ROWS):
+                out, some = [], batch.slice(at, ROWS)
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1)):
+                    text = text.as_py()
+                    mark = fingerprint(text)
+                    if before is None:
+                        out.append(open_row("first", doc_id, text, mark))
+                    else:
+                        out.append((part, None, None, *_compared(*before, text, mark)))
+                    before = (doc_id, text, mark)
+                yield _to_arrow(out, OPEN)
+            del batch, some  # before the next one is read
         if before is not None:
             yield _to_arrow([open_row("last", *before)], OPEN)
+        give_back()
 
     seen = spool(dealt.mapInArrow(walk, OPEN), "fingerprints")
     first = seen.filter("kind = 'first'").select("part", F.col("text").alias("following"), F.col("fingerprint").alias("following_mark"))
@@ -157,7 +162,8 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def close(batches):
         for batch in batches:
-            yield _to_arrow([_compared(*r) for r in zip(*(c.to_pylist() for c in batch.columns))], ROW)
+            for at in range(0, batch.num_rows, ROWS):
+                yield _to_arrow([_compared(*(c[i].as_py() for c in batch.columns)) for i in range(at, min(at + ROWS, batch.num_rows))], ROW)
 
     return seen.filter("kind IS NULL").select(*_names(ROW)).unionByName(pairs.mapInArrow(close, ROW))
 

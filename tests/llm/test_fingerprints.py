@@ -72,6 +72,19 @@ def test_chain_of_documents_with_nulls_repeats_and_clashing_columns(spark):
     assert [r["fingerprint"] for r in fp.fingerprints(df, ("doc_id", "fingerprint")).filter("doc_id = 9").collect()] == [plain("ab")]
 
 
+def test_results_are_handed_on_a_few_rows_at_a_time(spark, monkeypatch):
+    rows, sizes, to_arrow = [(i, f"text {i} " * (i % 7)) for i in range(40, 0, -1)], spark.sparkContext.accumulator(0), fp._to_arrow
+
+    def counted(out, schema):
+        sizes.add(len(out) > 3)
+        return to_arrow(out, schema)
+
+    monkeypatch.setattr(fp, "ROWS", 3)
+    monkeypatch.setattr(fp, "_to_arrow", counted)
+    got = sorted(map(tuple, fp.compared_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == expected(rows) and sizes.value == 0
+
+
 def test_one_document_follows_itself_and_an_empty_table_gives_nothing(spark):
     df = spark.createDataFrame([(1, "only one here")], "doc_id long, text string")
     assert list(map(tuple, fp.compared_with_next(df).collect())) == expected([(1, "only one here")])
