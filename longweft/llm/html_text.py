@@ -5,7 +5,12 @@ elements whose class, id or role names an advert, a notice, comments and the lik
 `main` element has its main text there. On such a page the names are whole words of class, id or role ("search", not "search-method");
 on others, where the element's name is all there is, a part between dashes is enough.
 
-Where a page has neither, its host decides, by a suffix array: the token streams of all its pages' blocks make suffixes, which are
+There too the host's suffix array has a say: a block that is made of nothing but substrings which most of the host's pages have in
+their articles is a notice, an advert or the like whose names don't tell, and goes. What only some pages share stays, as articles quote one another and
+lists of articles repeat their beginnings. A substring that most pages have is one that most pages of some part of them have, so parts of
+about GROUP pages each build the array of their suffixes by prefix doubling, and what passes there is counted over all pages.
+
+Where a page has neither, its host decides alone, by a suffix array: the token streams of all its pages' blocks make suffixes, which are
 dealt by range and sorted, a host of any size over many tasks. Neighbours in that order that agree in WINDOW tokens or more are an
 interval; one that holds suffixes of distinct pages is a substring that they share, and the tokens that it covers are boilerplate.
 What no other page has is kept. Suffixes end with their block and are cut after DEPTH tokens, as a longer repeat shows again at each of
@@ -27,6 +32,8 @@ from .common import spool
 
 #: Tokens that pages must share, and tokens of a suffix that are sorted.
 WINDOW, DEPTH = 8, 12
+#: Distinct pages that a host must have for most of them to tell of an article's blocks; pages and characters of a part of a host.
+LEAST, GROUP, GROUP_CHARS = 20, 256, 1 << 22
 #: Elements that are never main text, that are inside lines of text, that have no end tag, and whose content is not markup.
 SKIPPED = frozenset("head nav header footer aside form script style noscript template svg math iframe object canvas audio video button select option textarea input menu dialog title figcaption".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var img br wbr".split())
@@ -197,6 +204,41 @@ def intervals(batches: Iterator) -> Iterator[tuple]:
     yield from close(True)
 
 
+def common_runs(pages: list[list[str]]) -> list[str]:
+    """The substrings of WINDOW tokens, inside blocks, that more than half of these pages have, by the suffix array of all their
+    suffixes: ranks of 1, 2, 4 and 8 tokens, then neighbours of equal rank."""
+    tokens, page, left = [], [], []
+    for i, found in enumerate(pages):
+        for split in map(str.split, found):
+            if len(split) >= WINDOW:
+                tokens += split
+                page.append(np.full(len(split), i))
+                left.append(np.arange(len(split), 0, -1))
+    if not tokens:
+        return []
+    order = {t: i for i, t in enumerate(sorted(set(tokens)))}
+    rank, page, left = np.array([order[t] for t in tokens], dtype=np.int64), np.concatenate(page), np.concatenate(left)
+    width = 1
+    while width < WINDOW:
+        after = np.append(rank[width:], np.zeros(width, dtype=np.int64))  # of no meaning past a block's end, where no suffix is used
+        rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1].astype(np.int64)
+        width *= 2
+    array = np.flatnonzero(left >= WINDOW)
+    array = array[np.lexsort((page[array], rank[array]))]
+    starts = np.flatnonzero(np.append(True, np.diff(rank[array]) != 0))
+    other = np.append(True, (np.diff(rank[array]) != 0) | (np.diff(page[array]) != 0)).astype(np.int64)
+    many = starts[2 * np.add.reduceat(other, starts) > len(pages)]
+    return [" ".join(tokens[i : i + WINDOW]) for i in array[many].tolist()]
+
+
+def places_of(block: str, runs: set[str]) -> dict[int, str]:
+    """Where in a block one of these runs begins, and which."""
+    if not runs:
+        return {}
+    tokens = block.split()
+    return {i: run for i in range(len(tokens) - WINDOW + 1) if (run := " ".join(tokens[i : i + WINDOW])) in runs}
+
+
 def without(blocks: list[str], places: list[int], window: int = WINDOW) -> str:
     """The text of a page's blocks without the `window` tokens from each of these places on."""
     split = [b.split() for b in blocks]
@@ -211,6 +253,84 @@ def without(blocks: list[str], places: list[int], window: int = WINDOW) -> str:
     return " ".join(kept)
 
 
+def of_articles(page: DataFrame) -> DataFrame:
+    """page_id, url, text of pages (page_id, url, host, html) that have an article or main element. Blocks are made again by each pass
+    over them, as they would take as much disk as the pages."""
+    kind = page.schema["page_id"].dataType.simpleString()
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = pa.array([blocks(v.as_py())[0] for v in batch.column(3)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found, batch.column(4)], names=["page_id", "url", "host", "blocks", "runs"])
+
+    def candidates(batches):
+        import pyarrow as pa
+
+        key, last, held = None, None, []
+
+        def close():
+            found = common_runs(held)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.string()), pa.array(found, pa.string())], names=["host", "run"])
+
+        for batch in batches:
+            for host, group, same, found in zip(*(batch.column(i) for i in range(4))):
+                now, same = (host.as_py(), group.as_py()), same.as_py()
+                if now != key:
+                    if held:
+                        yield close()
+                    key, last, held = now, None, []
+                if same != last:  # copies are one page
+                    last = same
+                    held.append(found.as_py())
+        if held:
+            yield close()
+
+    def matches(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            host, same, run = [], [], []
+            for h, d, found, runs in zip(*(batch.column(i) for i in range(4))):
+                runs, found = set(runs.as_py()), found.as_py()
+                has = {r for b in found for r in places_of(b, runs).values()}
+                host += [h.as_py()] * len(has)
+                same += [d.as_py()] * len(has)
+                run += has
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(same, pa.int64()), pa.array(run, pa.string())], names=["host", "same", "run"])
+
+    def clean(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            text = []
+            for found, runs in zip(batch.column(2), batch.column(3)):
+                found, runs = found.as_py(), set(runs.as_py() or [])
+                kept = [b for b in found if not runs or without([b], list(places_of(b, runs)))]
+                text.append(" ".join(kept or found))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    def parsed(page):
+        made = page.select("page_id", "url", "host", "html", "runs").mapInArrow(parse, f"page_id {kind}, url string, host string, blocks array<string>, runs array<string>")
+        return made.withColumn("same", F.xxhash64("blocks"))
+
+    plain = parsed(page.withColumn("runs", F.lit(None).cast("array<string>")))
+    sized = plain.select("host", "same", F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b)).alias("chars"))
+    hosts = sized.groupBy("host", "same").agg(F.max("chars").alias("chars")).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    hosts = hosts.filter(F.col("n") >= LEAST).select("host", "n", F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("chars") / GROUP_CHARS)).alias("groups"))
+    hosts = spool(hosts, "html-hosts")
+    dealt = plain.join(hosts, "host").select("host", F.pmod("same", "groups").alias("group"), "same", "blocks")
+    dealt = dealt.repartition("host", "group").sortWithinPartitions("host", "group", "same")
+    found = spool(dealt.mapInArrow(candidates, "host string, run string").distinct(), "html-runs")
+    asked = found.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    counted = parsed(page.join(asked, "host")).select("host", "same", "blocks", "runs").mapInArrow(matches, "host string, same long, run string")
+    counted = counted.distinct().groupBy("host", "run").count()
+    most = counted.join(hosts, "host").filter(2 * F.col("count") > F.col("n")).groupBy("host").agg(F.collect_list("run").alias("runs"))
+    told = parsed(page.join(spool(most, "html-most"), "host", "left"))
+    return told.select("page_id", "url", "blocks", "runs").mapInArrow(clean, f"page_id {kind}, url string, text string")
+
+
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each page: page_id, url, text, n_chars (code points of text).
 
@@ -221,13 +341,6 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     page = df.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     held = F.col("html").rlike(CONTAINER)
 
-    def by_markup(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            text = pa.array([" ".join(blocks(v.as_py())[0]) for v in batch.column(2)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=["page_id", "url", "text"])
-
     def cut(batches):
         import pyarrow as pa
 
@@ -268,9 +381,9 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             text = pa.array([without(found.as_py(), places.as_py() or []) for found, places in zip(batch.column(2), batch.column(3))], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=["page_id", "url", "text"])
 
-    done = page.filter(held).mapInArrow(by_markup, f"page_id {kind}, url string, text string")
-    loose = page.filter(~held).withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
-    loose = loose.select("page_id", "url", "host", "html").mapInArrow(cut, f"page_id {kind}, url string, host string, blocks array<string>")
+    page = page.select("page_id", "url", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"), "html")
+    done = of_articles(page.filter(held))
+    loose = page.filter(~held).mapInArrow(cut, f"page_id {kind}, url string, host string, blocks array<string>")
     loose = spool(loose.withColumn("row", F.monotonically_increasing_id()), "html-blocks")  # written, so that its row numbers stay
     order = ("host", "suffix", "page", "row", "place")
     array = loose.select("row", "host", "blocks").mapInArrow(streams, "host string, suffix string, page binary, row long, place int").repartitionByRange(*order).sortWithinPartitions(*order)

@@ -230,6 +230,36 @@ def test_html_windows_end_with_their_block_and_long_pages_are_read_whole(spark):
     assert got == {0: "body of page alpha own words", 1: "body of page beta own words", 2: "All the text there is", 3: ("x " * 300_000).strip(), 4: ""}
 
 
+def test_html_common_runs_are_a_search_over_all_windows():
+    rng = random.Random(8)
+    for n in (1, 2, 9, 40):
+        line = [" ".join(rng.choice("abc") for _ in range(rng.randint(7, 14))) for _ in range(4)]
+        pages = [[rng.choice(line) if rng.random() < 0.7 else " ".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(3)] for _ in range(n)]
+        has = {}
+        for i, page in enumerate(pages):
+            for b in page:
+                for k in range(len(b.split()) - 7):
+                    has.setdefault(" ".join(b.split()[k : k + 8]), set()).add(i)
+        assert sorted(html_text.common_runs(pages)) == sorted(r for r, v in has.items() if 2 * len(v) > n)
+    assert html_text.common_runs([]) == html_text.common_runs([[], ["too short"]]) == []
+
+
+def test_html_articles_lose_blocks_that_most_pages_of_the_host_have(spark, monkeypatch):
+    notice = "sign up here and get our letter on each and every morning"
+    quoted = "a passage that a few of these articles quote from one another"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    blocks = lambda i: [own(i), *([notice] if i % 3 else []), *([quoted] if i % 4 == 0 else []), *([f"{notice} {own(i)}"] if i == 7 else [])]
+    page = lambda found: "<article>" + "".join(f"<p>{b}</p>" for b in found) + "</article>"
+    rows = [(i, "http://large.example/", page(blocks(i))) for i in range(60)] + [(i, "http://small.example/", page([own(i), notice])) for i in range(100, 119)]
+    rows += [(200 + i, "http://copies.example/", page([own(200), quoted])) for i in range(30)] + [(300, "http://large.example/", page([notice]))]
+    want = {i: " ".join(b for b in blocks(i) if b != notice) for i in range(60)} | {i: f"{own(i)} {notice}" for i in range(100, 119)}
+    want |= {200 + i: f"{own(200)} {quoted}" for i in range(30)} | {300: notice}
+    for size in (256, 7):  # one part of the host, and many
+        monkeypatch.setattr(html_text, "GROUP", size)
+        got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+        assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+
+
 def test_ann_recall_and_edge_cases(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 30)).astype(np.float32)
