@@ -62,12 +62,12 @@ def lengths_of(contigs: DataFrame) -> DataFrame:
 
 def map_reads(contigs: DataFrame, reads: DataFrame, p: Params) -> DataFrame:
     """Mappings of all reads, written once: every later stage starts from them."""
-    index = mapping.unique_minimizers(sketch.sketch(contigs, p.k, p.w, "contig", scheme=p.scheme))
-    sized = reads.select("read_id", F.length("seq").alias("read_len"))
-    found = mapping.hits(sketch.sketch(reads, p.k, p.w, "read_id", scheme=p.scheme), index, lengths_of(contigs), sized, p.z)
+    made = sketch.sketch(contigs.withColumn("length", F.length("seq")), p.k, p.w, "contig", scheme=p.scheme, keep=["length"], twice=True)
+    sized = sketch.sketch(reads.withColumn("read_len", F.length("seq")), p.k, p.w, "read_id", scheme=p.scheme, keep=["read_len"])
+    found = mapping.hits(sized, mapping.unique_minimizers(made, ["length"]), p.z)
     if p.repeats:
         found = mapping.repeat_filter(found)
-    return stage(mapping.mappings(mapping.accepted(stage(found), p.k, p.x, p.sensitive)))
+    return stage(mapping.mappings(mapping.accepted(found, p.k, p.x, p.sensitive)))
 
 
 def pair(contigs: DataFrame, mapped: DataFrame, p: Params) -> DataFrame:

@@ -93,3 +93,32 @@ def test_streamed_tally_keeps_counts_and_goes_on(spark, tmp_path):
     assert {r.target: (r.n, r.d, r.anchor) for r in pairs.tally(df).collect()} == got
     changes = pair_tally.counts(df).selectExpr("*", "1 AS batch").union(pair_tally.counts(df.filter("target = 'd'")).selectExpr("source", "source_ori", "target", "target_ori", "gap", "n + 4", "anchor", "2"))
     assert {r.target: r.n for r in pair_tally.tally(pair_tally.last_counts(changes)).collect()} == {"b": 4, "c": 2, "d": 5, "e": 5}
+
+
+def test_hits_are_dealt_by_hash_and_by_read_and_no_more(spark, monkeypatch):
+    """What follows hits needs no further shuffle and no table on disk (before: four more shuffles, contigs, reads and hits staged)."""
+    from longweft.plans import fixture
+    from longweft.plans.queries import QUERIES
+
+    monkeypatch.setattr(fixture, "stage", lambda df: pytest.fail("a table is staged"))
+    for name in ("read_hits", "repeat_filter", "noisy_contigs", "contig_runs", "subsumed_specific", "subsumed_sensitive"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 3, (name, plan)
+
+
+def test_index_of_a_sketch_made_twice_at_most(spark):
+    from longweft.operators import sketch
+
+    rng = random.Random(8)
+    seqs = [("".join(rng.choice("ACGT") for _ in range(200)) + "A" * rng.randrange(60)) for _ in range(40)]
+    df = spark.createDataFrame([(f"c{i}", s, len(s)) for i, s in enumerate(seqs + seqs[:5])], "contig string, seq string, length int")
+    every = sketch.sketch(df, 9, 5, "contig", keep=["length"])
+    two = sketch.sketch(df, 9, 5, "contig", keep=["length"], whole=True, twice=True)
+    rows = [tuple(r) for r in every.collect()]
+    count = {}
+    for r in rows:
+        count[r[2]] = count.get(r[2], 0) + 1
+    want = {(h, c, p, s, n) for c, p, h, s, n in rows if count[h] == 1}
+    assert {tuple(r) for r in mapping.unique_minimizers(two, ["length"]).collect()} == want and len(want) > 100
+    assert max(count.values()) > 20 and two.groupBy("hash").count().agg({"count": "max"}).first()[0] <= 2 * 4
+    assert all(n == len((seqs + seqs[:5])[int(c[1:])]) for _, c, _, _, n in want)
