@@ -76,11 +76,16 @@ def pair(contigs: DataFrame, mapped: DataFrame, p: Params) -> DataFrame:
     return stage(pairs.edge_filters(pairs.tally(estimates), lengths_of(contigs), p.a, p.n))
 
 
-def stitched(edges: DataFrame, best: int, p: Params) -> DataFrame:
+def best_edges(edges: DataFrame, p: Params) -> DataFrame:
+    """Layout edges of every threshold w."""
+    return stage(layout.unambiguous(layout.transitive_reduction(layout.weight_sweep(edges, p.n, p.max_n), ["w"]), ["w"]))
+
+
+def stitched(edges: DataFrame, best: int, p: Params, chosen: DataFrame | None = None) -> DataFrame:
     """Layout edges of the best threshold and, unless conservative, those that other thresholds' layouts add to it. With
-    `transitive`, an added edge stays only where the graph, and what the other layouts' paths add to it, spans it."""
-    sweep = layout.weight_sweep(edges, p.n, p.max_n)
-    chosen = stage(layout.unambiguous(layout.transitive_reduction(sweep, ["w"]), ["w"]))
+    `transitive`, an added edge stays only where the graph, and what the other layouts' paths add to it, spans it.
+    chosen: best_edges(), where they are there already."""
+    chosen = best_edges(edges, p) if chosen is None else chosen
     mine = chosen.filter(F.col("w") == best).select("src", "dst", "d", "n")
     if p.conservative:
         return mine
@@ -102,8 +107,9 @@ def scaffold(contigs: DataFrame, reads: DataFrame | None, p: Params = Params(),
     mapped = map_reads(contigs, reads, p) if mapped is None else mapped
     edges = pair(contigs, mapped, p)
     graph = stage(pairs.both_strands(edges))
-    weights = layout.optimal_weight(graph, lengths, p.n, p.max_n, p.g).filter("best").collect()  # one row
-    chosen = stitched(graph, weights[0]["w"] if weights else p.n, p)
+    by_weight = best_edges(graph, p)
+    weights = layout.optimal_of(by_weight, lengths, p.g).filter("best").collect()  # one row
+    chosen = stitched(graph, weights[0]["w"] if weights else p.n, p, by_weight)
     chained = layout.one_strand(layout.chains(chosen))
     laid = chained.select("start", "step", F.expr("left(node, length(node) - 1)").alias("contig"), F.expr("right(node, 1)").alias("ori"), layout.written_gap("gap_after", p.g).alias("gap"), F.col("gap_after").alias("d"))
     used = largest_number(contigs, p.prefix)  # ids of earlier rounds stay unique

@@ -93,3 +93,19 @@ def test_stitching_joins_what_the_best_layout_leaves_open(spark):
     assert found() == strong
     assert found(conservative=False) == strong | {("c+", "d+"), ("x+", "y+")}
     assert found(conservative=False, transitive=True) == strong | {("c+", "d+")}
+
+
+def test_a_round_reduces_its_graph_once_and_lifts_mappings_as_rows(spark, monkeypatch):
+    """One reduction of all thresholds gives the best one and its layout (before: two); lifted mappings are never a row a hit
+    (before: every hit was dealt four times)."""
+    from longweft.operators import layout, liftover
+    from longweft.plans.fixture import Assembly
+
+    a = Assembly(spark, "/root/testdata/sf0.001")
+    mapped, calls, plain = a.mappings, [], layout.transitive_reduction
+    monkeypatch.setattr(layout, "transitive_reduction", lambda *args: calls.append(1) or plain(*args))
+    r = engine.scaffold(a.contigs.select("contig", "seq"), None, engine.Params(k=21, w=10, max_n=2, overlap=False), mapped)
+    assert len(calls) == 1 and r.paths.count() > 0
+    lifted = liftover.lift_mappings(mapped, r.agp, r.scaffolds.selectExpr("id AS contig", "length(seq) AS length"), 21)
+    plan = lifted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in plan and lifted.count() > 0
