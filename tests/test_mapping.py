@@ -101,7 +101,7 @@ def test_hits_are_dealt_by_hash_and_by_read_and_no_more(spark, monkeypatch):
     from longweft.plans.queries import QUERIES
 
     monkeypatch.setattr(fixture, "stage", lambda df: pytest.fail("a table is staged"))
-    for name in ("read_hits", "repeat_filter", "noisy_contigs", "contig_runs", "subsumed_specific", "subsumed_sensitive"):
+    for name in ("kmer_enumerate", "read_hits", "repeat_filter", "noisy_contigs", "contig_runs", "subsumed_specific", "subsumed_sensitive"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") <= 3, (name, plan)
 
